@@ -6,9 +6,13 @@ reach.  Only where that setting is missing (tests on one machine) a temporary fo
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +28,22 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application, so that no node needs it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_citeloom_sent", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    folder = tempfile.mkdtemp(prefix="citeloom-")  # the driver serves the archive to the workers from here
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = Path(folder) / "citeloom.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._citeloom_sent = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only if none is set in a local session."""
     kept = spark.conf.get("spark.checkpoint.dir", None)

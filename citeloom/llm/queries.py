@@ -7,14 +7,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from citeloom.llm.common import ship
+
 #: query name -> module and function of this subpackage; each function takes (spark, sf_dir)
 REGISTERED = {
+    "op5_piece_encoding": ("piece_encoding", "query"),
+    "op7_token_counts": ("token_counts", "query"),
     "op8_quality_rules": ("quality_rules", "query"),
+    "op9_mixing": ("mixing", "query"),
 }
 
 
 def _call(module: str, function: str) -> Callable[[SparkSession, str], DataFrame]:
-    return getattr(importlib.import_module(f"citeloom.llm.{module}"), function)
+    run = getattr(importlib.import_module(f"citeloom.llm.{module}"), function)
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return run(spark, sf_dir)
+
+    return query
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
