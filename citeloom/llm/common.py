@@ -1,15 +1,10 @@
-"""Shared helpers of the training-data operators.
-
-Working tables go to the folder named by ``spark.checkpoint.dir``, which every executor and the driver can
-reach.  Only where that setting is missing (tests on one machine) a temporary folder is made.
-"""
+"""Shared helpers of the training-data operators."""
 
 from __future__ import annotations
 
 import atexit
 import shutil
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
@@ -19,6 +14,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citeloom.sources.scratch import drop_stash, shared_dir, stash
+
+__all__ = ["documents", "drop_stash", "held_out", "mix64", "n_words", "shared_dir", "ship", "stash", "text_pieces", "word_spans", "words"]
+
 #: Java and DuckDB regex of the white space that parts words; a word is a run of anything else.
 SPACE = r"[\x20\x09-\x0D]+"
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -44,46 +43,6 @@ def ship(spark: SparkSession) -> None:
     context._citeloom_sent = True
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only if none is set in a local session."""
-    kept = spark.conf.get("spark.checkpoint.dir", None)
-    if kept:
-        return kept.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
-    made = "file://" + tempfile.mkdtemp(prefix="citeloom-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: lineage is cut and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back._stash_path = path
-    return back
-
-
-def drop_stash(*frames: DataFrame) -> None:
-    """Delete the folders of stashed frames that no later plan reads."""
-    for df in frames:
-        path = getattr(df, "_stash_path", None)
-        if path:
-            delete_path(df.sparkSession, path)
-
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def held_out(n: int, rest: int, doc_id: str = "doc_id") -> Column:
     """True where crc32(doc_id as text) mod n is ``rest``; false for a null id."""
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(n)) == rest, F.lit(False))

@@ -12,6 +12,7 @@ from citeloom.llm.common import ship
 #: query name -> module and function of this subpackage; each function takes (spark, sf_dir)
 REGISTERED = {
     "op1_quality_classifier": ("quality_classifier", "query"),
+    "op2_ngram_join": ("ngram_join", "query"),
     "op3_language_id": ("language_id", "query"),
     "op4_toxicity": ("toxicity", "query"),
     "op5_piece_encoding": ("piece_encoding", "query"),
