@@ -16,6 +16,7 @@ REGISTERED = {
     "op3_language_id": ("language_id", "query"),
     "op4_toxicity": ("toxicity", "query"),
     "op5_piece_encoding": ("piece_encoding", "query"),
+    "op6_topk_search": ("topk_search", "query"),
     "op7_token_counts": ("token_counts", "query"),
     "op8_quality_rules": ("quality_rules", "query"),
     "op9_mixing": ("mixing", "query"),
