@@ -19,6 +19,7 @@ REGISTERED = {
     "op6_topk_search": ("topk_search", "query"),
     "op7_token_counts": ("token_counts", "query"),
     "op8_quality_rules": ("quality_rules", "query"),
+    "op10_token_output": ("token_output", "query"),
     "op9_mixing": ("mixing", "query"),
 }
 
@@ -33,8 +34,12 @@ def _call(module: str, function: str) -> Callable[[SparkSession, str], DataFrame
     return query
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _call(*where) for name, where in REGISTERED.items()}
+    return {name: _call(*where) for name, where in REGISTERED.items()} | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
