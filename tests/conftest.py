@@ -3,11 +3,11 @@ import sys
 from pathlib import Path
 
 import pytest
+from support import DATA
 
 ROOT = str(Path(__file__).resolve().parents[1])
 sys.path.insert(0, ROOT)
 os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
-DATA = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
@@ -31,20 +31,3 @@ def oracle():
     for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
         c.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     return c
-
-
-def plain(value):
-    if value is None or value != value:
-        return None
-    if hasattr(value, "tolist"):
-        value = value.tolist()
-    if isinstance(value, float):
-        return round(value, 6)
-    if isinstance(value, int) and not isinstance(value, bool):
-        return float(value)
-    return value
-
-
-def rows(frame):
-    columns = sorted(frame.columns)
-    return sorted((tuple(plain(v) for v in r) for r in frame[columns].itertuples(index=False)), key=repr)

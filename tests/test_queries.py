@@ -1,7 +1,7 @@
 """Every registered query of the library against its SQL, on the smallest tables."""
 
 import pytest
-from conftest import DATA, rows
+from support import DATA, rows
 
 from citeloom.plans import catalog
 
