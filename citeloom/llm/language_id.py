@@ -73,11 +73,12 @@ class Automaton:
                         p = link[p]
                     link[q] = link[cur] = clone
             last = cur
-        start = np.zeros(classes, np.int32)
+        unknown = len(nexts)  # after a character that the text does not hold: a phrase of its own
+        start = np.full(classes, unknown, np.int32)
         for c, q in nexts[0].items():
             start[c] = q
-        table = np.tile(start * 2 + 1, (len(nexts), 1))
-        table[0] = start * 2 + (start == 0)  # an unknown character at the start is a phrase of its own
+        table = np.tile(start * 2 + 1, (len(nexts) + 1, 1))
+        table[0] = start * 2
         for s, out in enumerate(nexts):
             if out:
                 table[s, list(out)] = np.fromiter(out.values(), np.int32, len(out)) * 2
