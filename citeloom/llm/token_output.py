@@ -39,12 +39,13 @@ from citeloom.llm.vocabulary import default_path
 
 END = 2
 BLOCK, LANES = 2048, 2048
-SLOTS = 2048
-MAGIC = b"CLTOK1\0\0"
+SLOTS = 1024
+MAGIC = b"CLTOK2\0\0"
 CACHE_ENTRIES = 400_000
 _TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
 _W = np.uint64(16)
-_SHARE_BITS, _ORDER0_BITS = 12, 24
+#: A settled range has 2**32 places at least, so 12 bits of share and 18 of order 0 leave 4 for an id's place.
+_SHARE_BITS, _ORDER0_BITS = 12, 18
 
 
 # ---------------------------------------------------------------- tokenizer
@@ -82,7 +83,7 @@ class TextEncoder(dict):
 # ---------------------------------------------------------------- coder
 
 class Order0:
-    """Quantized frequencies of the ids of a group, as cumulative sums to 2**24."""
+    """Quantized frequencies of the ids of a group, as cumulative sums to 2**18."""
 
     def __init__(self, ids: np.ndarray, counts: np.ndarray):
         self.ids, self.counts = ids, counts
@@ -95,46 +96,45 @@ class Order0:
 
 
 class Lanes:
-    """The adaptive state of all blocks: contexts, confidences and counts; the same steps on either side."""
+    """The adaptive state of all blocks: contexts, confidences and counts; the same steps on either side.
+
+    A context's slot holds its predicted id and the confidence (0 to 3) in one number.  Everything is integers, or
+    quotients of small integers in doubles, so that both sides agree on any machine.
+    """
 
     def __init__(self, n: int):
-        self.n = n
-        self.guess = [np.full((n, SLOTS), -1, np.int32) for _ in range(2)]
-        self.trust = [np.zeros((n, SLOTS), np.int8) for _ in range(2)]
-        self.counts = np.tile(np.array([2, 1, 3], np.int64), (n, 16, 1))
-        self.last = np.zeros((2, n), np.int64)
-        self.row = np.arange(n)
+        self.slots = [np.full(n * SLOTS, 0xFFFF, np.int32) for _ in range(2)]
+        self.counts = [np.full(n * 16, c, np.int32) for c in (48, 24, 72)]
+        self.last = [np.zeros(n, np.int64) for _ in range(2)]
+        self.base, self.state_base = np.arange(n) * SLOTS, np.arange(n) * 16
 
     def predict(self, k: int) -> None:
-        """For the first k lanes: both guesses, their state and the three shares (cumulative, to 2**12)."""
-        row = self.row[:k]
-        one, two = self.last[0, :k], self.last[1, :k]
-        self.slot = [((two * 40503 + one) * 2654435761 >> 13) & (SLOTS - 1), (one * 2654435761 >> 11) & (SLOTS - 1)]
-        self.ids = [self.guess[o][row, self.slot[o]] for o in range(2)]
-        self.conf = [self.trust[o][row, self.slot[o]].astype(np.int64) for o in range(2)]
-        self.state = self.conf[0] * 4 + self.conf[1]
-        c = self.counts[row, self.state]
-        total = c.sum(axis=1)
-        room = (1 << _SHARE_BITS) - 3
-        a = 1 + c[:, 0] * room // total
-        b = 1 + c[:, 1] * room // total
-        self.cut1, self.cut2 = a, a + b
+        """For the first k lanes: both guesses, their state and the shares (cumulative, to 2**12)."""
+        one, two = self.last[0][:k], self.last[1][:k]
+        self.at = [self.base[:k] + (((two * 40503 + one) * 2654435761 >> 13) & (SLOTS - 1)), self.base[:k] + ((one * 2654435761 >> 11) & (SLOTS - 1))]
+        held = [self.slots[o].take(self.at[o]) for o in range(2)]
+        self.ids = [h & 0xFFFF for h in held]
+        self.conf = [h >> 16 for h in held]
+        self.state = self.state_base[:k] + (self.conf[0] << 2) + self.conf[1]
+        c0, c1, c2 = (c.take(self.state) for c in self.counts)
+        self.total = c0 + c1 + c2
+        scale = float((1 << _SHARE_BITS) - 3) / self.total
+        self.cut1 = 1 + (c0 * scale).astype(np.int64)
+        self.cut2 = self.cut1 + 1 + (c1 * scale).astype(np.int64)
 
     def update(self, ids: np.ndarray, event: np.ndarray) -> None:
         k = len(ids)
-        row = self.row[:k]
-        self.counts[row, self.state, event] += 24
-        big = np.flatnonzero(self.counts[row, self.state].sum(axis=1) > 3000)
-        if len(big):
-            self.counts[big, self.state[big]] = (self.counts[big, self.state[big]] + 1) >> 1
+        for e in range(3):
+            self.counts[e][self.state[event == e]] += 24
+        for s in self.state[self.total > 3000].tolist():
+            for c in self.counts:
+                c[s] = (c[s] + 1) >> 1
         for o in range(2):
             hit = self.ids[o] == ids
-            conf = np.where(hit, np.minimum(self.conf[o] + 1, 3), np.maximum(self.conf[o] - 1, 0))
-            take = ~hit & (conf == 0)
-            self.guess[o][row, self.slot[o]] = np.where(take, ids, self.ids[o])
-            self.trust[o][row, self.slot[o]] = np.where(take, 1, conf)
-        self.last[1, :k] = self.last[0, :k]
-        self.last[0, :k] = ids
+            conf = np.where(hit, np.minimum(self.conf[o] + 1, 3), self.conf[o] - 1)
+            self.slots[o][self.at[o]] = np.where(conf <= 0, ids | (1 << 16), self.ids[o] | (conf << 16))
+        self.last[1][:k] = self.last[0][:k]
+        self.last[0][:k] = ids
 
 
 def _narrow(low: np.ndarray, size: np.ndarray, first: np.ndarray, freq: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -142,6 +142,12 @@ def _narrow(low: np.ndarray, size: np.ndarray, first: np.ndarray, freq: np.ndarr
     return low + unit * first.astype(np.uint64), unit * freq.astype(np.uint64)
 
 
+def _share(lanes: Lanes, event: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First place and width of each lane's event."""
+    first = np.where(event == 0, 0, np.where(event == 1, lanes.cut1, lanes.cut2))
+    return first, np.where(event == 0, lanes.cut1, np.where(event == 1, lanes.cut2, 1 << _SHARE_BITS)) - first
+
+
 def _settle(low: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Shift out settled 16-bit words in place; yields which lanes gave a word, and the words."""
     while True:
@@ -178,20 +184,13 @@ def code_blocks(ids: np.ndarray, order0: Order0) -> tuple[np.ndarray, np.ndarray
         own = ids[at]
         lanes.predict(k)
         event = np.where(own == lanes.ids[0], 0, np.where(own == lanes.ids[1], 1, 2))
-        first = np.where(event == 0, 0, np.where(event == 1, lanes.cut1, lanes.cut2))
-        end = np.where(event == 0, lanes.cut1, np.where(event == 1, lanes.cut2, 1 << _SHARE_BITS))
-        lo, sz = _narrow(low[:k], size[:k], first, end - first, _SHARE_BITS)
+        lo, sz = _narrow(low[:k], size[:k], *_share(lanes, event), _SHARE_BITS)
+        left = np.flatnonzero(event == 2)
+        p = place[at[left]]
+        lo[left], sz[left] = _narrow(lo[left], sz[left], order0.first[p], order0.freq[p], _ORDER0_BITS)
         for lane, words in _settle(lo, sz):
             who.append(lane)
             what.append(words)
-        left = np.flatnonzero(event == 2)
-        if len(left):
-            p = place[at[left]]
-            lo2, sz2 = _narrow(lo[left], sz[left], order0.first[p], order0.freq[p], _ORDER0_BITS)
-            for lane, words in _settle(lo2, sz2):
-                who.append(left[lane])
-                what.append(words)
-            lo[left], sz[left] = lo2, sz2
         low[:k], size[:k] = lo, sz
         lanes.update(own, event)
     for shift in (48, 32, 16, 0):
@@ -213,7 +212,7 @@ def decode_blocks(words: np.ndarray, sizes: np.ndarray, total: int, order0: Orde
         code = (code << _W) | words[at]
         at = at + 1
     out = np.zeros(n * BLOCK, np.int64)
-    ends = order0.first[1:]
+    symbol = np.repeat(np.arange(len(order0.ids)), order0.freq)  # the id at each place of the order-0 range
     for t in range(BLOCK):
         k = int(np.searchsorted(-lengths, -t, side="left"))
         if not k:
@@ -221,25 +220,18 @@ def decode_blocks(words: np.ndarray, sizes: np.ndarray, total: int, order0: Orde
         lanes.predict(k)
         lo, sz, cd = low[:k], size[:k], code[:k]
         share = np.minimum((cd - lo) // (sz >> np.uint64(_SHARE_BITS)), np.uint64((1 << _SHARE_BITS) - 1)).astype(np.int64)
-        event = np.where(share < lanes.cut1, 0, np.where(share < lanes.cut2, 1, 2))
-        first = np.where(event == 0, 0, np.where(event == 1, lanes.cut1, lanes.cut2))
-        end = np.where(event == 0, lanes.cut1, np.where(event == 1, lanes.cut2, 1 << _SHARE_BITS))
-        lo, sz = _narrow(lo, sz, first, end - first, _SHARE_BITS)
+        event = (share >= lanes.cut1).astype(np.int64) + (share >= lanes.cut2)
+        lo, sz = _narrow(lo, sz, *_share(lanes, event), _SHARE_BITS)
+        own = np.where(event == 0, lanes.ids[0], lanes.ids[1]).astype(np.int64)
+        left = np.flatnonzero(event == 2)
+        lo2, sz2 = lo[left], sz[left]
+        v = np.minimum((cd[left] - lo2) // (sz2 >> np.uint64(_ORDER0_BITS)), np.uint64((1 << _ORDER0_BITS) - 1)).astype(np.int64)
+        p = symbol[v]
+        own[left] = order0.ids[p]
+        lo[left], sz[left] = _narrow(lo2, sz2, order0.first[p], order0.freq[p], _ORDER0_BITS)
         for lane, _ in _settle(lo, sz):
             cd[lane] = (cd[lane] << _W) | words[at[lane]]
             at[lane] += 1
-        own = np.where(event == 0, lanes.ids[0], lanes.ids[1]).astype(np.int64)
-        left = np.flatnonzero(event == 2)
-        if len(left):
-            lo2, sz2, cd2 = lo[left], sz[left], cd[left]
-            v = np.minimum((cd2 - lo2) // (sz2 >> np.uint64(_ORDER0_BITS)), np.uint64((1 << _ORDER0_BITS) - 1)).astype(np.int64)
-            p = np.searchsorted(ends, v, side="right")
-            own[left] = order0.ids[p]
-            lo2, sz2 = _narrow(lo2, sz2, order0.first[p], order0.freq[p], _ORDER0_BITS)
-            for lane, _ in _settle(lo2, sz2):
-                cd2[lane] = (cd2[lane] << _W) | words[at[left[lane]]]
-                at[left[lane]] += 1
-            lo[left], sz[left], cd[left] = lo2, sz2, cd2
         low[:k], size[:k], code[:k] = lo, sz, cd
         out[np.arange(k) * BLOCK + t] = own
         lanes.update(own, event)
