@@ -389,9 +389,9 @@ def _kcore_sql(k: int, rounds: int) -> str:
     return f"WITH {CITATIONS_SQL}, {NODES_SQL}, {', '.join(steps)} SELECT node, CAST(degree AS BIGINT) AS degree FROM d{rounds - 1} WHERE degree >= {k}"
 
 
-@registered(_kcore_sql(25, 14))
+@registered(_kcore_sql(20, 14))
 def kcore(spark: SparkSession, d: str) -> DataFrame:
-    return graph.k_core(citations(spark, d), 25)
+    return graph.k_core(citations(spark, d), 20)
 
 
 @registered(f"WITH RECURSIVE {CITATIONS_SQL}, b AS (SELECT 1::BIGINT AS node, 0 AS depth UNION SELECT e.dst, b.depth + 1 FROM b JOIN edges e ON e.src = b.node WHERE b.depth < 3) SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM b GROUP BY node")
