@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from citeloom.llm.common import TO_LOWER, SpanHash, documents, held_out, text_pieces, word_spans
 from citeloom.llm.sampling import labelled_texts
 
-LEARN_ROWS = 2500
+LEARN_ROWS = 1500
 LEXICON = 400
 NEAR = 5
 TREES, DEPTH, BINS, RATE, LEAF_ROWS = 60, 3, 32, 0.15, 12
@@ -75,22 +75,37 @@ class Words:
         return np.where(self.end - self.start > kind, self.spans.of(self.start, end), np.uint64(0))
 
 
+def _pieces(texts: list[bytes], limit: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """First row, bytes and offsets of runs of texts of about ``limit`` bytes."""
+    at = 0
+    while at < len(texts):
+        to, size = at + 1, len(texts[at])
+        while to < len(texts) and size + len(texts[to]) <= limit:
+            size += len(texts[to])
+            to += 1
+        yield at, np.frombuffer(b"".join(texts[at:to]), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts[at:to]])]).astype(np.int64)
+        at = to
+
+
 def learn_lexicon(texts: list[bytes], y: np.ndarray) -> dict[str | int, tuple[np.ndarray, np.ndarray]]:
-    """Sorted hashes and log-odds by kind."""
-    offs = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-    found = Words(np.frombuffer(b"".join(texts), np.uint8), offs)
+    """Sorted hashes and log-odds by kind.  Texts are read in pieces; only a count per distinct word is held."""
+    counted: dict[str | int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {kind: [] for kind in KINDS}
+    for at, raw, offs in _pieces(texts):
+        found = Words(raw, offs)
+        for kind in KINDS:
+            # each text counts once for each of its words
+            hashes, row = found.hashes[kind], found.row
+            order = np.lexsort((row, hashes))
+            hashes, row = hashes[order], row[order]
+            new = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])])[: len(row)] & (hashes != 0)
+            words, index = np.unique(hashes[new], return_inverse=True)
+            own = y[at + row[new]]
+            counted[kind].append((words, np.bincount(index, own == 1, minlength=len(words)), np.bincount(index, own == 0, minlength=len(words))))
     n1, n0 = max((y == 1).sum(), 1), max((y == 0).sum(), 1)
     out = {}
     for kind in KINDS:
-        # each text counts once for each of its words
-        hashes, row = found.hashes[kind], found.row
-        order = np.lexsort((row, hashes))
-        hashes, row = hashes[order], row[order]
-        new = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])])[: len(row)] & (hashes != 0)
-        hashes, own = hashes[new], y[row[new]]
-        words, index = np.unique(hashes, return_inverse=True)
-        toxic = np.bincount(index, own == 1, minlength=len(words))
-        other = np.bincount(index, own == 0, minlength=len(words))
+        words, index = np.unique(np.concatenate([w for w, _, _ in counted[kind]]), return_inverse=True)
+        toxic, other = (np.bincount(index, np.concatenate([c[k] for c in counted[kind]]), minlength=len(words)) for k in (1, 2))
         odds = np.log((toxic + 0.05) / n1) - np.log((other + 0.5) / n0)
         good = np.flatnonzero((toxic >= 4) & (odds > 2.0))
         good = good[np.argsort(-odds[good] * np.sqrt(toxic[good]), kind="stable")][:LEXICON]
@@ -213,7 +228,7 @@ class Model:
         texts = [t.encode() for t, _ in rows]
         half = np.where(y == 1, np.cumsum(y == 1), np.cumsum(y == 0)) % 2  # each half has half of either label
         x, margin = np.zeros((len(rows), N_FEATURES)), np.zeros(len(rows))
-        make = lambda which, lexicon: features(np.frombuffer(b"".join(texts[i] for i in which), np.uint8), np.concatenate([[0], np.cumsum([len(texts[i]) for i in which])]).astype(np.int64), lexicon)
+        make = lambda which, lexicon: np.concatenate([features(raw, offs, lexicon) for _, raw, offs in _pieces([texts[i] for i in which])])
         for k in (0, 1):
             own, other = np.flatnonzero(half == k), np.flatnonzero(half != k)
             x[own] = make(own, learn_lexicon([texts[i] for i in other], y[other]))
