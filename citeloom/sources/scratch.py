@@ -7,6 +7,8 @@ executor takes nothing with it.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -19,7 +21,9 @@ def shared_dir(spark: SparkSession) -> str:
         return kept.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
-    made = "file://" + tempfile.mkdtemp(prefix="citeloom-")
+    folder = tempfile.mkdtemp(prefix="citeloom-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    made = f"file://{folder}"
     spark.conf.set("spark.checkpoint.dir", made)
     return made
 
