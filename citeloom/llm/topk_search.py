@@ -31,7 +31,7 @@ K = 10
 EVERY = 100
 SCALE = 1024
 QUERY_BLOCK, ROW_BLOCK = 1024, 4096
-LEAF, FAN = 48, 12
+LEAF, QUERY_LEAF, FAN = 192, 48, 12
 
 
 class CoverTree:
@@ -80,11 +80,12 @@ class CoverTree:
 
 def block_topk(query_ids: np.ndarray, queries: np.ndarray, row_ids: np.ndarray, rows: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
     """The k best (vec_id, score) of each query in this block; missing places have vec_id -1."""
-    qt, rt = CoverTree(queries.astype(np.float64), 16), CoverTree(rows.astype(np.float64))
+    qt, rt = CoverTree(queries.astype(np.float64), QUERY_LEAF), CoverTree(rows.astype(np.float64))
     # sums of products stay exact in doubles below 2**53
     exact = float(np.abs(queries).max(initial=0)) * float(np.abs(rows).max(initial=0)) * queries.shape[1] < 2**52
     ids = np.full((len(queries), k), -1, np.int64)
-    scores = np.full((len(queries), k), np.iinfo(np.int64).min, np.int64)
+    missing = np.iinfo(np.int64).min + 1  # its negative still fits
+    scores = np.full((len(queries), k), missing, np.int64)
     worst = np.full(len(queries), -np.inf)
 
     def bound(q: int, rs: list[int]) -> np.ndarray:
@@ -93,16 +94,17 @@ def block_topk(query_ids: np.ndarray, queries: np.ndarray, row_ids: np.ndarray,
     def leaf(q: int, r: int) -> None:
         qi, ri = qt.members[q], rt.members[r]
         got = (queries[qi].astype(np.float64) @ rows[ri].astype(np.float64).T).astype(np.int64) if exact else np.array([[sum(int(a) * int(b) for a, b in zip(x, y, strict=True)) for y in rows[ri]] for x in queries[qi]], np.int64)
-        for n, i in enumerate(qi.tolist()):
-            good = np.flatnonzero((got[n] >= worst[i]) & (row_ids[ri] != query_ids[i]))
-            if not len(good):
-                continue
-            all_ids = np.concatenate([ids[i][ids[i] >= 0] if (ids[i] < 0).any() else ids[i], row_ids[ri][good]])
-            all_scores = np.concatenate([scores[i][: len(all_ids) - len(good)], got[n][good]])
-            best = np.lexsort((all_ids, -all_scores))[:k]
-            ids[i, : len(best)], scores[i, : len(best)] = all_ids[best], all_scores[best]
-            if len(best) == k:
-                worst[i] = scores[i, k - 1]
+        got = np.where(row_ids[ri][None, :] == query_ids[qi][:, None], missing, got)  # a query's own row
+        some = np.flatnonzero((got >= worst[qi][:, None]).any(axis=0))
+        if not len(some):
+            return
+        # the group's best so far and what is new, best first, ties to the smaller id
+        all_scores = np.concatenate([scores[qi], got[:, some]], axis=1)
+        all_ids = np.concatenate([ids[qi], np.broadcast_to(row_ids[ri][some], (len(qi), len(some)))], axis=1)
+        best = np.lexsort((all_ids, -all_scores), axis=1)[:, :k]
+        scores[qi], ids[qi] = np.take_along_axis(all_scores, best, axis=1), np.take_along_axis(all_ids, best, axis=1)
+        ids[qi] = np.where(scores[qi] == missing, -1, ids[qi])
+        worst[qi] = np.where(scores[qi, k - 1] == missing, -np.inf, scores[qi, k - 1])
 
     stack = [(0, 0, float(bound(0, [0])[0]))]
     while stack:
