@@ -145,7 +145,7 @@ class _Task(InputPartition):
 
 
 class SearchSource(DataSource):
-    """spark.read.format("citeloom_search").option("queries", json).load(): source, page, body, error.
+    """spark.read.format("citeloom_search").option("query", json).load(): source, page, body, error.
 
     A partition is a source, so rate limits hold per source; a source that fails gives a row with its error and no
     body, and the others' rows are kept.

@@ -130,7 +130,7 @@ def test_search_data_source(spark):
         transport = staticmethod(recorded)
 
     spark.dataSource.register(Recorded)
-    df = spark.read.format("citeloom_search").option("queries", json.dumps({"term": "graph", "max_results": 10})).option("sources", "crossref,ieee").load()
+    df = spark.read.format("citeloom_search").option("query", json.dumps({"term": "graph", "max_results": 10})).option("sources", "crossref,ieee").load()
     rows = {r.source: r for r in df.collect()}
     assert json.loads(rows["crossref"].body)["term"] == "graph" and rows["ieee"].error == "no key"
 
