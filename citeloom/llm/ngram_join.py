@@ -38,7 +38,7 @@ NGRAM = 3
 BLOCK = 256
 #: Tokens of a path that are walked before bounds are looked at again.
 STEP = 64
-FIRST_SIZE, GROWTH, SPARE = 10, 1.4, 1
+FIRST_SIZE, GROWTH, SPARE = 9, 1.4, 1
 _KEYS = mix64(np.arange(1, NGRAM + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
 
 

@@ -80,6 +80,22 @@ def test_linked_sets_always_share_a_range():
             assert set(ngram_join.signatures(a)) & set(ngram_join.signatures(b)), (n, len(b))
 
 
+def test_join_links_a_text_of_eleven_words_with_one_of_twelve(spark):
+    base = [f"w{i}" for i in range(11)]
+    texts = [" ".join(base), " ".join(["x", *base]), " ".join([*base, "y"]), " ".join(base[:10]), " ".join(f"v{i}" for i in range(11)), " ".join(base)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(tuple(r) for r in ngram_join.ngram_join(docs).collect())
+    assert got == plain_join(range(len(texts)), texts) and got[0] == (0, 9, 0, 3)
+
+
+def test_sets_below_the_first_size_link_only_if_equal():
+    n = ngram_join.FIRST_SIZE
+    assert all(ngram_join.needed(2 * a + 1) > a for a in range(1, n)) and ngram_join.needed(2 * n + 1) <= n
+    base = np.arange(1, 11, dtype=np.uint64) << np.uint64(60)
+    for k in range(10):
+        assert set(ngram_join.signatures(base)) & set(ngram_join.signatures(np.delete(base, k))), k
+
+
 def test_trie_counts_as_a_plain_join():
     g = random.Random(6)
     base = [g.getrandbits(64) for _ in range(120)]
