@@ -187,6 +187,16 @@ def author_intersect(spark: SparkSession, d: str) -> DataFrame:
     return shared_authors(a.where("seq % 2 = 0"), a.where("seq % 1000 = 1")).select("seq", "position", "name").distinct()
 
 
+@registered(f"WITH {AUTHORS_SQL}, tagged AS (SELECT a.*, o.o_orderstatus = 'F' AS mine FROM authors a JOIN orders o ON a.seq = o.o_orderkey) SELECT DISTINCT seq, position, name FROM tagged WHERE mine AND normalized IN (SELECT normalized FROM tagged WHERE NOT mine)")
+def author_intersect_whole(spark: SparkSession, d: str) -> DataFrame:
+    """All authors of finished orders against all authors of the others."""
+    from citeloom.operators.corpus import shared_authors
+
+    status = table(spark, d, "orders").select(F.col("o_orderkey").alias("seq"), (F.col("o_orderstatus") == "F").alias("mine"))
+    a = work_authors(spark, d).join(status, "seq")
+    return shared_authors(a.where("mine"), a.where("not mine")).select("seq", "position", "name").distinct()
+
+
 @registered(f"WITH {AUTHORS_SQL} SELECT seq, string_agg(family, '|' ORDER BY position, name) AS families, CAST(count(*) AS BIGINT) AS n FROM authors GROUP BY seq")
 def author_position(spark: SparkSession, d: str) -> DataFrame:
     lists = work_authors(spark, d).groupBy("seq").agg(F.sort_array(F.collect_list(F.struct("position", "name", "family"))).alias("a"))
