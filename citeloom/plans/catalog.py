@@ -139,6 +139,11 @@ def sort_year(spark: SparkSession, d: str) -> DataFrame:
     return top.select("seq", F.row_number().over(Window.orderBy(F.coalesce("year", F.lit(0)).desc(), "seq")).alias("place"), "year")
 
 
+@registered(with_works("SELECT seq, year FROM works ORDER BY coalesce(year, 0) DESC, seq"))
+def sort_year_whole(spark: SparkSession, d: str) -> DataFrame:
+    return Corpus(works(spark, d)).sort_by_year().select("seq", "year")
+
+
 @registered(with_works("SELECT seq, CASE WHEN length(title) > 48 THEN substr(title, 1, 48) || '…' ELSE title END AS short, cited_by_count FROM works ORDER BY coalesce(cited_by_count, 0) DESC, seq LIMIT 15"))
 def topk_cited(spark: SparkSession, d: str) -> DataFrame:
     return Corpus(works(spark, d)).top_cited(15).select("seq", text.ellipsis(F.col("title")).alias("short"), "cited_by_count")
@@ -420,6 +425,25 @@ def snowball_round(spark: SparkSession, d: str) -> DataFrame:
     return graph.snowball(edges, edges.where("src % 100 = 1").select(F.col("src").alias("node")), 1, 10, 10)
 
 
+def _snowball_sql(depth: int, limit: int) -> str:
+    steps = ["k0 AS (SELECT DISTINCT src AS node FROM edges WHERE src NOT IN (SELECT dst FROM edges)), n0 AS (SELECT node FROM k0)"]
+    for i in range(1, depth + 1):
+        steps.append(
+            f"f{i} AS (SELECT node FROM (SELECT src AS node FROM edges WHERE dst IN (SELECT node FROM n{i - 1}) QUALIFY row_number() OVER (PARTITION BY dst ORDER BY src) <= {limit}) "
+            f"UNION SELECT node FROM (SELECT dst AS node FROM edges WHERE src IN (SELECT node FROM n{i - 1}) QUALIFY row_number() OVER (PARTITION BY src ORDER BY dst) <= {limit})), "
+            f"n{i} AS (SELECT node FROM f{i} WHERE node NOT IN (SELECT node FROM k{i - 1})), k{i} AS (SELECT node FROM k{i - 1} UNION SELECT node FROM n{i})"
+        )
+    return f"WITH {CITATIONS_SQL}, {', '.join(steps)} " + " UNION ALL ".join(f"SELECT node, {i} AS depth, node NOT IN (SELECT node FROM k{i - 1}) AS is_new FROM f{i}" for i in range(1, depth + 1))
+
+
+@registered(_snowball_sql(5, 100))
+def snowball_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """From all works that no work cites, with the operator's own limits and full depth."""
+    edges = citations(spark, d)
+    seeds = edges.join(edges.select(F.col("dst").alias("src")), "src", "left_anti").select(F.col("src").alias("node"))
+    return graph.snowball(edges, seeds, 5)
+
+
 @registered(
     f"""WITH {CITATIONS_SQL}, {NODES_SQL}, u AS (SELECT DISTINCT least(src, dst) AS x, greatest(src, dst) AS y FROM edges), dg AS (SELECT node, count(*) AS d FROM (SELECT x AS node FROM u UNION ALL SELECT y FROM u) GROUP BY 1),
 t AS (SELECT a.x AS p, a.y AS q, b.y AS r FROM u a JOIN u b ON a.y = b.x JOIN u c ON c.x = a.x AND c.y = b.y), tn AS (SELECT node, count(*) AS t FROM (SELECT p AS node FROM t UNION ALL SELECT q FROM t UNION ALL SELECT r FROM t) GROUP BY 1),
