@@ -1,10 +1,10 @@
 """Toxicity: gradient-boosted trees over dense features of a text, with isotonic calibration.
 
-Features: densities and counts of words, word beginnings and letter-only spellings in a lexicon, their summed and
+Features: densities and counts of words, word beginnings and spellings with signs removed and digits read as letters in a lexicon, their summed and
 greatest weights, hits within ``NEAR`` words of a second-person word, the rates of capitals, of "!" and "?", of other
-punctuation and of obfuscated words (letters with digits or signs inside), and the text's size.
+punctuation and of obfuscated words (letters with digits or signs, or spelled letter by letter), and the text's size.
 
-The lexicon is learned from the labelled texts: words and word beginnings (4 to 6 bytes) that many toxic and hardly any
+The lexicon is learned from the labelled texts: words, word beginnings (4 to 6 bytes) and obfuscated spellings that many toxic and hardly any
 other texts hold, with their log-odds, ``LEXICON`` of each kind at most.  To keep the trees honest the lexicon is
 learned on one half of the sample when the other half's features are made, and the other way round; scoring uses the
 whole sample's.  Trees are grown on binned features; isotonic regression on the cross-fitted margins gives
@@ -33,7 +33,7 @@ NEAR = 5
 TREES, DEPTH, BINS, RATE, LEAF_ROWS = 60, 3, 32, 0.15, 12
 #: Second-person words of the four languages.
 SECOND_PERSON = ["deine", "dein", "dich", "dir", "du", "euch", "ihr", "te", "ti", "toi", "tu", "tus", "tú", "ustedes", "usted", "votre", "vous", "you", "your", "you're", "yours"]
-KINDS = ("word", 4, 5, 6)
+KINDS = ("word", 4, 5, 6, "spelled")
 
 #: Letters for the lexicon: ASCII letters and every byte of a longer UTF-8 sequence.
 _LETTER = np.zeros(256, bool)
@@ -46,7 +46,11 @@ _SIGN = np.zeros(256, bool)
 _SIGN[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 _INNER = np.zeros(256, bool)
 _INNER[[*range(0x30, 0x3A), 0x21, 0x24, 0x40, 0x2A, 0x23]] = True
-N_FEATURES = 14
+#: The letter that a byte stands for in an obfuscated spelling; 0 for none.
+_SPELLS = np.where(_LETTER, TO_LOWER[np.arange(256)], 0).astype(np.uint8)
+for _a, _b in zip(b"0134578$@", b"oieastbsa", strict=True):
+    _SPELLS[_a] = _b
+N_FEATURES = 16
 
 
 def hash_bytes(words: list[bytes]) -> np.ndarray:
@@ -59,13 +63,27 @@ _YOU = np.sort(hash_bytes([w.encode() for w in SECOND_PERSON]))
 
 
 class Words:
-    """Hashes of the letter runs of a piece of rows, as whole words and as beginnings."""
+    """Hashes of the letter runs of a piece of rows, as whole words and as beginnings, and of obfuscated spellings.
+
+    An obfuscated spelling is a white-space word of several letter runs or with a digit or sign that stands for a letter,
+    less its other bytes; ``first`` and ``after`` are the places of its runs.
+    """
 
     def __init__(self, raw: np.ndarray, offs: np.ndarray):
         self.low = TO_LOWER[raw]
         self.start, self.end, self.row = word_spans(raw, offs, _LETTER[raw])
         self.spans = SpanHash(self.low)
-        self.hashes = {kind: self._of(kind) for kind in KINDS}
+        self.hashes = {kind: self._of(kind) for kind in KINDS if kind != "spelled"}
+        self.rows: dict[str | int, np.ndarray] = dict.fromkeys(self.hashes, self.row)
+        start, end, row = self.whole = word_spans(raw, offs)
+        self.firsts, self.afters = np.searchsorted(self.start, start), np.searchsorted(self.start, end)
+        spells = _SPELLS[raw]
+        at = np.concatenate([[0], np.cumsum(spells > 0)])
+        stands = np.concatenate([[0], np.cumsum((spells > 0) & ~_LETTER[raw])])
+        runs = self.afters - self.firsts
+        odd = (runs > 0) & ((runs > 1) | (stands[end] > stands[start]))
+        self.first, self.after, self.rows["spelled"] = self.firsts[odd], self.afters[odd], row[odd]
+        self.hashes["spelled"] = SpanHash(spells[spells > 0]).of(at[start[odd]], at[end[odd]]) if odd.any() else np.zeros(0, np.uint64)
 
     def _of(self, kind: str | int) -> np.ndarray:
         if kind == "word":
@@ -94,7 +112,7 @@ def learn_lexicon(texts: list[bytes], y: np.ndarray) -> dict[str | int, tuple[np
         found = Words(raw, offs)
         for kind in KINDS:
             # each text counts once for each of its words
-            hashes, row = found.hashes[kind], found.row
+            hashes, row = found.hashes[kind], found.rows[kind]
             order = np.lexsort((row, hashes))
             hashes, row = hashes[order], row[order]
             new = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])])[: len(row)] & (hashes != 0)
@@ -123,7 +141,7 @@ def features(raw: np.ndarray, offs: np.ndarray, lexicon: dict) -> np.ndarray:
     per = np.maximum(n, 1)
     add = lambda x: np.bincount(found.row, x, minlength=rows)
     columns, any_hit, weight = [], np.zeros(len(found.row), bool), np.zeros(len(found.row))
-    for kind in KINDS:
+    for kind in KINDS[:-1]:
         words, odds = lexicon[kind]
         if len(words):
             at = np.minimum(np.searchsorted(words, found.hashes[kind]), len(words) - 1)
@@ -133,8 +151,20 @@ def features(raw: np.ndarray, offs: np.ndarray, lexicon: dict) -> np.ndarray:
             hit = np.zeros(len(found.row), bool)
         any_hit |= hit
         columns.append(add(hit))
+    # obfuscated spellings, as words and as spellings of the lexicon
+    spelled, row = found.hashes["spelled"], found.rows["spelled"]
+    spelled_weight = np.zeros(len(row))
+    for kind in ("word", "spelled"):
+        words, odds = lexicon[kind]
+        if len(words):
+            at = np.minimum(np.searchsorted(words, spelled), len(words) - 1)
+            spelled_weight = np.where(words[at] == spelled, np.maximum(spelled_weight, odds[at]), spelled_weight)
+    spelled_hit = spelled_weight > 0
+    add_spelled = lambda x: np.bincount(row, x, minlength=rows)
+    columns.append(add_spelled(spelled_hit))
     greatest = np.zeros(rows)
     np.maximum.at(greatest, found.row, weight)
+    np.maximum.at(greatest, row, spelled_weight)
     you = _YOU[np.minimum(np.searchsorted(_YOU, found.hashes["word"]), len(_YOU) - 1)] == found.hashes["word"]
     # hits with a second-person word at most NEAR words away, in the same row
     seen = np.concatenate([[0], np.cumsum(you)])
@@ -142,12 +172,18 @@ def features(raw: np.ndarray, offs: np.ndarray, lexicon: dict) -> np.ndarray:
     index = np.arange(len(found.row))
     lo, hi = np.maximum(index - NEAR, first[found.row]), np.minimum(index + NEAR + 1, first[found.row + 1])
     near = any_hit & (seen[hi] - seen[lo] > 0)
+    lo, hi = np.maximum(found.first - NEAR, first[row]), np.minimum(found.after + NEAR, first[row + 1])
+    spelled_near = spelled_hit & (seen[hi] - seen[lo] > 0)
+    hits, weights, close = add(any_hit) + add_spelled(spelled_hit), add(weight) + add_spelled(spelled_weight), add(near) + add_spelled(spelled_near)
     cum = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask)])[offs])
-    whole_start, whole_end, whole_row = word_spans(raw, offs)
-    letters, inner = np.concatenate([[0], np.cumsum(_LETTER[raw])]), np.concatenate([[0], np.cumsum(_INNER[raw])])
-    starts_ends_letter = _LETTER[raw[whole_start]] & _LETTER[raw[whole_end - 1]] if len(whole_start) else np.zeros(0, bool)
-    odd = starts_ends_letter & (inner[whole_end] - inner[whole_start] > 0) & (letters[whole_end] - letters[whole_start] > 1)
-    columns += [add(any_hit), add(any_hit) / per, add(weight) / per, greatest, add(near), add(near) / per, cum(_UPPER[raw]) / size, cum(_SHOUT[raw]) / size, np.bincount(whole_row, odd, minlength=rows) / per, n]
+    whole_start, whole_end, whole_row = found.whole
+    # a "!" counts only before a letter: at the end of a word it is plain punctuation
+    before_letter = np.concatenate([_LETTER[raw[1:]], [False]])[: len(raw)]
+    letters, inner = np.concatenate([[0], np.cumsum(_LETTER[raw])]), np.concatenate([[0], np.cumsum(_INNER[raw] & ((raw != 0x21) | before_letter))])
+    runs, held = found.afters - found.firsts, letters[whole_end] - letters[whole_start]
+    odd = (held > 0) & ((inner[whole_end] - inner[whole_start] > 0) | ((runs > 2) & (held == runs)))
+    signs = cum(_SIGN[raw] & ~_SHOUT[raw]) / size
+    columns += [hits, hits / per, weights / per, greatest, close, close / per, cum(_UPPER[raw]) / size, cum(_SHOUT[raw]) / size, signs, np.bincount(whole_row, odd, minlength=rows) / per, n]
     return np.stack(columns, axis=1).astype(np.float64)
 
 

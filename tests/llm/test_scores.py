@@ -100,6 +100,28 @@ def test_chunks_cover_every_byte():
         assert seen.all() and per.tolist() == [len(chunks)]
 
 
+def test_obfuscated_insults_are_seen():
+    none = (np.zeros(0, np.uint64), np.zeros(0))
+    words = np.sort(toxicity.hash_bytes([b"stupid", b"idiot"]))
+    lexicon = {kind: none for kind in toxicity.KINDS} | {"word": (words, np.array([3.0, 3.0]))}
+
+    def of(text, lexicon):
+        x = toxicity.features(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]), lexicon)[0]
+        assert len(x) == toxicity.N_FEATURES
+        return dict(zip(("word", 4, 5, 6, "spelled", "hits", "density", "weight", "greatest", "near", "near_rate", "upper", "shout", "sign", "odd", "n"), x, strict=True))
+
+    for text in ("you 1d1ot here", "you i.d.i.o.t here", "you $tupid here", "you st.upid! here"):
+        got = of(text, lexicon)
+        assert got["spelled"] == got["hits"] == got["near"] == 1 and got["greatest"] == 3 and got["weight"] > 0, text
+    assert all(of(text, lexicon)["odd"] > 0 for text in ("$tupid", "f***", "i.d.i.o.t", "1d1ot"))
+    plain = of("a plain text, then stop! 2024", lexicon)
+    assert plain["odd"] == plain["hits"] == 0 and plain["sign"] == 1 / 29
+    texts = [b"a st*pid one", b"a good one"] * 8
+    learned = toxicity.learn_lexicon(texts, np.array([1, 0] * 8))
+    assert of("the st*pid thing", learned)["spelled"] == 1
+    assert of("", lexicon)["n"] == 0
+
+
 def test_isotonic_is_increasing_and_best():
     x, y = np.array([1.0, 2, 3, 4, 5, 5]), np.array([0.0, 1, 0, 1, 1, 0])
     knots, values = toxicity.isotonic(x, y, np.ones(6))
