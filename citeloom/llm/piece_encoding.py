@@ -2,9 +2,10 @@
 
 Merges run as in SentencePiece's BPE: an agenda holds the adjacent pairs that form a piece; the one of best score
 (the leftmost at a tie) is popped, and merged unless a keyed hash skips it.  A skipped candidate is gone until a
-neighbour's merge forms a new pair there.  The hash is keyed by seed, variant (one of ``VARIANTS``, drawn by a keyed
-hash of doc_id and the place in the text), characters, place and length of the candidate; the same document always
-gets the same ids.  ``dropout=0`` gives SentencePiece's own ids.
+neighbour's merge forms a new pair there.  The hash is keyed by seed, doc_id and the candidate's place in the text, so
+each candidate of each occurrence is drawn on its own; the same document always gets the same ids.  ``dropout=0`` gives
+SentencePiece's own ids.  Of a word only its merges without skips are remembered: an occurrence none of whose merges is
+skipped has those ids, any other runs its own agenda.
 
 The agenda runs over many words at once (numpy, a row per word); characters without a piece become byte pieces, also a
 literal U+2581, which marks spaces inside pieces.  Decoding ids gives back every text to the byte.
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +29,9 @@ from citeloom.llm.vocabulary import SPACE_MARK, default_path, load
 
 DROPOUT = 0.1
 SEED = 20240229
-VARIANTS = 4
 CACHE_ENTRIES = 400_000
+#: Merges of longer words are not remembered (place and end of a merge fit a byte each).
+CACHE_CHARS = 255
 _NONE = np.int32(1 << 30)
 _BITS = 20
 
@@ -53,7 +56,7 @@ class Encoder:
                 if a is not None and b is not None:
                     pairs[a << 16 | b] = self.rank[i]
         self._table(pairs)
-        self.cache: dict[tuple[str, int], bytes] = {}
+        self.cache: dict[str, tuple[bytes, bytes]] = {}
 
     def _table(self, pairs: dict[int, int]) -> None:
         """Open addressing with a few probes, so that lookups are array operations."""
@@ -87,10 +90,10 @@ class Encoder:
             open_ = open_[~hit & (self.keys[at] >= 0)]
         return out
 
-    def encode_words(self, words: list[str], variants: np.ndarray) -> list[bytes]:
-        """Little-endian uint16 ids of each word."""
+    def encode_words(self, words: list[str], keys: np.ndarray | None = None) -> list[tuple[bytes, bytes]]:
+        """Little-endian uint16 ids of each word, and its merges (place << 8 | end) if ``keys`` is None: then none is skipped."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
-        out: list[bytes] = [b""] * len(words)
+        out = [(b"", b"")] * len(words)
         order = np.argsort(lengths, kind="stable")
         at = 0
         while at < len(order):
@@ -99,22 +102,18 @@ class Encoder:
             to = int(np.searchsorted(lengths[order], longest, side="right"))
             to = min(max(to, at + 1), at + max(1, (1 << 17) // longest))
             rows = order[at:to]
-            for r, ids in zip(rows.tolist(), self._block([words[r] for r in rows.tolist()], lengths[rows], variants[rows]), strict=True):
+            for r, ids in zip(rows.tolist(), self._block([words[r] for r in rows.tolist()], lengths[rows], None if keys is None else keys[rows]), strict=True):
                 out[r] = ids
             at = to
         return out
 
-    def _block(self, words: list[str], lengths: np.ndarray, variants: np.ndarray) -> list[bytes]:
+    def _block(self, words: list[str], lengths: np.ndarray, keys: np.ndarray | None) -> list[tuple[bytes, bytes]]:
         m, width = len(words), int(lengths.max(initial=1))
         points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
         row = np.repeat(np.arange(m), lengths)
         col = np.arange(len(points)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         ids = np.full((m, width + 1), -1, np.int32)
         ids[row, col] = self.char_id[points]
-        own = np.zeros((m, width + 1), np.uint64)
-        own[row, col] = mix64(points.astype(np.uint64) + np.uint64(1))
-        sums = np.zeros((m, width + 2), np.uint64)
-        np.cumsum(own * mix64(np.arange(1, width + 2, dtype=np.uint64))[None, :], axis=1, out=sums[:, 1:])
         following = np.tile(np.arange(1, width + 2, dtype=np.int32), (m, 1))
         following[row, col] = np.minimum(col + 1, lengths[row])
         previous = np.tile(np.arange(-1, width, dtype=np.int32), (m, 1))
@@ -123,8 +122,7 @@ class Encoder:
         agenda = np.full((m, width + 1), _NONE, np.int32)
         last = col + 1 < lengths[row]
         agenda[row[last], col[last]] = self._merged(ids[row[last], col[last]], ids[row[last], col[last] + 1])
-        limit = np.uint64(int(self.dropout * float(1 << 53)))
-        keyed = mix64(variants.astype(np.uint64) + np.uint64(self.seed * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+        merges = [(np.zeros(0, np.int64), np.zeros(0, np.uint16))]
         live = np.arange(m)
         while len(live):
             best = agenda[live].argmin(axis=1) if len(live) < m else agenda.argmin(axis=1)
@@ -135,13 +133,14 @@ class Encoder:
                 break
             right = following[live, best]
             end = following[live, right]
-            if self.dropout > 0:
-                h = mix64(keyed[live] ^ (sums[live, end] - sums[live, best]) ^ (best.astype(np.uint64) << np.uint64(32)) ^ end.astype(np.uint64))
-                skip = (h >> np.uint64(11)) < limit
+            if keys is not None:
+                skip = self._skipped(keys[live], best, end)
                 agenda[live[skip], best[skip]] = _NONE
                 go = ~skip
             else:
                 go = slice(None)
+                if self.dropout > 0 and width <= CACHE_CHARS:
+                    merges.append((live, (best << 8 | end).astype(np.uint16)))
             r, p, q, e = live[go], best[go], right[go], end[go]
             ids[r, p] = self.by_rank[rank[go]]
             alive[r, q] = False
@@ -161,7 +160,14 @@ class Encoder:
         out = [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
         for i in np.flatnonzero((alive & (ids < 0)).any(axis=1)).tolist():
             out[i] = self._with_bytes(words[i], ids[i], alive[i])
-        return out
+        of, codes = (np.concatenate(x) for x in zip(*merges, strict=True))
+        flat = codes[np.argsort(of, kind="stable")].tobytes()
+        ends = np.cumsum(np.bincount(of, minlength=m)) * 2
+        return [(x, flat[a:b]) for x, a, b in zip(out, [0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
+    def _skipped(self, keys: np.ndarray, place: np.ndarray, end: np.ndarray) -> np.ndarray:
+        h = mix64(keys ^ (place.astype(np.uint64) << np.uint64(32)) ^ end.astype(np.uint64))
+        return (h >> np.uint64(11)) < np.uint64(int(self.dropout * float(1 << 53)))
 
     def _with_bytes(self, word: str, ids: np.ndarray, alive: np.ndarray) -> bytes:
         got: list[int] = []
@@ -169,34 +175,56 @@ class Encoder:
             got += [int(ids[p])] if ids[p] >= 0 else self.vocabulary.byte_id[list(word[p].encode())].tolist()
         return np.array(got, "<u2").tobytes()
 
+    def word_keys(self, key: int, n: int) -> np.ndarray:
+        """A key for each of the first ``n`` words of the text that ``key`` stands for."""
+        own = mix64(np.array([(key + self.seed * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF], np.uint64))
+        return mix64(own + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
+
     def encode_texts(self, texts: list[str], keys: list[int]) -> list[bytes]:
-        """Ids of whole texts; ``keys`` draw the variants."""
+        """Ids of whole texts; ``keys`` stand for the documents in the skip hash."""
         v, cache = self.vocabulary, self.cache
         mark = self.vocabulary.byte_id[list(SPACE_MARK.encode())].astype("<u2").tobytes()
-        parts: list[tuple[int, list[str], list[int]]] = []
+        parts: list[tuple[int, int]] = []
+        words: list[str] = []
+        drawn = [np.zeros(0, np.uint64)]
         for t, (text, key) in enumerate(zip(texts, keys, strict=True)):
             if not text:
                 continue
+            before = len(words)
             for k, part in enumerate(text.split(SPACE_MARK)):
                 segments = v.segments(("" if k else SPACE_MARK) + part.replace(" ", SPACE_MARK))
-                at = (key + 7919 * k) & (len(_DRAWS) - 1)
-                draws = _DRAWS[at : at + len(segments)]
-                while len(draws) < len(segments):
-                    draws = draws + _DRAWS[: len(segments) - len(draws)]
-                parts.append((t, segments, draws))
-        need = {w for _, segments, draws in parts for w in zip(segments, draws, strict=True)}
+                words += segments
+                parts.append((t, len(segments)))
+            if self.dropout > 0:
+                drawn.append(self.word_keys(key, len(words) - before))
+        need = set(words) if self.dropout <= 0 else {w for w in words if len(w) <= CACHE_CHARS}
         fresh = [w for w in need if w not in cache]
         if len(cache) + len(fresh) > CACHE_ENTRIES:
             cache.clear()
             fresh = list(need)
-        made = self.encode_words([w for w, _ in fresh], np.fromiter((d for _, d in fresh), np.int64, len(fresh)))
         local = cache if len(fresh) < CACHE_ENTRIES else {}
-        local.update(zip(fresh, made, strict=True))
+        local.update(zip(fresh, self.encode_words(fresh), strict=True))
+        known = [local.get(w, (b"", b"")) for w in words]
+        ids = [x for x, _ in known]
+        if self.dropout > 0 and words:
+            every = np.concatenate(drawn)
+            n = np.fromiter((len(c) // 2 for _, c in known), np.int64, len(known))
+            codes = np.frombuffer(b"".join([c for _, c in known]), np.uint16)
+            word = np.repeat(np.arange(len(words)), n)
+            hit = np.zeros(len(words), bool)
+            hit[word[self._skipped(every[word], codes >> 8, codes & 255)]] = True
+            # a long word is not remembered
+            hit |= (n == 0) & (np.fromiter(map(len, words), np.int64, len(words)) > 1)
+            again = np.flatnonzero(hit)
+            for i, (x, _) in zip(again.tolist(), self.encode_words([words[i] for i in again.tolist()], every[again]), strict=True):
+                ids[i] = x
         out: list[list[bytes]] = [[] for _ in texts]
-        for t, segments, draws in parts:
+        at = 0
+        for t, n_words in parts:
             if out[t]:
                 out[t].append(mark)
-            out[t].append(b"".join(map(local.__getitem__, zip(segments, draws, strict=True))) if segments else b"")
+            out[t].append(b"".join(ids[at : at + n_words]))
+            at += n_words
         return [b"".join(x) for x in out]
 
     def decode(self, ids: bytes) -> bytes:
@@ -206,9 +234,6 @@ class Encoder:
         return b"".join(map(self.vocabulary.surface.__getitem__, np.frombuffer(ids, "<u2").tolist()))[1:]
 
 
-_DRAWS = (mix64(np.arange(1 << 16, dtype=np.uint64) + np.uint64(12345)) % np.uint64(VARIANTS)).tolist()
-
-
 def encode_pieces(docs: DataFrame, path: str | None = None, dropout: float = DROPOUT, seed: int = SEED, with_ids: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids_crc32 (of little-endian unsigned 16-bit ids), lossless, and ids if asked for."""
     path = path or default_path()
@@ -220,7 +245,7 @@ def encode_pieces(docs: DataFrame, path: str | None = None, dropout: float = DRO
         for piece, _, _ in text_pieces(batches):
             texts = piece.column("text").to_pylist()
             doc_ids = piece.column("doc_id")
-            keys = [zlib.crc32(b"%d:%s" % (seed, str("" if i is None else i).encode())) for i in doc_ids.to_pylist()]
+            keys = [int.from_bytes(blake2b(b"%d:%s" % (seed, str("" if i is None else i).encode()), digest_size=8).digest()) for i in doc_ids.to_pylist()]
             ids = encoder.encode_texts([t or "" for t in texts], keys)
             columns = [
                 doc_ids,

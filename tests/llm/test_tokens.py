@@ -32,6 +32,15 @@ def test_dropout_varies_and_decodes(texts):
     assert len(all_skipped) // 2 == len("▁abc▁de")
 
 
+def test_dropout_draws_each_occurrence():
+    encoder = piece_encoding.Encoder(default_path(), dropout=0.3)
+    words = [" international"] * 400 + [" of", " " + "ab" * 200, " é日"] * 20
+    got = encoder.encode_texts(["".join(words)[1:]], [11])[0]
+    segments = encoder.vocabulary.segments("".join(words).replace(" ", "▁"))
+    alone = encoder.encode_words(segments, encoder.word_keys(11, len(segments)))
+    assert got == b"".join(x for x, _ in alone) and len({x for x, _ in alone[:400]}) > 8
+
+
 def test_piece_encoding_of_odd_rows(odd, empty):
     got = piece_encoding.encode_pieces(odd).toPandas()
     assert len(got) == odd.count() and got[got.doc_id != 2].lossless.all()
