@@ -29,8 +29,6 @@ GUARD_CHARS = 200
 GUARD_WORDS = 80
 MAX_CHAR_DISTANCE = 0.2
 MAX_WORD_DISTANCE = 0.3
-#: At most so many language references, the most frequent languages first.
-MAX_REFERENCES = 64
 
 #: Common words by language, in order of the alphabet.
 COMMON_WORDS = {
@@ -113,11 +111,11 @@ def base_failed() -> Column:
 
 
 def language_references(counts: DataFrame) -> DataFrame:
-    """Summed histograms of documents that pass the base rules, as shares: a row per language (``MAX_REFERENCES``, the
-    most frequent first) and one with a null language for all of them together."""
-    sums = counts.where(~base_failed()).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in CHAR_BINS + WORD_BINS])
-    kept = sums.where(F.col("lang").isNotNull()).orderBy(F.desc("n"), "lang").limit(MAX_REFERENCES)
-    pooled = sums.agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in CHAR_BINS + WORD_BINS]).select(F.lit(None).cast("string").alias("lang"), "n", *CHAR_BINS, *WORD_BINS)
+    """Summed histograms of documents that pass the base rules, as shares: a row per language
+    and one with a null language for all of them together."""
+    sums = counts.where(~base_failed()).groupBy("lang").agg(*[F.sum(c).alias(c) for c in CHAR_BINS + WORD_BINS])
+    kept = sums.where(F.col("lang").isNotNull()).select("lang", *CHAR_BINS, *WORD_BINS)
+    pooled = sums.agg(*[F.sum(c).alias(c) for c in CHAR_BINS + WORD_BINS]).select(F.lit(None).cast("string").alias("lang"), *CHAR_BINS, *WORD_BINS)
     return kept.unionByName(pooled).select("lang", shares(CHAR_BINS).alias("ref_chars"), shares(WORD_BINS).alias("ref_words"))
 
 
@@ -147,9 +145,9 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     own = counts.select(*plain, "lang", base_failed().alias("base_failed"), F.when(chars >= GUARD_CHARS, shares(CHAR_BINS)).alias("chars"), F.when(F.col("n_words") >= GUARD_WORDS, shares(WORD_BINS)).alias("words"))
     by_lang = references.where(F.col("lang").isNotNull())
     pooled = references.where(F.col("lang").isNull()).select(F.col("ref_chars").alias("all_chars"), F.col("ref_words").alias("all_words"))
-    # MAX_REFERENCES + 1 rows at most, so both are broadcast
+    # one small row per language: the join is chosen by size; the pooled reference is one row
     far = (
-        own.join(F.broadcast(by_lang), "lang", "left")
+        own.join(by_lang, "lang", "left")
         .join(F.broadcast(pooled), F.lit(True), "left")
         .withColumn("ref_chars", F.coalesce("ref_chars", "all_chars"))
         .withColumn("ref_words", F.coalesce("ref_words", "all_words"))

@@ -195,3 +195,9 @@ def test_same_rows_as_sql(spark, oracle, name):
 
 def test_duckdb_is_there():
     assert duckdb.connect().execute("select 1").fetchone() == (1,)
+
+
+def test_every_language_has_a_reference(spark):
+    docs = spark.createDataFrame([(i, sentence(i, 80), f"l{i:02}", "a") for i in range(70)], "doc_id long, text string, lang string, source string")
+    langs = [r.lang for r in quality_rules.language_references(quality_rules.text_counts(docs)).collect()]
+    assert sorted(x for x in langs if x is not None) == [f"l{i:02}" for i in range(70)] and langs.count(None) == 1
