@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from citeloom.sources.scratch import drop_stash, shared_dir, stash
 
-__all__ = ["documents", "drop_stash", "held_out", "mix64", "n_words", "shared_dir", "ship", "stash", "text_pieces", "word_spans", "words"]
+__all__ = ["Known", "Runs", "documents", "drop_stash", "held_out", "mix64", "mix_int", "n_words", "renamed", "resident", "shared_dir", "ship", "stash", "text_pieces", "tidy", "word_spans", "words"]
 
 #: Java and DuckDB regex of the white space that parts words; a word is a run of anything else.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -58,9 +59,23 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def renamed(names: list[str], taken: list[str]) -> list[str]:
+    """``names``, with underscores put before those that are in ``taken`` until each name is free."""
+    used = set(taken) | set(names)
+    out = []
+    for name in names:
+        new = name
+        if name in taken:
+            while new in used:
+                new = f"_{new}"
+            used.add(new)
+        out.append(new)
+    return out
+
+
 # ---------------------------------------------------------------- Arrow batches
 
-def text_pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def text_pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Cut record batches into pieces of about ``limit`` text bytes (one row at least).
 
     Yields the piece, its UTF-8 bytes as one array and the row offsets into it; a null text has no bytes.
@@ -105,6 +120,96 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def mix_int(x: int) -> int:
+    """``mix64`` of one number."""
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB & 0xFFFFFFFFFFFFFFFF
+    return x ^ x >> 31
+
+
+class Runs:
+    """Rows of small numbers in one array."""
+
+    def __init__(self, values: np.ndarray, lengths: np.ndarray):
+        self.values, self.lengths = values, lengths
+
+    def add(self, values: np.ndarray, lengths: np.ndarray) -> None:
+        self.values, self.lengths = np.concatenate([self.values, values]), np.concatenate([self.lengths, lengths])
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values of the given rows, one after the other, and their number by row."""
+        first = np.cumsum(self.lengths) - self.lengths
+        n = self.lengths[rows]
+        at = np.arange(int(n.sum())) + np.repeat(first[rows] - (np.cumsum(n) - n), n)
+        return self.values[at], n
+
+
+class Known(dict):
+    """Numbers of the strings met so far, for each of which some ``runs`` are kept; new strings wait in ``fresh``.
+
+    Strings of more than ``longest`` characters are not remembered (-1).  Beyond ``limit`` strings, the half that was
+    asked for most often stays.
+    """
+
+    def __init__(self, runs: list[Runs], limit: int, longest: int):
+        super().__init__()
+        self.runs, self.limit, self.longest = runs, limit, longest
+        self.fresh: list[str] = []
+        self.uses = np.zeros(0, np.int64)
+
+    def __missing__(self, word: str) -> int:
+        if len(word) > self.longest:
+            return -1
+        self[word] = number = len(self)
+        self.fresh.append(word)
+        return number
+
+    def find(self, words: list[str]) -> np.ndarray:
+        """The numbers of words; fill ``runs`` for ``fresh`` (in this order) before they are taken."""
+        if len(self) > self.limit:
+            most = np.argsort(-self.uses, kind="stable")[: self.limit // 2]
+            names = list(self)
+            self.clear()
+            self.update((names[i], k) for k, i in enumerate(most.tolist()))
+            self.runs = [Runs(*r.take(most)) for r in self.runs]
+            self.uses = self.uses[most] // 2
+        which = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        self.uses = np.concatenate([self.uses, np.zeros(len(self) - len(self.uses), np.int64)]) + np.bincount(which[which >= 0], minlength=len(self))
+        return which
+
+    def fill(self, *made: tuple[np.ndarray, np.ndarray]) -> None:
+        for runs, new in zip(self.runs, made, strict=True):
+            runs.add(*new)
+        self.fresh = []
+
+
+_resident: dict = {}
+
+
+def resident(key: object, make: Callable[[], object]) -> object:
+    """The one model or table that this Python worker holds: made once, and let go when another is asked for."""
+    if key not in _resident:
+        _resident.clear()
+        _resident[key] = make()
+    return _resident[key]
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, giving freed memory back to the system at the task's end, since idle workers live on beside other stages."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+    return wrapped
+
+
 _ROOT = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 BYTE_KEY = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
