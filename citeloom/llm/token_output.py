@@ -4,29 +4,40 @@ Documents in ascending doc_id order (range-partitioned) are encoded, ``END`` is
 groups of whole documents, each one binary value of a Parquet table: Spark's commit makes the write whole whatever
 executors are lost, and any store that Spark can write to will do.  A group holds
 
-    magic, counts, doc_ids, document lengths, the order-0 table, a table of blocks, and the blocks' code.
+    magic, counts, doc_ids, document lengths, the tables of orders 0 and 1, a table of blocks, and the blocks' code.
 
-Blocks of ``BLOCK`` ids are reset on their own and carry a checksum of their code and one of their ids.  In a block an
-arithmetic (range) coder is driven by mixed predictions: order-2 and order-1 contexts each predict one id, with a
-confidence; counts kept for each pair of confidences, which adapt id by id, share the range between "order 2 is right",
-"order 1 is right" and the order-0 distribution of the group's ids.  Blocks of a group run in lock-step as lanes of
-numpy arrays.
+Blocks of ``BLOCK`` ids are reset on their own and carry a checksum of their code and one of their ids.  In a block a
+range coder is driven by three predictions that are mixed:
+
+* order 2: the id that followed the last two ids before, in this block, with a confidence; learned id by id;
+* order 1: the group's frequencies of the ids that followed the last id, where they pay for their place in the table;
+* order 0: the group's frequencies of all ids.
+
+The shares of the three in the range are probabilities that adapt id by id in each block, kept for each pair of order
+2's confidence and order 1's coverage.  Blocks of a group run in lock-step as lanes of numpy arrays.
 
 ``token_table`` reads the files and returns per document doc_id, start, n_tokens and ids_crc32.
 
-Tokenizing: the pre-tokens of a text are independent in a byte-level BPE, so ids are remembered per pre-token (bounded)
-and the library is asked for new ones; a text with characters beyond ASCII and Latin letters goes to the library whole.
+Tokenizing is the library's, special tokens in a text included.  The pre-tokens of a text are independent in a byte-level
+BPE, so ids are remembered per pre-token (bounded) and the library is asked for new ones; texts with characters beyond
+ASCII and Latin letters are cut only before spaces that follow a non-space, which no pre-token crosses.  A text with a
+special token goes to the library whole.
 
 A null text is encoded as empty (its only id is ``END``).  Null doc_ids come first.  Rows with equal doc_id are ordered
-by their ids' checksum.  An empty table writes nothing and gives no rows.  Extra columns are ignored.
+by their text's checksum (crc32, then xxhash64), equal rows are alike.  An empty text has one id, an empty table writes no
+group and gives no rows.  Extra columns are ignored.  A group is held in memory whole: about 60 bytes an id of ``BLOCK`` *
+``LANES`` ids, or of the longest document if that is longer.
 """
 
 from __future__ import annotations
 
+import json
+import os
 import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,18 +45,25 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import documents, shared_dir, text_pieces
+from citeloom.llm.common import Known, Runs, documents, mix64, resident, shared_dir, text_pieces, tidy
 from citeloom.llm.vocabulary import default_path
 
 END = 2
-BLOCK, LANES = 2048, 2048
-SLOTS = 1024
-MAGIC = b"CLTOK2\0\0"
-CACHE_ENTRIES = 400_000
-_TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
-_W = np.uint64(16)
-#: A settled range has 2**32 places at least, so 12 bits of share and 18 of order 0 leave 4 for an id's place.
-_SHARE_BITS, _ORDER0_BITS = 12, 18
+BLOCK, LANES = 1024, 3072
+SLOT_BITS = 9
+MAGIC = b"CLTOK3\0\0"
+#: Pre-tokens and other parts whose ids a worker remembers, and their greatest length.
+CACHE_WORDS, CACHE_CHARS = 450_000, 64
+#: Bits of the shares of the three orders, and of the frequencies of order 1 in them.
+SHARE_BITS, ORDER1_BITS = 12, 14
+#: Bytes that an entry of the order-1 table has to save.
+ENTRY_BYTES = 3
+#: Pairs of ids up to which entries are found in a table of all pairs (64 MB).
+DIRECT = 1 << 24
+_EMPTY = (1 << 20) - 1
+_ALL, _NO = np.int32(1 << SHARE_BITS), np.uint64(0)
+_WORD_BITS = np.uint64(32)
+_LOW_WORD = np.uint64(0xFFFFFFFF)
 
 
 # ---------------------------------------------------------------- tokenizer
@@ -53,114 +71,242 @@ _SHARE_BITS, _ORDER0_BITS = 12, 18
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 _PLAIN = re.compile(f"[ -~\\n\\t\\r{_LETTERS}]*")
 #: Fixed value: the pre-tokenizer's pattern, its letters and digits narrowed to those of plain texts.
-_PRE_TOKENS = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s0-9{_LETTERS}]+|\s+(?!\S)|\s+")
-
+_PRE_TOKENS = re.compile(rf" ?[{_LETTERS}]+| ?[0-9]+|'(?:s|t|re|ve|m|ll|d)| ?[^\s0-9{_LETTERS}]+|\s+(?!\S)|\s+")
+_JOINED = re.compile("(?s) [^\\s\u180e\u200b](?:.*[^\\s\u180e\u200b])?")
+#: A space after anything that is no white space (nor counted as such by older tables): parts can be cut before it.
+_BORDER = re.compile("(?<=[^\\s\u180e\u200b]) ")
 
-class TextEncoder(dict):
-    """Maps a pre-token to its ids (little-endian uint32)."""
 
+class TextEncoder:
     def __init__(self, path: str):
-        super().__init__()
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are parallel already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-
-    def __missing__(self, token: str) -> bytes:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        ids = np.array(self.tokenizer.encode(token, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(token) <= 64:
-            self[token] = ids
-        return ids
-
-    def encode(self, text: str) -> bytes:
+        made = json.loads(self.tokenizer.to_str())
+        special = [t["content"] for t in made["added_tokens"]]
+        self.special = re.compile("|".join(map(re.escape, special))) if special else None
+        before = made.get("pre_tokenizer") or {}
+        #: Whether parts are independent: a plain byte-level BPE without a normalizer.
+        self.by_parts = made.get("normalizer") is None and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+        vocabulary = self.tokenizer.get_vocab()
+        #: bytes of each id: a byte-level piece is spelled with a character a byte
+        self.size = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        self.size[list(vocabulary.values())] = [len(piece) for piece in vocabulary]
+        self.known = Known([Runs(np.zeros(0, np.uint32), np.zeros(0, np.int64))], CACHE_WORDS, CACHE_CHARS)
+
+    def split(self, text: str) -> list[str]:
+        """Parts of a text whose ids are independent; joined they give the text."""
+        if not self.by_parts or (self.special is not None and self.special.search(text)):
+            return [text] if text else []
         if _PLAIN.fullmatch(text):
-            return b"".join(map(self.__getitem__, _PRE_TOKENS.findall(text)))
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return _PRE_TOKENS.findall(text)
+        borders = [0, *[m.start() for m in _BORDER.finditer(text)], len(text)]
+        return [text[a:b] for a, b in zip(borders, borders[1:], strict=False) if b > a]
+
+    def _asked(self, surfaces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(surfaces, add_special_tokens=False)] if surfaces else []
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths
+
+    def library(self, surfaces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The library's ids of each surface.  Those that begin at a border are sent joined; bytes tell their ids apart."""
+        joined = np.fromiter((bool(self.by_parts and _JOINED.fullmatch(x)) for x in surfaces), bool, len(surfaces))
+        if self.special is not None and self.special.search("".join(surfaces)):
+            joined &= np.fromiter((self.special.search(x) is None for x in surfaces), bool, len(surfaces))
+        here, other = np.flatnonzero(joined), np.flatnonzero(~joined)
+        words = [surfaces[i] for i in here.tolist()]
+        ids, _ = self._asked(["".join(words[i : i + 100]) for i in range(0, len(words), 100)])
+        ends = np.cumsum(self.size[ids])
+        own_ends = np.cumsum(np.fromiter((len(w.encode()) for w in words), np.int64, len(words)))
+        upto = np.searchsorted(ends, own_ends, side="right")
+        if len(words) and not (len(ends) == upto[-1] and (ends[upto - 1] == own_ends).all()):
+            raise ValueError("the library joined words over a border")
+        rest, rest_lengths = self._asked([surfaces[i] for i in other.tolist()])
+        both = Runs(np.concatenate([ids, rest]), np.concatenate([np.diff(upto, prepend=0), rest_lengths]))
+        place = np.empty(len(surfaces), np.int64)
+        place[np.concatenate([here, other])] = np.arange(len(surfaces))
+        return both.take(place)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of whole texts, one after the other, and their number by text."""
+        parts = [self.split(t) for t in texts]
+        words = list(chain.from_iterable(parts))
+        which = self.known.find(words)
+        if self.known.fresh:
+            self.known.fill(self.library(self.known.fresh))
+        (runs,) = self.known.runs
+        long = np.flatnonzero(which < 0)
+        if len(long):
+            values, lengths = self.library([words[i] for i in long.tolist()])
+            which[long] = len(runs.lengths) + np.arange(len(long))
+            runs = Runs(np.concatenate([runs.values, values]), np.concatenate([runs.lengths, lengths]))
+        ids, lengths = runs.take(which)
+        return ids, np.bincount(np.repeat(np.arange(len(texts)), [len(own) for own in parts]), lengths, minlength=len(texts)).astype(np.int64)
 
 
 # ---------------------------------------------------------------- coder
 
+def _quantized(counts: np.ndarray, context: np.ndarray, contexts: int, bits: int) -> np.ndarray:
+    """Counts as frequencies of 1 at least that add up to 2**bits in each context (rows sorted by context)."""
+    if not len(counts):
+        return np.zeros(0, np.int64)
+    rows = np.bincount(context, minlength=contexts)
+    sums = np.zeros(contexts, np.int64)
+    np.add.at(sums, context, counts)
+    freq = np.maximum(1, counts * ((1 << bits) - rows[context]) // sums[context])
+    given = np.zeros(contexts, np.int64)
+    np.add.at(given, context, freq)
+    # the rest goes to the most frequent row of the context
+    order = np.lexsort((-counts, context))
+    most = order[np.concatenate([[True], context[order][1:] != context[order][:-1]])]
+    freq[most] += (1 << bits) - given[context[most]]
+    return freq
+
+
 class Order0:
-    """Quantized frequencies of the ids of a group, as cumulative sums to 2**18."""
+    """Frequencies of a group's ids, which are numbered by rank."""
 
     def __init__(self, ids: np.ndarray, counts: np.ndarray):
-        self.ids, self.counts = ids, counts
-        total = int(counts.sum())
-        scaled = np.maximum(1, counts.astype(np.int64) * ((1 << _ORDER0_BITS) - len(ids)) // max(total, 1))
-        if len(ids):
-            scaled[scaled.argmax()] += (1 << _ORDER0_BITS) - scaled.sum()
-        self.freq = scaled
-        self.first = np.concatenate([[0], np.cumsum(scaled)])
+        self.ids, self.counts = ids, counts.astype(np.int64)
+        self.bits = max(16, len(ids).bit_length() + 2)
+        if self.bits > 32 - SHARE_BITS:
+            raise ValueError("a group has more distinct ids than the format has room for")
+        self.freq = _quantized(self.counts, np.zeros(len(ids), np.int64), 1, self.bits)
+        self.first = np.cumsum(self.freq) - self.freq
+
+
+class Order1:
+    """Frequencies of ranks that follow a rank: entries sorted by (context, rank)."""
+
+    def __init__(self, distinct: int, keys: np.ndarray, counts: np.ndarray, cover: np.ndarray):
+        """``keys`` are context * distinct + rank; ``cover`` is 0 (no entries) to 3 by context, the last for a block's start."""
+        self.keys, self.counts, self.cover = keys, counts, cover
+        context, self.rank = np.divmod(keys, max(distinct, 1))
+        self.freq = _quantized(counts, context, distinct + 1, ORDER1_BITS)
+        self.begin = np.cumsum(self.freq) - self.freq  # 2**ORDER1_BITS for each context with entries, so this goes on
+        there = np.bincount(context, minlength=distinct + 1) > 0
+        #: where each context's range begins in ``begin``
+        self.base = (np.cumsum(there) - there).astype(np.int64) << ORDER1_BITS
+        self.first = self.begin - self.base[context]
+        #: places of all contexts' ranges
+        self.total = int(there.sum()) << ORDER1_BITS
+
+    @classmethod
+    def learn(cls, order0: Order0, ranks: np.ndarray, previous: np.ndarray) -> tuple[Order1, np.ndarray]:
+        """The table, and the entry of each id (-1 for none)."""
+        distinct = len(order0.ids)
+        small = (distinct + 1) * distinct < 1 << 31
+        pairs = previous.astype(np.int32 if small else np.int64)
+        pairs *= max(distinct, 1)
+        pairs += ranks
+        ordered = np.sort(pairs)
+        begin = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])[: len(pairs)])
+        keys, counts = ordered[begin].astype(np.int64), np.diff(np.append(begin, len(pairs)))
+        del ordered
+        context, rank = np.divmod(keys, max(distinct, 1))
+        total = np.zeros(distinct + 1, np.int64)
+        np.add.at(total, context, counts)
+        saved = counts * np.log2((counts / total[context]) / (order0.freq[rank] / float(1 << order0.bits)))
+        kept = (saved > 8 * ENTRY_BYTES) & (context < distinct)
+        # a context has room for half as many entries as its range has places; the best stay
+        best = np.lexsort((-saved, context, ~kept))[: int(kept.sum())]
+        inside = np.arange(len(best)) - np.searchsorted(context[best], context[best])
+        kept[best[inside >= 1 << (ORDER1_BITS - 1)]] = False
+        covered = np.zeros(distinct + 1, np.int64)
+        np.add.at(covered, context[kept], counts[kept])
+        cover = np.where(covered == 0, 0, 1 + (2 * covered > total) + (10 * covered > 9 * total)).astype(np.uint8)
+        table = keys[kept].astype(pairs.dtype)
+        if (distinct + 1) * distinct <= DIRECT:
+            number = np.full((distinct + 1) * distinct, -1, np.int32)
+            number[table] = np.arange(len(table))
+            entry = number.take(pairs)
+        else:
+            entry = np.full(len(pairs), -1, np.int32)
+            if len(table):
+                at = np.minimum(np.searchsorted(table, pairs), len(table) - 1)
+                np.copyto(entry, at, where=table[at] == pairs, casting="same_kind")
+        return cls(distinct, keys[kept], counts[kept], cover), entry
+
+
+class Entries:
+    """Entries of order 1 and, after them, of order 0 along one line of places, for the way back from a place."""
+
+    def __init__(self, order0: Order0, order1: Order1, shift: int):
+        begin = np.concatenate([order1.begin, order1.total + order0.first])
+        end = order1.total + (1 << order0.bits)
+        self.rank = np.concatenate([order1.rank, np.arange(len(order0.ids))]).astype(np.int32)
+        self.both = np.concatenate([order1.first << shift, order0.first]) << 32 | np.concatenate([order1.freq << shift, order0.freq])
+        # the entry at the first place of each bucket of 2**5 places: a search starts there
+        self.bucket = np.searchsorted(begin, np.arange((end >> 5) + 1) << 5, side="right").astype(np.int32) - 1
+        self.next = np.append(begin[1:], np.iinfo(np.int64).max)
+
+    def entry_at(self, places: np.ndarray) -> np.ndarray:
+        """The entry that holds each place."""
+        entry = self.bucket.take(places >> 5)
+        later = (self.next.take(entry) <= places).nonzero()[0]
+        while len(later):
+            entry[later] += 1
+            later = later[self.next.take(entry[later]) <= places[later]]
+        return entry
 
 
 class Lanes:
-    """The adaptive state of all blocks: contexts, confidences and counts; the same steps on either side.
-
-    A context's slot holds its predicted id and the confidence (0 to 3) in one number.  Everything is integers, or
-    quotients of small integers in doubles, so that both sides agree on any machine.
-    """
-
-    def __init__(self, n: int):
-        self.slots = [np.full(n * SLOTS, 0xFFFF, np.int32) for _ in range(2)]
-        self.counts = [np.full(n * 16, c, np.int32) for c in (48, 24, 72)]
-        self.last = [np.zeros(n, np.int64) for _ in range(2)]
-        self.base, self.state_base = np.arange(n) * SLOTS, np.arange(n) * 16
+    """The adaptive state of all blocks: order 2's guesses and the shares; the same steps on either side, all integers."""
+
+    def __init__(self, n: int, start: int, cover: np.ndarray):
+        self.slots = np.full(n << SLOT_BITS, _EMPTY, np.int32)  # guess, and confidence (0 to 3) above 20 bits
+        # probabilities in 16 bits that order 2 is right, and (lower half) that order 1 has the id if not
+        self.shares = np.full(n * 16, 1 << 29 | 3 << 14, np.int32)
+        self.one, self.context = np.full(n, start, np.int64), np.zeros(n, np.int64)
+        self.slot_base, self.state_base = np.arange(n) << SLOT_BITS, np.arange(n) * 16
+        self.cover = cover.astype(np.int64)
+        #: a rank's bits in the context of order 2; of the rank before, the lower ones stay
+        self.bits = (mix64(np.arange(start + 1, dtype=np.uint64)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
     def predict(self, k: int) -> None:
-        """For the first k lanes: both guesses, their state and the shares (cumulative, to 2**12)."""
-        one, two = self.last[0][:k], self.last[1][:k]
-        self.at = [self.base[:k] + (((two * 40503 + one) * 2654435761 >> 13) & (SLOTS - 1)), self.base[:k] + ((one * 2654435761 >> 11) & (SLOTS - 1))]
-        held = [self.slots[o].take(self.at[o]) for o in range(2)]
-        self.ids = [h & 0xFFFF for h in held]
-        self.conf = [h >> 16 for h in held]
-        self.state = self.state_base[:k] + (self.conf[0] << 2) + self.conf[1]
-        c0, c1, c2 = (c.take(self.state) for c in self.counts)
-        self.total = c0 + c1 + c2
-        scale = float((1 << _SHARE_BITS) - 3) / self.total
-        self.cut1 = 1 + (c0 * scale).astype(np.int64)
-        self.cut2 = self.cut1 + 1 + (c1 * scale).astype(np.int64)
-
-    def update(self, ids: np.ndarray, event: np.ndarray) -> None:
-        k = len(ids)
-        for e in range(3):
-            self.counts[e][self.state[event == e]] += 24
-        for s in self.state[self.total > 3000].tolist():
-            for c in self.counts:
-                c[s] = (c[s] + 1) >> 1
-        for o in range(2):
-            hit = self.ids[o] == ids
-            conf = np.where(hit, np.minimum(self.conf[o] + 1, 3), self.conf[o] - 1)
-            self.slots[o][self.at[o]] = np.where(conf <= 0, ids | (1 << 16), self.ids[o] | (conf << 16))
-        self.last[1][:k] = self.last[0][:k]
-        self.last[0][:k] = ids
-
-
-def _narrow(low: np.ndarray, size: np.ndarray, first: np.ndarray, freq: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    unit = size >> np.uint64(bits)
-    return low + unit * first.astype(np.uint64), unit * freq.astype(np.uint64)
-
-
-def _share(lanes: Lanes, event: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First place and width of each lane's event."""
-    first = np.where(event == 0, 0, np.where(event == 1, lanes.cut1, lanes.cut2))
-    return first, np.where(event == 0, lanes.cut1, np.where(event == 1, lanes.cut2, 1 << _SHARE_BITS)) - first
-
-
-def _settle(low: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Shift out settled 16-bit words in place; yields which lanes gave a word, and the words."""
-    while True:
-        same = (low ^ (low + size)) < _TOP
-        short = ~same & (size < _BOTTOM)
-        at = np.flatnonzero(same | short)
-        if not len(at):
-            return
-        cut = np.flatnonzero(short)
-        size[cut] = (~low[cut] + np.uint64(1)) & (_BOTTOM - np.uint64(1))
-        yield at, (low[at] >> np.uint64(48)).astype(np.uint16)
-        low[at] <<= _W
-        size[at] <<= _W
+        """For the first k lanes: order 2's guess, and the places in 2**SHARE_BITS where the shares of orders 1 and 0 begin."""
+        self.at = self.slot_base[:k] + self.context[:k]
+        self.held = self.slots.take(self.at)
+        self.guess = self.held & _EMPTY
+        self.conf = self.held >> 20
+        self.state = self.state_base[:k] + self.cover.take(self.one[:k])
+        self.state += self.conf << 2
+        both = self.shares.take(self.state)
+        self.p2, self.p1 = both >> 16, both & 0xFFFF
+        self.cut1 = (self.p2 >> 4) + 1
+        cut2 = 4095 - self.cut1
+        cut2 *= self.p1
+        cut2 >>= 16
+        cut2 += self.cut1
+        cut2 += 1
+        self.cut2 = cut2
+
+    def update(self, ranks: np.ndarray, right: np.ndarray, by1: np.ndarray) -> None:
+        """``right``: the lanes whose guess was the id; ``by1``: 1 where order 1 has it (int32)."""
+        k = len(ranks)
+        p2, p1, held = self.p2, self.p1, self.held
+        old1 = p1[right]
+        # probabilities stay in 15 to 32,655 (of 2**15) and 15 to 65,295 (of 2**16), so every share has a place
+        p2 -= p2 >> 4
+        p2[right] += 2040
+        p1 += by1 * np.int32(4080)
+        p1 -= p1 >> 4
+        p1[right] = old1
+        p2 <<= 16
+        p2 |= p1
+        self.shares[self.state] = p2
+        # a guess that fails loses confidence, and its place when it has none left
+        changed = ranks | np.int32(1 << 20)
+        sure = (self.conf > 1).nonzero()[0]
+        changed[sure] = held[sure] - (1 << 20)
+        changed[right] = np.minimum(held[right] + (1 << 20), self.guess[right] | 3 << 20)
+        self.slots[self.at] = changed
+        context = self.context[:k]
+        context <<= 5
+        context ^= self.bits.take(ranks)
+        context &= (1 << SLOT_BITS) - 1
+        self.one[:k] = ranks
 
 
 def _lengths(total: int) -> np.ndarray:
@@ -168,125 +314,211 @@ def _lengths(total: int) -> np.ndarray:
     return np.minimum(BLOCK, total - np.arange(n) * BLOCK)
 
 
-def code_blocks(ids: np.ndarray, order0: Order0) -> tuple[np.ndarray, np.ndarray]:
-    """16-bit words of all blocks one after another, and the number of words of each."""
-    lengths = _lengths(len(ids))
+def _alive(lengths: np.ndarray, steps: int) -> list[int]:
+    """How many blocks (the first ones) are longer than t, for each t."""
+    return np.searchsorted(-lengths, -np.arange(steps), side="left").tolist()
+
+
+def _by_step(values: np.ndarray, lanes: int) -> np.ndarray:
+    """Row t has the value at place t of each block."""
+    padded = np.zeros(lanes * BLOCK, values.dtype)
+    padded[: len(values)] = values
+    return np.ascontiguousarray(padded.reshape(lanes, BLOCK).T)
+
+
+def code_blocks(ranks: np.ndarray, entry: np.ndarray, order0: Order0, order1: Order1) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit words of all blocks one after another, and the number of words of each."""
+    lengths = _lengths(len(ranks))
     n = len(lengths)
-    lanes = Lanes(n)
+    steps = int(lengths.max(initial=0))
+    bits = np.uint64(order0.bits)
+    total_bits = np.uint64(SHARE_BITS + order0.bits)
+    by1 = entry >= 0
+    at = np.maximum(entry, 0)
+    shift = order0.bits - ORDER1_BITS
+    first = order0.first.astype(np.uint32)[ranks]
+    freq = order0.freq.astype(np.uint32)[ranks]
+    if len(order1.keys):
+        np.copyto(first, (order1.first << shift).astype(np.uint32)[at], where=by1)
+        np.copyto(freq, (order1.freq << shift).astype(np.uint32)[at], where=by1)
+    first, freq, by1, ranks = (_by_step(x, n) for x in (first, freq, by1, ranks.astype(np.int32)))
+    lanes = Lanes(n, len(order0.ids), order1.cover)
     low, size = np.zeros(n, np.uint64), np.full(n, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    who, what = [], []
-    place = np.searchsorted(order0.ids, ids)
-    for t in range(BLOCK):
-        k = int(np.searchsorted(-lengths, -t, side="left"))  # lanes that are longer than t
-        if not k:
-            break
-        at = np.arange(k) * BLOCK + t
-        own = ids[at]
+    room = steps + 3
+    out = np.zeros(n * room, np.uint64)  # a word each; a carry is added to the word before
+    end = np.arange(n) * room
+    whole = np.uint64(1 << order0.bits)
+    for t, k in enumerate(_alive(lengths, steps)):
         lanes.predict(k)
-        event = np.where(own == lanes.ids[0], 0, np.where(own == lanes.ids[1], 1, 2))
-        lo, sz = _narrow(low[:k], size[:k], *_share(lanes, event), _SHARE_BITS)
-        left = np.flatnonzero(event == 2)
-        p = place[at[left]]
-        lo[left], sz[left] = _narrow(lo[left], sz[left], order0.first[p], order0.freq[p], _ORDER0_BITS)
-        for lane, words in _settle(lo, sz):
-            who.append(lane)
-            what.append(words)
-        low[:k], size[:k] = lo, sz
-        lanes.update(own, event)
-    for shift in (48, 32, 16, 0):
-        who.append(np.arange(n))
-        what.append((low >> np.uint64(shift) & np.uint64(0xFFFF)).astype(np.uint16))
-    who, what = np.concatenate(who), np.concatenate(what)
-    return what[np.argsort(who, kind="stable")], np.bincount(who, minlength=n)
-
-
-def decode_blocks(words: np.ndarray, sizes: np.ndarray, total: int, order0: Order0) -> np.ndarray:
+        own, one = ranks[t, :k], by1[t, :k]
+        right = (lanes.guess == own).nonzero()[0]
+        place = np.where(one, lanes.cut1, lanes.cut2).astype(np.uint64)
+        width = np.where(one, lanes.cut2, _ALL).astype(np.uint64)
+        width -= place
+        own_first, own_freq = first[t, :k].astype(np.uint64), freq[t, :k].astype(np.uint64)
+        place[right], width[right], own_first[right], own_freq[right] = _NO, lanes.cut1[right], _NO, whole
+        unit = size[:k] >> total_bits
+        own_first *= width
+        place <<= bits
+        own_first += place
+        own_first *= unit
+        lo = low[:k]
+        lo += own_first
+        carry = (lo < own_first).nonzero()[0]
+        if len(carry):
+            out[end[carry] - 1] += np.uint64(1)
+        sz = size[:k]
+        np.multiply(unit, width, out=sz)
+        sz *= own_freq
+        full = (sz <= _LOW_WORD).nonzero()[0]
+        e = end[full]
+        word = lo[full]
+        out[e] = word >> _WORD_BITS
+        end[full] = e + 1
+        lo[full] = word << _WORD_BITS
+        sz[full] <<= _WORD_BITS
+        lanes.update(own, right, one.astype(np.int32))
+    for shift_ in (_WORD_BITS, np.uint64(0)):
+        out[end] = low >> shift_ & _LOW_WORD
+        end += 1
+    while len(over := np.flatnonzero(out > _LOW_WORD)):
+        out[over] &= _LOW_WORD
+        out[over - 1] += np.uint64(1)
+    sizes = end - np.arange(n) * room
+    return out.reshape(n, room)[np.arange(room) < sizes[:, None]].astype("<u4"), sizes
+
+
+def decode_blocks(words: np.ndarray, sizes: np.ndarray, total: int, order0: Order0, order1: Order1) -> np.ndarray:
+    """The ranks of all blocks."""
     lengths = _lengths(total)
     n = len(lengths)
-    lanes = Lanes(n)
-    low, size = np.zeros(n, np.uint64), np.full(n, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    words = np.concatenate([words, np.zeros(4, np.uint16)]).astype(np.uint64)
+    steps = int(lengths.max(initial=0))
+    bits, total_bits = np.uint64(order0.bits), np.uint64(SHARE_BITS + order0.bits)
+    top = np.uint64((1 << (SHARE_BITS + order0.bits)) - 1)
+    shift = order0.bits - ORDER1_BITS
+    lanes = Lanes(n, len(order0.ids), order1.cover)
+    words = np.concatenate([words, np.zeros(4, "<u4")]).astype(np.uint64)
     at = np.cumsum(sizes) - sizes
-    code = np.zeros(n, np.uint64)
-    for _ in range(4):
-        code = (code << _W) | words[at]
-        at = at + 1
-    out = np.zeros(n * BLOCK, np.int64)
-    symbol = np.repeat(np.arange(len(order0.ids)), order0.freq)  # the id at each place of the order-0 range
-    for t in range(BLOCK):
-        k = int(np.searchsorted(-lengths, -t, side="left"))
-        if not k:
-            break
+    code = (words[at] << _WORD_BITS) | words[at + 1]  # less the low end of the range, which is 0 first
+    at += 2
+    size = np.full(n, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    table = Entries(order0, order1, shift)
+    base0, whole = int(order1.total), 1 << order0.bits
+    out = np.zeros((steps, n), np.int32)
+    for t, k in enumerate(_alive(lengths, steps)):
         lanes.predict(k)
-        lo, sz, cd = low[:k], size[:k], code[:k]
-        share = np.minimum((cd - lo) // (sz >> np.uint64(_SHARE_BITS)), np.uint64((1 << _SHARE_BITS) - 1)).astype(np.int64)
-        event = (share >= lanes.cut1).astype(np.int64) + (share >= lanes.cut2)
-        lo, sz = _narrow(lo, sz, *_share(lanes, event), _SHARE_BITS)
-        own = np.where(event == 0, lanes.ids[0], lanes.ids[1]).astype(np.int64)
-        left = np.flatnonzero(event == 2)
-        lo2, sz2 = lo[left], sz[left]
-        v = np.minimum((cd[left] - lo2) // (sz2 >> np.uint64(_ORDER0_BITS)), np.uint64((1 << _ORDER0_BITS) - 1)).astype(np.int64)
-        p = symbol[v]
-        own[left] = order0.ids[p]
-        lo[left], sz[left] = _narrow(lo2, sz2, order0.first[p], order0.freq[p], _ORDER0_BITS)
-        for lane, _ in _settle(lo, sz):
-            cd[lane] = (cd[lane] << _W) | words[at[lane]]
-            at[lane] += 1
-        low[:k], size[:k], code[:k] = lo, sz, cd
-        out[np.arange(k) * BLOCK + t] = own
-        lanes.update(own, event)
-    return out[:total]
+        cd, sz = code[:k], size[:k]
+        unit = sz >> total_bits
+        value = np.minimum(cd // unit, top).view(np.int64)
+        share = value >> order0.bits
+        right = (share < lanes.cut1).nonzero()[0]
+        after = share >= lanes.cut2
+        place = np.where(after, lanes.cut2, lanes.cut1).astype(np.int64)
+        width = np.where(after, _ALL, lanes.cut2).astype(np.int64)
+        width -= place
+        start = place << order0.bits
+        value -= start
+        value[right] = 0
+        # quotients of integers below 2**32 are exact in doubles
+        inner = (value / width).astype(np.int64)
+        inner >>= np.where(after, 0, shift)
+        inner += np.where(after, base0, order1.base.take(lanes.one[:k]))
+        e = table.entry_at(inner)
+        own = table.rank.take(e)
+        both = table.both.take(e)
+        first, freq = both >> 32, both & 0xFFFFFFFF
+        own[right] = lanes.guess[right]
+        start[right], width[right], first[right], freq[right] = 0, lanes.cut1[right], 0, whole
+        first *= width
+        first += start
+        cd -= unit * first.view(np.uint64)
+        freq *= width
+        np.multiply(unit, freq.view(np.uint64), out=sz)
+        full = (sz <= _LOW_WORD).nonzero()[0]
+        p = at[full]
+        cd[full] = (cd[full] << _WORD_BITS) | words[p]
+        at[full] = p + 1
+        sz[full] <<= _WORD_BITS
+        out[t, :k] = own
+        lanes.update(own, right, (~after).astype(np.int32))
+    flat = np.zeros((n, BLOCK), np.int32)
+    flat[:, :steps] = out.T
+    return flat.ravel()[:total]
 
 
 # ---------------------------------------------------------------- groups
 
-def pack_group(doc_ids: list[int | None], ids: list[bytes]) -> bytes:
+def pack_group(doc_ids: list[int | None], ids: np.ndarray, lengths: np.ndarray) -> bytes:
     """One group of whole documents in the file format."""
-    flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int64)
-    values, counts = np.unique(flat, return_counts=True)
+    ids = ids.astype(np.int64)
+    if len(ids) and ids.max() < 1 << 22:
+        counts = np.bincount(ids)
+        values = np.flatnonzero(counts)
+        counts = counts[values]
+        ranks = (np.cumsum(np.bincount(ids) > 0) - 1).astype(np.int32)[ids]
+    else:
+        values, ranks, counts = np.unique(ids, return_inverse=True, return_counts=True)
     order0 = Order0(values, counts)
-    words, sizes = code_blocks(flat, order0)
-    words = words.astype("<u2")
+    previous = np.concatenate([[len(values)], ranks[:-1]])[: len(ranks)]
+    previous[::BLOCK] = len(values)
+    order1, entry = Order1.learn(order0, ranks, previous)
+    words, sizes = code_blocks(ranks, entry, order0, order1)
     starts = np.cumsum(sizes) - sizes
-    code_sums = [zlib.crc32(words[a : a + n].tobytes()) for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
-    id_sums = [zlib.crc32(flat[a : a + BLOCK].astype("<u4").tobytes()) for a in range(0, len(flat), BLOCK)]
+    code_sums = [zlib.crc32(words[a : a + n]) for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+    little = ids.astype("<u4")
+    id_sums = [zlib.crc32(little[a : a + BLOCK]) for a in range(0, len(little), BLOCK)]
+    context, rank = np.divmod(order1.keys, max(len(values), 1))
     parts = [
         np.array([i is None for i in doc_ids], np.uint8).tobytes(),
         np.diff(np.array([0 if i is None else i for i in doc_ids], "<i8"), prepend=np.int64(0)).astype("<i8").tobytes(),
-        np.array([len(x) // 4 for x in ids], "<u4").tobytes(),
+        lengths.astype("<u4").tobytes(),
         np.diff(values, prepend=0).astype("<u4").tobytes() + counts.astype("<u4").tobytes(),
+        _planes(np.bincount(context, minlength=len(values) + 1)) + _planes(np.diff(rank, prepend=0)) + _planes(order1.counts) + order1.cover.tobytes(),
         sizes.astype("<u4").tobytes() + np.array(code_sums, "<u4").tobytes() + np.array(id_sums, "<u4").tobytes(),
     ]
     packed = [zlib.compress(p) for p in parts]
-    head = struct.pack("<5Q", len(doc_ids), len(flat), len(values), len(sizes), len(words)) + struct.pack("<5Q", *map(len, packed))
+    head = struct.pack("<6Q", len(doc_ids), len(ids), len(values), len(order1.keys), len(sizes), len(words)) + struct.pack("<6Q", *map(len, packed))
     return MAGIC + head + struct.pack("<I", zlib.crc32(head + b"".join(packed))) + b"".join(packed) + words.tobytes()
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """32-bit numbers byte by byte, the first bytes of all first: better packed that way."""
+    return values.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _unplanes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<i4").ravel().astype(np.int64)
+
+
 def unpack_group(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     """doc_ids, document lengths and all ids; raises ValueError where a checksum fails."""
     if data[:8] != MAGIC:
         raise ValueError("not a token group")
-    head = data[8:88]
-    docs, total, distinct, blocks, n_words, *lens = struct.unpack("<10Q", head)
-    (check,) = struct.unpack("<I", data[88:92])
-    body = data[92 : 92 + sum(lens)]
+    head = data[8:104]
+    docs, total, distinct, entries, blocks, n_words, *lens = struct.unpack("<12Q", head)
+    (check,) = struct.unpack("<I", data[104:108])
+    body = data[108 : 108 + sum(lens)]
     if zlib.crc32(head + body) != check:
         raise ValueError("the head of a token group is damaged")
     cuts = np.cumsum([0, *lens])
-    null, ids, lengths, table, index = (zlib.decompress(body[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
-    table = np.frombuffer(table, "<u4").astype(np.int64)
-    order0 = Order0(np.cumsum(table[:distinct]), table[distinct:])
+    null, names, lengths, table0, table1, index = (zlib.decompress(body[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+    table0 = np.frombuffer(table0, "<u4").astype(np.int64)
+    order0 = Order0(np.cumsum(table0[:distinct]), table0[distinct:])
+    a, b = 4 * (distinct + 1), 4 * entries
+    context = np.repeat(np.arange(distinct + 1), _unplanes(table1[:a]))
+    rank = np.cumsum(_unplanes(table1[a : a + b]))
+    order1 = Order1(distinct, context * max(distinct, 1) + rank, _unplanes(table1[a + b : a + 2 * b]), np.frombuffer(table1[a + 2 * b :], np.uint8))
     sizes, code_sums, id_sums = np.frombuffer(index, "<u4").reshape(3, blocks)
-    words = np.frombuffer(data, "<u2", count=n_words, offset=92 + sum(lens))
+    words = np.frombuffer(data, "<u4", count=n_words, offset=108 + sum(lens))
     starts = np.cumsum(sizes.astype(np.int64)) - sizes
     for a, n, s in zip(starts.tolist(), sizes.tolist(), code_sums.tolist(), strict=True):
-        if zlib.crc32(words[a : a + n].tobytes()) != s:
+        if zlib.crc32(words[a : a + n]) != s:
             raise ValueError("the code of a block is damaged")
-    flat = decode_blocks(words, sizes.astype(np.int64), total, order0)
+    flat = order0.ids.astype("<u4")[decode_blocks(words, sizes.astype(np.int64), total, order0, order1)] if total else np.zeros(0, "<u4")
     for b, s in enumerate(id_sums.tolist()):
-        if zlib.crc32(flat[b * BLOCK : (b + 1) * BLOCK].astype("<u4").tobytes()) != s:
+        if zlib.crc32(flat[b * BLOCK : (b + 1) * BLOCK]) != s:
             raise ValueError("the ids of a block are not those that were written")
-    numbers = np.cumsum(np.frombuffer(ids, "<i8"))
+    numbers = np.cumsum(np.frombuffer(names, "<i8"))
     return [None if z else i for z, i in zip(null, numbers.tolist(), strict=True)], np.frombuffer(lengths, "<u4").astype(np.int64), flat
 
 
@@ -296,35 +528,39 @@ def write_tokens(docs: DataFrame, out: str, path: str | None = None) -> None:
     """Write the groups of all documents, in ascending doc_id order, to the folder ``out``."""
     path = path or default_path("byte_bpe_50k.json")
     schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("data", pa.binary())])
-    end = np.array([END], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = TextEncoder(path)
+        encoder = resident(("tokens", path), lambda: TextEncoder(path))
         part, seq = TaskContext.get().partitionId(), 0
-        held_ids: list[int | None] = []
-        held: list[bytes] = []
+        names: list[int | None] = []
+        held: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            row = [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(held)], pa.int64()), pa.array([size], pa.int64()), pa.array([pack_group(held_ids, held)], pa.binary())]
+            data = pack_group(names, np.concatenate(held), np.concatenate(counts))
+            row = [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(names)], pa.int64()), pa.array([size], pa.int64()), pa.array([data], pa.binary())]
             return pa.RecordBatch.from_arrays(row, schema=schema)
 
         for piece, _, _ in text_pieces(batches):
-            for doc_id, text in zip(piece.column("doc_id").to_pylist(), piece.column("text").to_pylist(), strict=True):
-                ids = encoder.encode(text or "") + end
-                held_ids.append(doc_id)
-                held.append(ids)
-                size += len(ids) // 4
-                if size >= BLOCK * LANES:
-                    yield flush()
-                    held_ids, held, size, seq = [], [], 0, seq + 1
-        if held:
+            ids, lengths = encoder.encode([t or "" for t in piece.column("text").to_pylist()])
+            held.append(np.insert(ids, np.cumsum(lengths), np.uint32(END)))
+            counts.append(lengths + 1)
+            names += piece.column("doc_id").to_pylist()
+            size += len(held[-1])
+            if size >= BLOCK * LANES:
+                yield flush()
+                names, held, counts, size, seq = [], [], [], 0, seq + 1
+        if names:
             yield flush()
 
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select("doc_id", "text").repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
-    ordered.mapInArrow(run, "part int, seq int, n_docs long, n_tokens long, data binary").write.parquet(out)
+    raw = F.coalesce("text", F.lit("")).cast("binary")
+    order = [F.col("doc_id").asc_nulls_first(), F.crc32(raw), F.xxhash64(raw)]
+    # rows of one doc_id (or none) are many in the worst case: their checksums part them too
+    ordered = docs.select("doc_id", "text").repartitionByRange(parts, *order[:2]).sortWithinPartitions(*order)
+    ordered.mapInArrow(tidy(run), "part int, seq int, n_docs long, n_tokens long, data binary").write.parquet(out)
 
 
 def token_table(spark: SparkSession, out: str) -> DataFrame:
@@ -341,12 +577,12 @@ def token_table(spark: SparkSession, out: str) -> DataFrame:
         for batch in batches:
             for r in range(batch.num_rows):
                 doc_ids, lengths, flat = unpack_group(batch.column("data")[r].as_py())
-                raw, ends = flat.astype("<u4").tobytes(), np.cumsum(lengths)
-                sums = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
+                ends = np.cumsum(lengths)
+                sums = [zlib.crc32(flat[e - n : e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
                 part, seq = (batch.column(c)[r].as_py() for c in ("part", "seq"))
                 yield pa.RecordBatch.from_arrays([pa.array([part] * len(doc_ids), pa.int32()), pa.array([seq] * len(doc_ids), pa.int32()), pa.array(doc_ids, pa.int64()), pa.array(ends - lengths), pa.array(lengths), pa.array(sums, pa.int64())], schema=schema)
 
-    read = groups.select("part", "seq", "data").mapInArrow(run, "part int, seq int, doc_id long, at long, n_tokens long, ids_crc32 long")
+    read = groups.select("part", "seq", "data").mapInArrow(tidy(run), "part int, seq int, doc_id long, at long, n_tokens long, ids_crc32 long")
     return read.join(starts, (F.col("part") == F.col("p")) & (F.col("seq") == F.col("s"))).select("doc_id", (F.col("first") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 

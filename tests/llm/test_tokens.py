@@ -1,9 +1,12 @@
+import random
+
 import numpy as np
 import pytest
 from support import DATA
 from tokenizers import Tokenizer, models
 
 from citeloom.llm import piece_encoding, token_counts, token_output
+from citeloom.llm.common import mix64
 from citeloom.llm.vocabulary import default_path, load
 
 
@@ -12,33 +15,97 @@ def texts(spark):
     return [r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").limit(60).collect()] + ["", "   ", "a  b\n\n\tc", "日本 🚀 é", "x" * 5000, " lead", "I'm we've 12ab"]
 
 
+def by_text(encoder, texts, keys):
+    ids, lengths = encoder.encode_texts(texts, keys)
+    return [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])]
+
+
 def test_plain_pieces_are_the_librarys(texts):
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=default_path())
     encoder = piece_encoding.Encoder(default_path(), dropout=0.0)
-    for text, ids in zip(texts, encoder.encode_texts(texts, [1] * len(texts)), strict=True):
-        assert np.frombuffer(ids, "<u2").tolist() == sp.encode(text)
+    for text, ids in zip(texts, by_text(encoder, texts, [1] * len(texts)), strict=True):
+        assert ids == sp.encode(text)
+
+
+def plain_agenda(encoder, word, key):
+    """One word, the agenda a plain list, each candidate drawn by its place and end."""
+    v, own = encoder.vocabulary, [(i, i + 1, c) for i, c in enumerate(word)]
+    skipped = set()
+    while True:
+        found = []
+        for (a, b, x), (_, d, y) in zip(own, own[1:], strict=False):
+            if x in v.id_of and y in v.id_of and x + y in v.id_of and (a, b, d) not in skipped:
+                found.append((-v.scores[v.id_of[x + y]], a, b, d, x + y))
+        if not found:
+            break
+        # of equal scores the smaller id goes first, as in the tables
+        _, a, b, d, piece = min(found, key=lambda f: (f[0], v.id_of[f[4]], f[1]))
+        h = int(mix64(np.array([key ^ (a << 32) ^ d], np.uint64))[0])
+        if (h >> 11) < int(encoder.dropout * float(1 << 53)):
+            skipped.add((a, b, d))
+            continue
+        own = [w for w in own if w[0] not in (a, b)] + [(a, d, piece)]
+        own.sort()
+    out = []
+    for _, _, piece in own:
+        out += [v.id_of[piece]] if piece in v.id_of else [int(v.byte_id[b]) for b in piece.encode()]
+    return out
+
+
+@pytest.mark.parametrize("dropout", [0.0, 0.1, 0.5])
+def test_dropout_runs_as_a_plain_agenda(dropout):
+    encoder = piece_encoding.Encoder(default_path(), dropout=dropout)
+    text = "international understanding of the é日 beginnings " * 6 + "ab" * 200 + " donaudampfschifffahrt"
+    segments = encoder.vocabulary.segments("▁" + text.replace(" ", "▁"))
+    keys = encoder.word_keys(9, len(segments))
+    want = [plain_agenda(encoder, w, int(k)) for w, k in zip(segments, keys, strict=True)]
+    assert by_text(encoder, [text], [9])[0] == sum(want, [])
 
 
 def test_dropout_varies_and_decodes(texts):
     texts = [*texts, "▁", "a▁▁ b ▁"]
     encoder = piece_encoding.Encoder(default_path(), dropout=0.3)
-    one, again, other = (encoder.encode_texts(texts, [k] * len(texts)) for k in (5, 5, 60_000))
-    assert one == again and one != other and one != piece_encoding.Encoder(default_path(), dropout=0.0).encode_texts(texts, [5] * len(texts))
+    one, again, other = (by_text(encoder, texts, [k] * len(texts)) for k in (5, 5, 60_000))
+    assert one == again and one != other and one != by_text(piece_encoding.Encoder(default_path(), dropout=0.0), texts, [5] * len(texts))
     for text, ids in zip(texts, one, strict=True):
-        assert encoder.decode(ids) == text.encode()
-    all_skipped = piece_encoding.Encoder(default_path(), dropout=1.0).encode_texts(["abc de"], [0])[0]
-    assert len(all_skipped) // 2 == len("▁abc▁de")
+        assert encoder.decode(np.array(ids, np.int64)) == text.encode()
+    all_skipped = by_text(piece_encoding.Encoder(default_path(), dropout=1.0), ["abc de"], [0])[0]
+    assert len(all_skipped) == len("▁abc▁de")
+
+
+def test_lossless_sees_every_wrong_text(texts):
+    encoder = piece_encoding.Encoder(default_path(), dropout=0.3)
+    ids, lengths = encoder.encode_texts(texts, [1] * len(texts))
+    raw = [t.encode() for t in texts]
+    offs = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+    joined = np.frombuffer(b"".join(raw), np.uint8).copy()
+    assert encoder.lossless(ids, lengths, joined, offs).all()
+    joined[offs[3]] ^= 1
+    assert np.flatnonzero(~encoder.lossless(ids, lengths, joined, offs)).tolist() == [3]
+    raw[5] += b"x"
+    offs = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+    assert np.flatnonzero(~encoder.lossless(ids, lengths, np.frombuffer(b"".join(raw), np.uint8), offs)).tolist() == [5]
 
 
 def test_dropout_draws_each_occurrence():
     encoder = piece_encoding.Encoder(default_path(), dropout=0.3)
     words = [" international"] * 400 + [" of", " " + "ab" * 200, " é日"] * 20
-    got = encoder.encode_texts(["".join(words)[1:]], [11])[0]
+    got = by_text(encoder, ["".join(words)[1:]], [11])[0]
     segments = encoder.vocabulary.segments("".join(words).replace(" ", "▁"))
-    alone = encoder.encode_words(segments, encoder.word_keys(11, len(segments)))
-    assert got == b"".join(x for x, _ in alone) and len({x for x, _ in alone[:400]}) > 8
+    alone, _ = zip(*[encoder.encode_words([s], encoder.word_keys(11, len(segments))[i : i + 1]) for i, s in enumerate(segments)], strict=True)
+    assert got == np.concatenate([x.values for x in alone]).tolist() and len({x.values.tobytes() for x in alone[:400]}) > 8
+    # what is remembered is let go beyond its bound, and nothing changes
+    encoder.known.limit = 2
+    assert [by_text(encoder, ["".join(words)[1:]], [11])[0] for _ in range(2)] == [got, got]
+
+
+def test_copies_are_segmented_apart(spark):
+    docs = spark.createDataFrame([(1, "international understanding " * 30)] * 3, "doc_id long, text string").coalesce(1)
+    got = piece_encoding.encode_pieces(docs, apart=True).collect()
+    assert len({r.ids_crc32 for r in got}) == 3 and all(r.lossless for r in got)
+    assert len({r.ids_crc32 for r in piece_encoding.encode_pieces(docs).collect()}) == 1
 
 
 def test_piece_encoding_of_odd_rows(odd, empty):
@@ -62,28 +129,80 @@ def test_counts_of_odd_rows(odd, empty):
     assert token_counts.token_counts(empty).count() == 0
 
 
+ODD_TEXTS = [
+    "hello <|endoftext|> world", "<|endoftext|>", "a <|endoftext", "|>", "a  b\n\n\tc \n d", "I'm we've 12ab don't 'S", "  lead", "trail  ", "", " ", "a\u180e b\u200b c", "\xa0 x\xa0", "½ x² ª",
+    "naïve 日本 'll x'", "\x1c a", "a\x00b", "x" * 5000, "日本語のテキスト " * 40, "мир и война, 'мир'", "مرحبا بالعالم",
+]
+
+
 def test_ids_are_the_librarys(texts):
     path = default_path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     encoder = token_output.TextEncoder(path)
-    for text in [*texts, "\x1c a", "a\x00b", "½ x² ª"]:
-        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    texts = [*texts, *ODD_TEXTS]
+    for limit in (450_000, 5):  # also when what is remembered is let go
+        encoder.known.limit = limit
+        for at in range(0, len(texts), 7):
+            ids, lengths = encoder.encode(texts[at : at + 7])
+            for text, own in zip(texts[at : at + 7], np.split(ids, np.cumsum(lengths)[:-1]), strict=True):
+                assert own.tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_random_strings_have_the_librarys_ids():
+    g = random.Random(3)
+    path = default_path("byte_bpe_50k.json")
+    library, encoder = Tokenizer.from_file(path), token_output.TextEncoder(path)
+    alphabet = "ab 'st\n\t .,!09éÀ\xa0日\u2028ʼª \u180e"
+    texts = ["".join(g.choice(alphabet) for _ in range(g.randrange(1, 30))) for _ in range(4000)]
+    ids, lengths = encoder.encode(texts)
+    for text, own in zip(texts, np.split(ids, np.cumsum(lengths)[:-1]), strict=True):
+        assert own.tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+@pytest.mark.parametrize("kind", ["zipf", "one", "wide"])
 @pytest.mark.parametrize("lengths", [[0], [1], [5, 0, 7], [token_output.BLOCK], [token_output.BLOCK + 1, 3], [9000, 1]])
-def test_groups_round_trip(lengths):
+def test_groups_round_trip(lengths, kind):
     g = np.random.default_rng(sum(lengths))
-    ids = [(g.zipf(1.3, n) % 50_257).astype("<u4").tobytes() for n in lengths]
-    names = [None if i == 0 else i * 7 - 3 for i in range(len(ids))]
-    got, sizes, flat = token_output.unpack_group(token_output.pack_group(names, ids))
-    assert got == names and sizes.tolist() == lengths and flat.astype("<u4").tobytes() == b"".join(ids)
+    n = sum(lengths)
+    ids = {"zipf": g.zipf(1.3, n) % 50_257, "one": np.full(n, 7), "wide": g.integers(0, 1 << 32, n)}[kind].astype(np.uint32)
+    names = [None if i == 0 else i * 7 - 3 for i in range(len(lengths))]
+    got, sizes, flat = token_output.unpack_group(token_output.pack_group(names, ids, np.array(lengths)))
+    assert got == names and sizes.tolist() == lengths and flat.tolist() == ids.tolist()
+
+
+def test_blocks_stand_alone_and_share_the_orders(monkeypatch):
+    # text-like ids: every order tells something
+    g = np.random.default_rng(5)
+    step = g.integers(0, 300, (300, 3))
+    ids = [0]
+    for k in g.integers(0, 3, 60_000).tolist():
+        ids.append(int(step[ids[-1], k]))
+    ids = np.array(ids, np.uint32)
+    data = token_output.pack_group([1], ids, np.array([len(ids)]))
+    assert 8 * len(data) / len(ids) < 0.5 * np.log2(300)
+    monkeypatch.setattr(token_output, "DIRECT", 0)  # the entries found by search are the same
+    assert token_output.pack_group([1], ids, np.array([len(ids)])) == data
+    order0 = token_output.Order0(*np.unique(ids, return_counts=True))
+    ranks = np.searchsorted(order0.ids, ids).astype(np.int32)
+    previous = np.concatenate([[len(order0.ids)], ranks[:-1]])
+    previous[:: token_output.BLOCK] = len(order0.ids)
+    order1, entry = token_output.Order1.learn(order0, ranks, previous)
+    words, sizes = token_output.code_blocks(ranks, entry, order0, order1)
+    at = int(sizes[:2].sum())
+    third = token_output.decode_blocks(words[at : at + sizes[2]], sizes[2:3], token_output.BLOCK, order0, order1)
+    assert third.tolist() == ranks[2 * token_output.BLOCK : 3 * token_output.BLOCK].tolist()
+
+
+def test_too_many_distinct_ids_are_refused():
+    n = 1 << 18
+    with pytest.raises(ValueError, match="distinct"):
+        token_output.pack_group([1], np.arange(n, dtype=np.uint32), np.array([n]))
 
 
 def test_repeats_compress_and_damage_is_found():
-    ids = [np.tile(np.arange(100, 140), 400).astype("<u4").tobytes()]
-    data = token_output.pack_group([1], ids)
-    assert len(data) < len(ids[0]) / 20
+    ids = np.tile(np.arange(100, 140), 400).astype(np.uint32)
+    data = token_output.pack_group([1], ids, np.array([len(ids)]))
+    assert len(data) < 4 * len(ids) / 20
     for at in (10, 100, len(data) - 3):
         bad = bytearray(data)
         bad[at] ^= 1
@@ -97,7 +216,6 @@ def test_token_table(spark, odd, empty, tmp_path):
     token_output.write_tokens(odd, str(tmp_path / "t"))
     got = token_output.token_table(spark, str(tmp_path / "t")).orderBy("start").collect()
     library = Tokenizer.from_file(default_path("byte_bpe_50k.json"))
-    library.encode_special_tokens = True
     expected = sorted((-1 if r.doc_id is None else r.doc_id, zlib.crc32((r.text or "").encode()), library.encode(r.text or "", add_special_tokens=False).ids + [2]) for r in odd.collect())
     at = 0
     for row, (doc_id, _, ids) in zip(got, expected, strict=True):
