@@ -5,11 +5,14 @@ Bytes are embedded, ``FILTERS`` learned filters of ``WIDTH`` bytes slide over ea
 filter's highest response in the chunk is kept.  A hidden layer reads every chunk; its outputs' mean and maximum over
 all chunks of the document give one probability.
 
-Learned from at most about ``LEARN_ROWS`` labelled texts of each label outside the held-out fold, with a fixed number
+Learned from at most ``LEARN_ROWS`` labelled texts of each label outside the held-out fold, with a fixed number
 of steps; the last layer's bias is set back from the balanced sample to the labels' own shares.
 
 A null or empty text is one chunk of padding and gets a score like any other.  Without labels of both kinds the score
-is the known share (0.5 if none).  A null doc_id is not held out.  No shuffle of texts; extra columns are ignored.
+is the known share (0.5 if none).  A null doc_id is not held out.  Repeated rows each get a row, with one score; a document
+with contradicting labels is learned as label 0.  An empty table gives no rows.  A text of any length is read whole, 96
+chunks at a time; its memory is that of its chunks' hidden outputs (about 0.3 bytes a byte of text).  No shuffle of texts.
+Extra columns are ignored, or kept where ``keep`` names them; a column named score comes back under a name that is free.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from citeloom.llm.common import documents, held_out, text_pieces
+from citeloom.llm.common import documents, held_out, renamed, text_pieces, tidy
 from citeloom.llm.sampling import labelled_texts
 
 CHUNK, HOP = 512, 448
@@ -33,16 +36,27 @@ LEARNING_RATE = 0.004
 SEED = 11
 
 
-def chunk_matrix(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All chunks of the rows, padded with 0, and the number of chunks of each row (1 at least)."""
+def chunk_spans(offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin and end of every chunk of the rows, and the number of chunks of each row (1 at least)."""
     size = np.diff(offs)
     per_row = np.maximum(1, -(-(size - (CHUNK - HOP)) // HOP))
     row = np.repeat(np.arange(len(size)), per_row)
     begin = offs[row] + (np.arange(len(row)) - np.repeat(np.cumsum(per_row) - per_row, per_row)) * HOP
+    return begin, np.minimum(begin + CHUNK, offs[row + 1]), per_row
+
+
+def cut_chunks(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The bytes of some chunks, a row each, padded with 0."""
     at = begin[:, None] + np.arange(CHUNK)[None, :]
-    inside = at < offs[row + 1][:, None]
-    padded = np.concatenate([raw, np.zeros(1, np.uint8)])
-    return np.where(inside, padded[np.where(inside, at, 0)], 0).astype(np.uint8), per_row
+    inside = at < end[:, None]
+    at[~inside] = 0
+    return np.where(inside, raw[at], 0).astype(np.uint8) if len(raw) else np.zeros(at.shape, np.uint8)
+
+
+def chunk_matrix(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All chunks of the rows and the number of chunks of each."""
+    begin, end, per_row = chunk_spans(offs)
+    return cut_chunks(raw, begin, end), per_row
 
 
 class Network:
@@ -84,8 +98,8 @@ class Network:
         rows = len(offs) - 1
         if self.constant is not None:
             return np.full(rows, self.constant)
-        chunks, per_row = chunk_matrix(raw, offs)
-        h = np.concatenate([self.hidden(self.pooled(chunks[i : i + 96])[0]) for i in range(0, len(chunks), 96)])
+        begin, end, per_row = chunk_spans(offs)
+        h = np.concatenate([self.hidden(self.pooled(cut_chunks(raw, begin[i : i + 96], end[i : i + 96]))[0]) for i in range(0, len(begin), 96)])
         return self.combine(h, per_row)[0].astype(np.float64)
 
     def gradients(self, chunks: np.ndarray, per_row: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
@@ -127,11 +141,12 @@ def train(rows: list[tuple[str, int]], share: float, steps: int = STEPS, seed: i
         picks = np.concatenate([g.choice(rows_of, DOCS_A_STEP // 2) for rows_of in by_label])
         parts, per_row = [], []
         for i in picks:
-            chunks, _ = chunk_matrix(texts[i], np.array([0, len(texts[i])]))
-            if len(chunks) > CHUNKS_A_DOC:
-                chunks = chunks[g.choice(len(chunks), CHUNKS_A_DOC, replace=False)]
-            parts.append(chunks)
-            per_row.append(len(chunks))
+            begin, end, _ = chunk_spans(np.array([0, len(texts[i])]))
+            if len(begin) > CHUNKS_A_DOC:
+                some = g.choice(len(begin), CHUNKS_A_DOC, replace=False)
+                begin, end = begin[some], end[some]
+            parts.append(cut_chunks(texts[i], begin, end))
+            per_row.append(len(begin))
         rate = LEARNING_RATE * (1 - 0.9 * step / steps)
         for k, grad in net.gradients(np.concatenate(parts), np.array(per_row), y[picks]).items():
             m[k] = 0.9 * m[k] + 0.1 * grad
@@ -149,7 +164,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Network:
 def score_quality(docs: DataFrame, net: Network, keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (doc_id if none are named) and score for every row."""
     keep = keep or ["doc_id"]
-    names = [n if n != "score" else "_score" for n in keep]
+    names = renamed(keep, ["score"])
     sent = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +172,7 @@ def score_quality(docs: DataFrame, net: Network, keep: list[str] | None = None)
             yield pa.RecordBatch.from_arrays([piece.column(c) for c in keep] + [pa.array(sent.value.score(raw, offs), pa.float64())], names=[*names, "score"])
 
     schema = StructType([StructField(n, docs.schema[c].dataType) for n, c in zip(names, keep, strict=True)] + [StructField("score", DoubleType())])
-    return docs.select(*keep, *([] if "text" in keep else ["text"])).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(tidy(run), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,9 +10,11 @@ learned on one half of the sample when the other half's features are made, and t
 whole sample's.  Trees are grown on binned features; isotonic regression on the cross-fitted margins gives
 probabilities, corrected from the balanced sample to the labels' own share.
 
-Learned from at most about ``LEARN_ROWS`` texts of each label outside the held-out fold.  A null or empty text has all
-features 0 and gets a score.  Without labels of both kinds the score is the known share (0 if none).  No shuffle of
-texts; extra columns are ignored.
+Learned from at most ``LEARN_ROWS`` texts of each label outside the held-out fold.  A null or empty text has all
+features 0 and gets a score.  Without labels of both kinds the score is the known share (0 if none).  A null doc_id is not
+held out.  Repeated rows each get a row, with one score; a document with contradicting labels is learned as label 0.  An
+empty table gives no rows.  A text of any length is read whole, at about 100 bytes of memory a byte of it.  No shuffle of
+texts; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import TO_LOWER, SpanHash, documents, held_out, text_pieces, word_spans
+from citeloom.llm.common import TO_LOWER, SpanHash, documents, held_out, text_pieces, tidy, word_spans
 from citeloom.llm.sampling import labelled_texts
 
 LEARN_ROWS = 1500
@@ -301,7 +303,7 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
         for piece, raw, offs in text_pieces(batches):
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(sent.value.score(raw, offs), pa.float64())], names=["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,23 +40,153 @@ def test_languages_of_odd_rows(spark, odd, empty):
     assert set(language_id.identify(odd, language_id.learn(empty)).toPandas().lang_pred) == {"und"}
 
 
-def test_phrases_are_those_of_a_plain_parse():
-    learned = (("en", "the cat sat on the mat and the dog"), ("de", "die katze und der hund auf der matte"))
-    parser = language_id.Parser(learned)
-    for text in ("the cat and the hund", "zzz", "katze", "a", "the mat " * 100):
-        raw = np.frombuffer(text.encode(), np.uint8)
-        codes, row = parser.codes(raw, np.array([0, len(raw)]))
+@pytest.mark.parametrize("dense", [None, 0])
+@pytest.mark.parametrize("stretch", [256, 4, 1])
+def test_phrases_are_those_of_a_plain_parse(monkeypatch, dense, stretch):
+    monkeypatch.setattr(language_id, "STRETCH", stretch)
+    learned = (("en", "the cat sat on the mat and the dog"), ("de", "die katze und der hund auf der matte"), ("ja", "日本語と猫"))
+    parser = language_id.Parser(learned, dense)
+    texts = ["the cat and the hund", "zzz", "katze", "a", "the mat " * 100, "猫と日本語 the", "", "die katze und der hund auf der matte die katze"]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    offs = np.cumsum([0, *[len(t.encode()) for t in texts]])
+    codes, row = parser.codes(raw, offs)
+    got = parser.phrases(codes, row, len(texts))
+    for i, text in enumerate(texts):
         folded = language_id.fold(text) + (" " if text.endswith(" ") else "")
         for k, (_, known) in enumerate(learned):
-            n = 0
-            for at in range(0, len(folded), language_id.STRETCH):
-                part, i = folded[at : at + language_id.STRETCH], 0
-                while i < len(part):
-                    j = i + 1
-                    while j < len(part) and part[i : j + 1] in known:
-                        j += 1
-                    n, i = n + 1, j
-            assert parser.phrases(codes, row, 1)[0, k] == n, (text, k)
+            n, at = 0, 0
+            while at < len(folded):
+                j = at + 1
+                while j < len(folded) and folded[at : j + 1] in known:
+                    j += 1
+                n, at = n + 1, j
+            assert got[i, k] == n, (text, k)
+
+
+def test_scripts_with_many_letters_are_told_apart(spark):
+    g = np.random.default_rng(1)
+    signs = {"zh": [chr(0x4E00 + i) for i in range(400)], "ko": [chr(0xAC00 + 7 * i) for i in range(400)], "ru": list("абвгдежзиклмнопрстуфхцчшыэюя")}
+    text = lambda lang, n: " ".join("".join(g.choice(signs[lang], 3)) for _ in range(n))
+    rows = [(1000 * k + i, text(lang, 200), lang) for k, lang in enumerate(signs) for i in range(12)] + [(9000 + i, f"language number {i} " * 20, f"l{i:03}") for i in range(80)]
+    rows.append((9999, text("ru", 30_000), "ru-long"))  # only one text, and a long one
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = language_id.learn(docs, 1, 5)  # nothing is held out
+    assert {lang for lang, _ in learned} == {r[2] for r in rows}
+    parser = language_id.Parser(learned)
+    for lang in ("zh", "ko"):
+        raw = np.frombuffer(text(lang, 50).encode(), np.uint8)
+        assert parser.predict(raw, np.array([0, len(raw)]))[0] == [lang]
+
+
+def test_samples_are_whole_and_repeatable(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(500)] + [(3, "another"), (None, "none")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(500)] + [(3, 0), (None, 1)], "doc_id long, toxic int")
+    none_held = sampling.F.lit(False)
+    one, share = sampling.labelled_texts(docs.repartition(7), labels.repartition(3), "toxic", none_held, 40)
+    two, _ = sampling.labelled_texts(docs, labels, "toxic", none_held, 40)
+    assert one == two and [y for _, y in one].count(0) == [y for _, y in one].count(1) == 40 and abs(share - 249 / 500) < 1e-9
+    assert len(sampling.labelled_texts(docs, labels, "toxic", none_held, 1000)[0]) == 500
+
+
+def test_queries_mark_the_fold_and_the_class(spark):
+    from citeloom.llm import queries
+
+    made = queries.queries()
+    for name, n, rest, columns in (("op1_quality_classifier", 3, 1, ["doc_id", "held_out", "score", "predicted"]), ("op3_language_id", 4, 2, ["doc_id", "held_out", "lang_pred", "score"]), ("op4_toxicity", 5, 0, ["doc_id", "held_out", "score", "predicted"])):
+        got = made[name](spark, DATA)
+        assert got.columns == columns
+        got = got.collect()
+        assert len(got) == spark.read.parquet(f"{DATA}/documents.parquet").count()
+        assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % n == rest) and 0 <= r.score <= 1 for r in got)
+        if "predicted" in columns:
+            assert all(r.predicted == int(r.score >= 0.5) for r in got)
+
+
+def plain_tree_margin(x, trees):
+    """Each tree walked from its root."""
+    out = []
+    for row in x:
+        total = trees.base
+        for column, cut, value in trees.trees:
+            node = 0
+            while node < len(column):
+                node = 2 * node + 1 + bool(row[column[node]] > cut[node])
+            total += value[node - len(column)]
+        out.append(total)
+    return np.array(out)
+
+
+def test_trees_split_where_a_plain_search_does():
+    g = np.random.default_rng(8)
+    x = np.stack([g.integers(0, 6, 400), g.random(400), g.integers(0, 3, 400)], axis=1).astype(float)
+    y = ((x[:, 0] > 3) ^ (x[:, 1] > 0.6)).astype(float)
+    trees = toxicity.Trees().fit(x, y)
+    assert np.allclose(trees.margin(x), plain_tree_margin(x, trees))
+    assert auc(trees.margin(x), y) > 0.98
+    # the first split is the best one of all columns and edges
+    p = y.mean()
+    grad, hess = y - p, np.full(len(y), p * (1 - p)) + 1e-6
+    best = (0, None)
+    for j in range(3):
+        for cut in trees.edges[j]:
+            left = x[:, j] <= cut
+            if min(left.sum(), (~left).sum()) < toxicity.LEAF_ROWS:
+                continue
+            gain = sum(grad[m].sum() ** 2 / (hess[m].sum() + 1) for m in (left, ~left)) - grad.sum() ** 2 / (hess.sum() + 1)
+            if gain > best[0] + 1e-9:
+                best = (gain, (j, cut))
+    column, cut, _ = trees.trees[0]
+    assert (column[0], cut[0]) == best[1]
+
+
+def test_features_against_plain_counting():
+    import re
+
+    words = np.sort(toxicity.hash_bytes([b"stupid", b"idiot"]))
+    odds = np.array([2.0, 3.0])
+    weight = dict(zip(words.tolist(), odds.tolist(), strict=True))
+    value = {w: weight[int(toxicity.hash_bytes([w.encode()])[0])] for w in ("stupid", "idiot")}
+    none = (np.zeros(0, np.uint64), np.zeros(0))
+    lexicon = {kind: none for kind in toxicity.KINDS} | {"word": (words, odds)}
+    texts = ["You stupid fool! why?", "", "STUPID, stupid idiot - no one here at all says you", "a b c d e f g you h i j k l m idiot", "calm words only; 2024"]
+    raw = [t.encode() for t in texts]
+    got = toxicity.features(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *[len(r) for r in raw]]), lexicon)
+    for t, row in zip(texts, got, strict=True):
+        own = re.findall("[a-z]+", t.lower())
+        hits = [i for i, w in enumerate(own) if w in value]
+        near = [i for i in hits if any(w == "you" for w in own[max(0, i - toxicity.NEAR) : i + toxicity.NEAR + 1])]
+        size, per = max(len(t), 1), max(len(own), 1)
+        want = [len(hits), 0, 0, 0, 0, len(hits), len(hits) / per, sum(value[own[i]] for i in hits) / per, max((value[own[i]] for i in hits), default=0), len(near), len(near) / per]
+        want += [sum("A" <= c <= "Z" for c in t) / size, sum(c in "!?" for c in t) / size, sum(c in ",;-" for c in t) / size, 0, len(own)]
+        assert np.allclose(row, want), (t, row, want)
+
+
+def test_a_score_is_that_of_a_plain_network():
+    net = quality_classifier.Network(4)
+    texts = ["", "short", "word " * 400]
+    raw = [t.encode() for t in texts]
+    got = net.score(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *[len(r) for r in raw]]))
+    w, d = quality_classifier.WIDTH, quality_classifier.DIM
+    for text, score in zip(raw, got, strict=True):
+        outputs, at = [], 0
+        while True:
+            chunk = np.frombuffer(text[at : at + quality_classifier.CHUNK].ljust(quality_classifier.CHUNK, b"\0"), np.uint8)
+            e = net.p["embed"][chunk]
+            best = np.max([e[t : t + w].reshape(w * d) @ net.p["filters"] for t in range(0, quality_classifier.CHUNK - w + 1, quality_classifier.STRIDE)], axis=0) + net.p["f_bias"]
+            outputs.append(np.tanh(np.maximum(best, 0) @ net.p["hidden"] + net.p["h_bias"]))
+            at += quality_classifier.HOP
+            if at + quality_classifier.CHUNK - quality_classifier.HOP >= len(text):
+                break
+        z = np.concatenate([np.mean(outputs, axis=0), np.max(outputs, axis=0)])
+        assert abs(score - 1 / (1 + np.exp(-(z @ net.p["out"] + net.p["o_bias"][0])))) < 1e-4
+
+
+def test_clashing_columns_come_back(spark):
+    docs = spark.createDataFrame([(1, "some words", "a", 7, 8.0, "p")], "doc_id long, text string, _score string, _lang_pred int, score double, lang_pred string")
+    got = language_id.identify(docs, (("en", "some words here"),), docs.columns).first().asDict()
+    assert got["_score"] == "a" and got["_lang_pred"] == 7 and got["__score"] == 8.0 and got["__lang_pred"] == "p" and got["lang_pred"] == "en"
+    got = quality_classifier.score_quality(docs, quality_classifier.Network(1), docs.columns).first().asDict()
+    assert got["_score"] == "a" and got["__score"] == 8.0 and 0 < got["score"] < 1
 
 
 def test_convolution_equals_a_plain_one():
