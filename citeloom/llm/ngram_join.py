@@ -4,25 +4,27 @@ A document's set: the distinct 3-word shingles of its lower-cased (A-Z) text, as
 global order.  Two sets link when 100 * |A and B| >= 90 * |A or B|.
 
 1. Documents of one set form a class, found by a hash of the set; from here on each class counts once.
-2. Blocking, without loss: sets of like size divide the global order into as many ranges as sets that link can differ
-   in tokens, plus two; by the pigeonhole principle linked sets agree wholly in two ranges, one of which is not empty
-   (a set with more than one empty range also sends those).  Sets that share a range, directly or through others, are a
-   candidate cluster.
-3. A cluster is dealt in blocks of ``BLOCK`` sets, each pair of blocks to a task of bounded size.  There the prefix-tree
-   join runs: the sets of one block are put into a path-compressed trie, tokens in one order for all (the block's
-   frequent tokens first, so that copies share long paths); the other block's sets walk it together, sharing the
-   overlap counted on the way, and a subtree is left once no walker can still reach the overlap it needs, given the
-   lengths that remain.
+2. Blocking, without loss: sets of like size cut the global order into equal ranges, more than the tokens in which sets
+   that link can differ, so linked sets agree wholly in some ranges.  A set sends a signature of each range in which it
+   has tokens.  There are so many spare ranges that linked sets agree in one with tokens, but for sets that are
+   crowded into few ranges (a share of ``CROWDED`` of all sets by chance, whatever the texts): these send the empty ranges too.
+   Sets that share a signature, directly or through others, are a candidate cluster.
+3. A cluster is dealt in blocks of about ``BLOCK`` sets or ``BLOCK_SHINGLES`` shingles, each pair of blocks to a task of
+   bounded size.  There the prefix-tree join runs: the sets of one block, in the global order, are put into a
+   path-compressed trie; the other block's sets walk it together, sharing the overlap counted on the way, and a subtree
+   is left once no walker can still reach the overlap it needs, given the tokens that remain on the paths and to itself.
 4. A task returns a number per set and a spanning forest of its links, never all pairs; the components of the forests
    are the components of the links.
 
 A null text, or one without a word, has no set: n_shingles 0, no link, its own component.  Repeated rows each get a row
-and are links of each other.  A null doc_id takes part; components are named by the smallest non-null doc_id.  Extra
-columns are ignored.  Hash collisions (64 bits) are taken as equal.
+and are links of each other.  A null doc_id takes part; components are named by the smallest non-null doc_id.  An empty
+table gives no rows.  A text of any length is read whole, at about 100 bytes of memory a byte of it.  Extra columns are
+ignored, whatever their names.  Hash collisions (64 bits) are taken as equal.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,14 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import TO_LOWER, SpanHash, documents, drop_stash, mix64, stash, text_pieces, word_spans
+from citeloom.llm.common import TO_LOWER, SpanHash, documents, drop_stash, mix64, renamed, stash, text_pieces, tidy, word_spans
 from citeloom.operators.components import connected_components
 
 NGRAM = 3
-BLOCK = 256
+BLOCK, BLOCK_SHINGLES = 256, 1 << 20
 #: Tokens of a path that are walked before bounds are looked at again.
 STEP = 64
-FIRST_SIZE, GROWTH, SPARE = 9, 1.4, 1
+FIRST_SIZE, GROWTH, CROWDED = 9, 1.4, 1e-4
 _KEYS = mix64(np.arange(1, NGRAM + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
 
 
@@ -72,14 +74,32 @@ def set_hash(grams: np.ndarray) -> int:
     return int(mix64(np.array([total], np.uint64) + np.uint64(len(grams)))[0].astype(np.int64))
 
 
+def crowded(n: int, ranges: int, filled: int) -> float:
+    """How likely ``n`` tokens fall into ``filled`` of the ranges or fewer: exact, or (large n) a bound from above."""
+    if n <= 400:
+        # chance of each number of ranges with tokens, token by token
+        chance = np.zeros(ranges + 2)
+        chance[0] = 1.0
+        k = np.arange(ranges + 2)
+        for _ in range(n):
+            chance = chance * k / ranges + np.concatenate([[0.0], (chance * (ranges - k) / ranges)[:-1]])
+        return float(chance[: filled + 1].sum())
+    # Chernoff for the number of empty ranges, which are negatively associated
+    mean, least = ranges * math.exp(n * math.log1p(-1.0 / ranges)), ranges - filled
+    return 1.0 if least <= mean else math.exp(least - mean + least * math.log(mean / least)) if mean > 0 else 0.0
+
+
 @lru_cache(1)
-def size_buckets() -> list[tuple[int, int, int]]:
-    """(first size, last size, ranges) of each bucket of set sizes, up to 2**40."""
+def size_buckets() -> list[tuple[int, int, int, int]]:
+    """(first size, last size, tokens in which linked sets can differ, ranges) of each bucket of set sizes, up to 2**40."""
     out, low = [], FIRST_SIZE
     while low < 1 << 40:
         high = -int(-low * GROWTH // 1) - 1
         differ = max(s - 2 * needed(s) for s in range(max(2 * low, 2 * high - 60), 2 * high + 1))
-        out.append((low, high, differ + 1 + SPARE))
+        ranges = differ + 1
+        while crowded(low, ranges, differ) > CROWDED:
+            ranges += 1 + ranges // 1000
+        out.append((low, high, differ, ranges))
         low = high + 1
     return out
 
@@ -95,30 +115,27 @@ def signatures(grams: np.ndarray) -> np.ndarray:
     if n < FIRST_SIZE:
         return np.zeros(0, np.int64)  # sets below FIRST_SIZE link only if equal
     buckets = size_buckets()
-    own = next(i for i, (_, high, _) in enumerate(buckets) if n <= high)
+    own = next(i for i, (_, high, _, _) in enumerate(buckets) if n <= high)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(grams ^ np.uint64(0xD6E8FEB86659FD93)))])
     out = []
     for i in (own, own + 1):
-        low, _, ranges = buckets[i]
+        low, _, differ, ranges = buckets[i]
         if i > own and 10 * n < 9 * low:
             continue
         cut = np.concatenate([[0], np.searchsorted(grams, range_edges(ranges)), [n]])
-        size = np.diff(cut)
+        filled = np.diff(cut) > 0
         sig = mix64(sums[cut[1:]] - sums[cut[:-1]] + mix64(np.arange(ranges, dtype=np.uint64) + np.uint64(i << 40)))
-        out.append(sig if (size == 0).sum() > SPARE else sig[size > 0])
+        # linked sets agree in ranges - differ ranges at least, so in one with tokens if more than differ have some
+        out.append(sig[filled] if filled.sum() > differ else sig)
     return np.concatenate(out).astype(np.int64)
 
 
 class Trie:
-    """A path-compressed prefix tree of token sets that many walkers pass through together."""
+    """A path-compressed prefix tree of token sets, in the global order, that many walkers pass through together."""
 
     def __init__(self, sets: list[np.ndarray]):
-        tokens, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        rank = np.empty(len(tokens), np.int64)
-        rank[np.lexsort((tokens, -counts))] = np.arange(len(tokens))
-        self.tokens, self.rank = tokens, rank
-        ends = np.cumsum([len(s) for s in sets])
-        paths = [np.sort(rank[inverse[e - len(s) : e]]) for s, e in zip(sets, ends.tolist(), strict=True)]
+        self.tokens = np.unique(np.concatenate(sets))
+        paths = [np.searchsorted(self.tokens, s) for s in sets]
         lists = [p.tolist() for p in paths]
         self.order = sorted(range(len(sets)), key=lists.__getitem__)
         self.paths = [paths[i] for i in self.order]
@@ -129,12 +146,15 @@ class Trie:
         sizes = np.array([len(w) for w in walkers])
         every = np.concatenate(walkers)
         owner = np.repeat(np.arange(len(walkers)), sizes)
-        at = np.minimum(np.searchsorted(self.tokens, every), len(self.tokens) - 1)
-        known = self.tokens[at] == every
-        ranks, owner = self.rank[at[known]], owner[known]
+        at = np.searchsorted(self.tokens, every)
+        # a walker's tokens up to a token of the tree are those whose place here is not beyond it
+        width = len(self.tokens) + 1
+        passed, begin = owner * width + at, np.cumsum(sizes) - sizes
+        known = self.tokens[np.minimum(at, width - 2)] == every
+        ranks, owner = at[known], owner[known]
         by_rank = np.argsort(ranks, kind="stable")
         owner = owner[by_rank]
-        first = np.searchsorted(ranks[by_rank], np.arange(len(self.tokens) + 1))
+        first = np.searchsorted(ranks[by_rank], np.arange(width))
         stack = [(0, len(self.paths), 0, np.arange(len(walkers)), np.zeros(len(walkers), np.int64))]
         while stack:
             lo, hi, depth, alive, overlap = stack.pop()
@@ -149,9 +169,8 @@ class Trie:
                 seen = np.concatenate([owner[first[r] : first[r + 1]] for r in path.tolist()])
                 overlap = overlap + np.bincount(seen, minlength=len(walkers))[alive]
                 depth = to
-                own = sizes[alive]
-                reach = overlap + np.minimum(longest - depth, own - overlap)
-                ok = reach >= needed(own + least)
+                left = sizes[alive] + begin[alive] - np.searchsorted(passed, alive * width + path[-1], side="right")
+                ok = overlap + np.minimum(longest - depth, left) >= needed(sizes[alive] + least)
                 if not ok.all():
                     alive, overlap = alive[ok], overlap[ok]
             if not len(alive):
@@ -198,15 +217,18 @@ def join_blocks(stored: list[tuple[int, int, np.ndarray]], walkers: list[tuple[i
 
 
 def document_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, set_id (null without words), n, sigs."""
-    schema = pa.schema([("doc_id", pa.int64()), ("set_id", pa.int64()), ("n", pa.int64()), ("sigs", pa.list_(pa.int64()))])
+    """doc_id, text_sum (a checksum of the text), set_id (null without words), n, sigs."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_sum", pa.int64()), ("set_id", pa.int64()), ("n", pa.int64()), ("sigs", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece, raw, offs in text_pieces(batches):
             sets = shingle_sets(raw, offs)
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array([set_hash(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([signatures(s) for s in sets], pa.list_(pa.int64()))], schema=schema)
+            sigs = [signatures(s) for s in sets]
+            ends = np.cumsum([0, *map(len, sigs)])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sigs)))
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("text_sum"), pa.array([set_hash(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), lists], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, set_id long, n long, sigs array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_sum")).mapInArrow(tidy(run), "doc_id long, text_sum long, set_id long, n long, sigs array<long>")
 
 
 def candidate_clusters(sets: DataFrame) -> DataFrame:
@@ -230,7 +252,7 @@ def block_links(members: DataFrame) -> DataFrame:
             columns = [piece.column(c).take(pa.array(keep, pa.int64())) for c in ("cluster", "set_id", "copies", "blocks")]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([sets[i].astype(np.int64) for i in keep], pa.list_(pa.int64()))], schema=kind)
 
-    with_grams = members.mapInArrow(grams, "cluster long, set_id long, copies long, blocks long, grams array<long>")
+    with_grams = members.mapInArrow(tidy(grams), "cluster long, set_id long, copies long, blocks long, grams array<long>")
     block = F.pmod(F.xxhash64("set_id"), F.col("blocks"))
     dealt = with_grams.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set_id", "copies", "grams")
@@ -267,31 +289,56 @@ def block_links(members: DataFrame) -> DataFrame:
         if (out := done()) is not None:
             yield out
 
-    return grouped.mapInArrow(links, "set_id long, links long, other long")
+    return grouped.mapInArrow(tidy(links), "set_id long, links long, other long")
 
 
-def ngram_join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links (other documents that the row links with) for every row."""
+def set_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows' sets (doc_id, text_sum, set_id, n), and per set_id: component (a set_id), component_id, n_links."""
     sets = stash(document_sets(docs), "ngram-sets")
-    classes = stash(sets.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "ngram-classes")
+    classes = stash(sets.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n")), "ngram-classes")
     clusters = stash(candidate_clusters(sets), "ngram-clusters")
-    sized = clusters.join(clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks")), "cluster")
-    wanted = sized.join(classes, "set_id").select("cluster", "set_id", "copies", "blocks", "rep")
+    weighed = clusters.join(classes, "set_id").select("cluster", "set_id", "copies", "rep", "n")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("long")
+    wanted = weighed.join(weighed.groupBy("cluster").agg(blocks.alias("blocks")), "cluster").select("cluster", "set_id", "copies", "blocks", "rep")
     texts = docs.select("doc_id", "text")
     members = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["rep"])).select("cluster", "set_id", "copies", "blocks", "text")
     links = stash(block_links(members), "ngram-links")
     parts = stash(connected_components(links.where("other is not null").select(F.col("set_id").alias("a"), F.col("other").alias("b"))), "ngram-parts")
     named = parts.join(classes, parts["node"] == classes["set_id"]).groupBy("component").agg(F.min("rep").alias("component_id"))
-    by_set = parts.join(named, "component").select(F.col("node").alias("set_id"), "component_id")
+    by_set = parts.join(named, "component").select(F.col("node").alias("set_id"), "component", "component_id")
     counted = links.where("other is null").groupBy("set_id").agg(F.sum("links").alias("links"))
-    result = stash(classes.join(by_set, "set_id", "left").join(counted, "set_id", "left").select("set_id", F.coalesce("component_id", "rep").alias("component_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "ngram-result")
+    joined = classes.join(by_set, "set_id", "left").join(counted, "set_id", "left")
+    result = stash(joined.select("set_id", F.coalesce("component", "set_id").alias("component"), F.coalesce("component_id", "rep").alias("component_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "ngram-result")
     drop_stash(classes, clusters, links, parts)
+    return sets.select("doc_id", "text_sum", "set_id", "n"), result
+
+
+def ngram_join(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links (other documents that the row links with) for every row."""
+    sets, result = set_components(docs)
     own = sets.select("doc_id", "set_id", F.col("n").alias("n_shingles"))
     linked = own.where(F.col("set_id").isNotNull()).join(result, "set_id").select("doc_id", "n_shingles", "component_id", "n_links")
     alone = own.where(F.col("set_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     return linked.union(alone)
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without near-copies: of each component the row of the smallest doc_id (null last; then the
+    least set and text checksum).  A text without words has no copies but equal rows.  Of equal rows one stays."""
+    sets, result = set_components(docs)
+    rows = sets.groupBy("doc_id", "text_sum", "set_id").agg(F.count(F.lit(1)).alias("times"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "set_id", "text_sum", "times")).alias("first")
+    linked = rows.where(F.col("set_id").isNotNull()).join(result.select("set_id", "component"), "set_id").groupBy("component").agg(first).select("first.doc_id", "first.text_sum", "first.times")
+    kept = linked.union(rows.where(F.col("set_id").isNull()).select("doc_id", "text_sum", "times"))
+    # names that are free in docs
+    kept = stash(kept.toDF(*renamed(["_doc_id", "_text_sum", "_times"], docs.columns)), "ngram-kept")
+    names = kept.columns
+    found = docs.join(kept, F.col("doc_id").eqNullSafe(F.col(names[0])) & (F.xxhash64("text") == F.col(names[1])))
+    once = found.where(F.col(names[2]) == 1).select(*docs.columns)
+    # only rows that are there several times are compared
+    return once.union(found.where(F.col(names[2]) > 1).dropDuplicates(["doc_id", "text"]).select(*docs.columns))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(documents(spark, sf_dir))
 
