@@ -187,6 +187,74 @@ def test_mix_targets_and_repeats(spark):
     assert {r.doc_id: r["count"] for r in by_copy} == {i: t // s for i, s, _, _, t, _ in one if t}
 
 
+def test_mix_of_repeated_rows(spark):
+    rows_ = [(7, sentence(1, 100), "a")] * 50 + [(i, sentence(i, 100), "b") for i in range(100, 150)] + [(None, sentence(i, 100), "c") for i in range(40)] + [(None, sentence(3, 100), "c")] * 60
+    docs = spark.createDataFrame(rows_, "doc_id long, text string, source string").repartition(7)
+    got = mixing.mix(docs).toPandas()
+    docs.toPandas().pipe(lambda d: duckdb.register("documents", d))
+    want = duckdb.sql(mixing.ORACLE_SQL).df()
+    assert rows(got) == rows(want)
+    for size, part in got.groupby("source_size"):
+        assert (abs(part.groupby("target").taken.sum() - part.groupby("target").target.first()) <= 50).all(), size
+    assert got[got.doc_id.isna()].taken.nunique() > 1  # null doc_ids have their own draws
+    mixed = {r["source"]: r["count"] for r in mixing.mixed_documents(docs).groupBy("source").count().collect()}
+    assert mixed["a"] == got[got.doc_id == 7].taken.sum() // 100 and sum(mixed.values()) == got.taken.sum() // 100
+
+
+def test_mix_bins_down_to_few_rows(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "x" * (1 + i % 900) + " " + sentence(i, 20 + i % 7), f"s{i % 2}") for i in range(3000)], "doc_id long, text string, source string")
+    want = rows(mixing.mix(docs).toPandas())
+    monkeypatch.setattr(mixing, "SORT_ROWS", 1)
+    monkeypatch.setattr(mixing, "BIN_BITS", 4)
+    assert rows(mixing.mix(docs).toPandas()) == want
+
+
+def test_mixed_documents_keep_columns_of_any_name(spark):
+    names = ["_key", "_weight", "_size", "_copies", "epochs", "_last", "_in_bucket", "_row", "_end", "_times", "key", "size", "target", "cut", "s", "p", "_number", "_part", "_offset"]
+    rows_ = [(i, sentence(i, 30), f"s{i % 2}", *[f"{n}{i}" for n in names]) for i in range(40)] + [(40, sentence(40, 30), "s0", *[f"{n}40" for n in names])] * 9
+    docs = spark.createDataFrame(rows_, "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    got = mixing.mixed_documents(docs)
+    assert got.columns == docs.columns
+    known = {r[0]: r for r in rows_}
+    got = got.collect()
+    assert got and all(tuple(r) == known[r.doc_id] for r in got)
+
+
+def test_one_of_each_group_stays(spark):
+    a, b, c = sentence(1, 200), sentence(1, 200) + " end", sentence(7, 200)
+    rows_ = [(5, a, "x"), (5, c, "y"), (1, b, "z"), (9, c, "v"), (9, c, "v"), (None, a, "n"), (3, None, "q"), (3, None, "q"), (4, "", "r"), (8, sentence(9, 90), "u"), (8, sentence(9, 90), "w")]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string, _doc_id string").repartition(3)
+    got = sorted(((r.doc_id, r.text) for r in ngram_join.one_of_each(docs).collect()), key=repr)
+    assert got == sorted([(1, b), (5, c), (3, None), (4, ""), (8, sentence(9, 90))], key=repr)
+    assert ngram_join.one_of_each(docs).columns == docs.columns
+
+
+def test_unrelated_long_texts_share_no_signature():
+    g = np.random.default_rng(2)
+    for n, m in ((3000, 400), (48_000, 20), (30, 3000)):
+        sets = [np.unique(g.integers(0, 1 << 64, n, dtype=np.uint64)) for _ in range(m)]
+        sent = np.concatenate([np.unique(ngram_join.signatures(x)) for x in sets])
+        assert len(sent) - len(np.unique(sent)) <= (0 if n > 100 else 60), n
+
+
+def test_crowded_sets_share_a_signature_too():
+    base = np.sort(np.random.default_rng(3).choice(1 << 20, 50, replace=False)).astype(np.uint64)  # all in one range
+    for k in range(3):
+        assert set(ngram_join.signatures(base)) & set(ngram_join.signatures(np.append(base[k:], np.uint64(1 << 63))))
+
+
+def test_hubs_are_joined_as_others(spark, monkeypatch):
+    from citeloom.operators import components
+
+    g = random.Random(4)
+    edges = [(0, i) for i in range(1, 200)] + [(g.randrange(300, 400), g.randrange(300, 400)) for _ in range(60)] + [(500 + i, 501 + i) for i in range(40)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    want = sorted(tuple(r) for r in components.connected_components(df).collect())
+    monkeypatch.setattr(components, "HUBS", 10)
+    assert sorted(tuple(r) for r in components.connected_components(df).collect()) == want
+    assert all(c == 0 for n, c in want if n < 200) and all(c == 500 for n, c in want if n >= 500)
+
+
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_same_rows_as_sql(spark, oracle, name):
     ours, theirs = queries()[name](spark, DATA).toPandas(), oracle.execute(oracle_sql()[name]).df()
