@@ -125,12 +125,56 @@ def test_search_of_odd_vectors(spark):
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
     good = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v in vectors if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     for q, v in good:
-        if q % 100 == 0 and q != 100:
-            scored = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in good if i != q and len(w) == len(v))[:10]
+        if q % 100 == 0:
+            mine = [x for i, x in good if i == q]  # rows of one vec_id are one query
+            scored = sorted((-sum(a * b for a, b in zip(x, w, strict=True)), i) for x in mine for i, w in good if i != q and len(w) == len(x))[:10]
             assert sorted(got.get(q, [])) == [(n + 1, i, -s) for n, (s, i) in enumerate(scored)], q
     assert topk_search.topk(df.limit(0)).count() == 0
 
 
+def plain_topk(ids, vectors, query_ids, queries, k=10):
+    return [sorted((-int(q @ v), int(i)) for i, v in zip(ids, vectors, strict=True) if i != own)[:k] for own, q in zip(query_ids, queries, strict=True)]
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_ties_are_never_pruned(monkeypatch, seed):
+    g = np.random.default_rng(seed)
+    monkeypatch.setattr(topk_search, "LEAF", 2)
+    monkeypatch.setattr(topk_search, "QUERY_LEAF", 1)
+    q = g.integers(1, 60, 2)
+    # rows on the line of one score, and others
+    line = np.array([[q[1] * t + q[0], -q[0] * t + q[1]] for t in g.integers(-9, 9, 30)])
+    rows_ = np.concatenate([line, g.integers(-40, 40, (40, 2))]).astype(np.int64)
+    ids = g.permutation(1000)[: len(rows_)].astype(np.int64)
+    queries_ = np.stack([q, q, g.integers(-50, 50, 2)]).astype(np.int64)
+    query_ids = np.array([2000, 2100, int(ids[3])])
+    got, scores = topk_search.block_topk(query_ids, queries_, ids, rows_)
+    assert [[(-s, i) for i, s in zip(a, b, strict=True)] for a, b in zip(got.tolist(), scores.tolist(), strict=True)] == plain_topk(ids, rows_, query_ids, queries_)
+
+
+def test_clustered_rows_are_pruned():
+    g = np.random.default_rng(1)
+    centres = g.standard_normal((10, 16)) * 2000
+    rows_ = np.floor(centres[g.integers(0, 10, 8000)] + g.standard_normal((8000, 16)) * 60).astype(np.int64)
+    scored: list[int] = []
+    ids, _ = topk_search.block_topk(np.arange(10_000, 11_000), rows_[:1000], np.arange(8000), rows_, scored=scored)
+    assert sum(scored) < 0.35 * 1000 * 8000
+    assert ids[5].tolist() == [i for _, i in plain_topk(np.arange(8000), rows_, [10_005], rows_[5:6])[0]]
+
+
+def test_cells_and_blocks_find_the_same(spark, monkeypatch):
+    g = np.random.default_rng(9)
+    vectors = np.concatenate([g.standard_normal((6, 8))[g.integers(0, 6, 900)] * 3 + g.standard_normal((900, 8)) * 0.2, np.ones((300, 8))])
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>").repartition(5)
+    want = plain_topk(range(1200), q := np.floor(vectors * 1024).astype(np.int64), range(0, 1200, 100), q[::100])
+    monkeypatch.setattr(topk_search, "ROW_BLOCK", 64)
+    monkeypatch.setattr(topk_search, "CELLS", 7)
+    got = {}
+    for r in topk_search.topk(df).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (-r.score, r.vec_id)
+    assert [[got[q][n] for n in range(1, 11)] for q in range(0, 1200, 100)] == want
+
+
 def test_rules_of_odd_rows(odd, empty):
     got = {r.doc_id: r for r in quality_rules.quality_rules(odd).collect()}
     assert all(got[i].n_words == 0 and got[i].base_failed and not got[i].kept for i in (2, 3, 4))
