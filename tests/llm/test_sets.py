@@ -313,3 +313,51 @@ def test_every_language_has_a_reference(spark):
     docs = spark.createDataFrame([(i, sentence(i, 80), f"l{i:02}", "a") for i in range(70)], "doc_id long, text string, lang string, source string")
     langs = [r.lang for r in quality_rules.language_references(quality_rules.text_counts(docs)).collect()]
     assert sorted(x for x in langs if x is not None) == [f"l{i:02}" for i in range(70)] and langs.count(None) == 1
+
+
+def test_verdict_against_plain_python(spark):
+    import math
+
+    g = random.Random(2)
+    words = {"en": "the and of to in a river stone light".split(), "de": "der die und in ist mit haus weg licht".split()}
+    texts = [(i, " ".join(g.choice(words[lang]) + g.choice(["", "", ",", ".", "x", "yz"]) for _ in range(g.choice([20, 60, 90, 200]))), lang) for i, lang in enumerate(["en", "de"] * 30)]
+    texts += [(100, " ".join(f"W{k}9%" for k in range(120)), "en"), (101, "THE " * 10 + " ".join(f"Q{k}" for k in range(90)), None), (102, "the same three words again " * 30, "de"), (103, None, "en"), (104, " ".join(f"zu{k}" for k in range(100)), "xx")]
+    got = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(texts, "doc_id long, text string, lang string")).collect()}
+
+    def histograms(t):
+        own = re.findall(r"[^\x20\x09-\x0D]+", t)
+        chars = [0] * 5
+        for c in t:
+            kind = 3 if re.match(r"[\x20\x09-\x0D]", c) else 1 if c.isupper() else 2 if c in "0123456789" else 4 if c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else 0
+            chars[kind] += 1
+        common = [sum(w.lower() == x for w in own) for x in quality_rules.WORDS]
+        return chars, [*common, len(own) - sum(common)], len(own)
+
+    def failed(t):
+        own = re.findall(r"[^\x20\x09-\x0D]+", t)
+        at = {}
+        for k in range(len(own) - 2):
+            at.setdefault(tuple(own[k : k + 3]), []).append(k)
+        hit = {k + d for ks in at.values() if len(ks) > 1 for k in ks for d in range(3)}
+        return len(own) < 50 or 100 * len(hit) > 50 * len(own)
+
+    def distance(p, q):
+        p, q = [x / sum(p) for x in p], [x / sum(q) for x in q]
+        m = [(a + b) / 2 for a, b in zip(p, q, strict=True)]
+        kl = lambda a: sum(x * math.log2(x / y) for x, y in zip(a, m, strict=True) if x > 0)
+        return math.sqrt(max((kl(p) + kl(q)) / 2, 0))
+
+    made = {i: (*histograms(t or ""), failed(t or ""), lang) for i, t, lang in texts}
+    add = lambda rows: [[sum(x) for x in zip(*(r[k] for r in rows), strict=True)] for k in (0, 1)]
+    good = [m for m in made.values() if not m[3]]
+    pooled = add(good)
+    for i, (chars, common, n, bad, lang) in made.items():
+        own = [m for m in good if m[4] == lang and lang is not None]
+        ref = add(own) if own else pooled
+        kept = not bad
+        if sum(chars) >= quality_rules.GUARD_CHARS:
+            kept &= distance(chars, ref[0]) <= quality_rules.MAX_CHAR_DISTANCE
+        if n >= quality_rules.GUARD_WORDS:
+            kept &= distance(common, ref[1]) <= quality_rules.MAX_WORD_DISTANCE
+        assert (got[i].base_failed, got[i].kept) == (bad, kept), i
+    assert {r.kept for r in got.values() if not r.base_failed} == {True, False}
