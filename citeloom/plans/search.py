@@ -24,14 +24,16 @@ class SearchResult:
 
 
 def with_seq(records: DataFrame) -> DataFrame:
-    """A total order: source rank, then place in the source.  Written once, because ids of rows have to stay."""
-    return stash(records.withColumn("_place", F.monotonically_increasing_id()), "search").withColumn("seq", F.col("source_rank").cast("long") * (1 << 44) + F.col("_place") % (1 << 44)).drop("_place")
+    """A total order: the sources as they were united, then the place in the source.  Partitions are numbered through, so
+    numbers are unique however many there are.  Written once, because ids of rows have to stay."""
+    return stash(records.withColumn("seq", F.monotonically_increasing_id()), "search")
 
 
-def aggregate(frames: dict[str, DataFrame], max_results: int = 100, failed: dict[str, str] | None = None, cache: ResultCache | None = None, key: str | None = None, policies: list[str] | None = None) -> SearchResult:
+def aggregate(frames: dict[str, DataFrame], max_results: int = 100, failed: dict[str, str] | None = None, cache: ResultCache | None = None, key: str | None = None, policies: list[str] | None = None, latency: DataFrame | None = None) -> SearchResult:
     """Records of each source (at most ``max_results``), united in registration order and resolved.
 
     ``failed`` are sources that gave nothing and why: they get a row in the statistics, the others' records stay.
+    ``latency`` (source_provider, latency_ms) joins the statistics.
     """
     if cache is not None and key is not None and (hit := cache.get(key)) is not None:
         return SearchResult(hit, hit.groupBy("source_provider").agg(F.count(F.lit(1)).alias("result_count")), hit.count(), True)
@@ -45,7 +47,23 @@ def aggregate(frames: dict[str, DataFrame], max_results: int = 100, failed: dict
     stats = raw.groupBy("source_provider").agg(F.count(F.lit(1)).alias("result_count")).withColumn("skip_reason", F.lit(None).cast("string"))
     if failed:
         stats = stats.unionByName(spark.createDataFrame([(s, 0, why) for s, why in sorted(failed.items())], "source_provider string, result_count long, skip_reason string"))
+    if latency is not None:
+        stats = stats.join(latency.groupBy("source_provider").agg(F.max("latency_ms").alias("latency_ms")), "source_provider", "left")
     fused = dedup.fuse_clusters(raw, dedup.deduplicate(raw, policies))
     if cache is not None and key is not None:
         fused = cache.put(key, fused)
     return SearchResult(fused, stats, raw.count(), False)
+
+
+def federated(fetched: DataFrame, max_results: int = 100, cache: ResultCache | None = None, key: str | None = None, policies: list[str] | None = None) -> SearchResult:
+    """From the rows of the search source (source, page, body, error, latency_ms) to the aggregated result.
+
+    Bodies are parsed, normalized and united; a source whose rows are all errors is in the statistics with its reason.
+    """
+    fetched = stash(fetched, "fetched")
+    whole = fetched.where("body is not null")
+    known = {r["source"] for r in whole.select("source").distinct().collect()}  # one row a source
+    why = {r["source"]: r["error"] for r in fetched.groupBy("source").agg(F.max("error").alias("error")).collect() if r["source"] not in known}
+    frames = {s: payloads.normalize(payloads.items_of(whole.where(F.col("source") == s).select("body"), s), s) for s in payloads.NORMALIZERS if s in known}
+    latency = fetched.groupBy(F.col("source").alias("source_provider")).agg(F.max("latency_ms").alias("latency_ms"))
+    return aggregate(frames, max_results, why, cache, key, policies, latency)

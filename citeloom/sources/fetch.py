@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import random
+import re
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -18,6 +19,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 #: Requests a second by source (without a key, with one).
 RATES = {"openalex": (10, 10), "crossref": (15, 15), "semantic_scholar": (1, 10), "arxiv": (3, 3), "pubmed": (3, 10), "ieee": (1, 1), "doaj": (5, 5)}
 PAGE_SIZES = {"openalex": 200, "crossref": 100, "semantic_scholar": 1000, "arxiv": 100, "pubmed": 200, "ieee": 200, "doaj": 100}
+#: Records of a PubMed search are fetched so many at a time.
+FETCH_BATCH = 200
 
 Transport = Callable[[str, dict], tuple[int, str]]
 
@@ -91,12 +94,34 @@ class SearchQuery:
         return self.offset == 0
 
 
+#: Fixed value: the characters that the Lucene query syntax escapes.
+_LUCENE = re.compile(r'([+\-&|!(){}\[\]^"~*?:/\\])')
+
+
+def plain_booleans(term: str) -> str:
+    """AND, OR, NOT to +, |, - and white space collapsed, as ``functions.text.boolean_to_symbols`` does for columns."""
+    for word, sign in ((r"\bAND\b", "+"), (r"\bOR\b", "|"), (r"\bNOT\s+", "-")):
+        term = re.sub(word, sign, term, flags=re.IGNORECASE)
+    return " ".join(term.split())
+
+
+def pubmed_pages(q: SearchQuery, found: str, key: str | None = None) -> Iterator[dict]:
+    """Requests for the records of a PubMed search, from its answer: by the server's history if it names one, else by id."""
+    answer = json.loads(found).get("esearchresult", {})
+    ids, history = answer.get("idlist", []), {"query_key": answer.get("querykey", ""), "WebEnv": answer.get("webenv", "")}
+    for at in range(0, min(int(answer.get("count", 0) or 0), q.max_results), FETCH_BATCH):
+        part = ids[at : at + FETCH_BATCH]
+        if not all(history.values()) and not part:
+            return
+        yield {"db": "pubmed", "step": "fetch", "retmode": "xml", "retstart": at, "retmax": min(FETCH_BATCH, q.max_results - at)} | (history if all(history.values()) else {"id": ",".join(part)}) | ({"api_key": key} if key else {})
+
+
 def requests(source: str, q: SearchQuery, key: str | None = None) -> Iterator[dict]:
     """A source's own parameters, page by page; years are pushed down where the source can filter by them."""
     size = min(q.max_results, PAGE_SIZES[source])
     years = q.year_from is not None or q.year_to is not None
     low, high = q.year_from or 1000, q.year_to or 3000
-    for k, at in enumerate(range(q.offset, q.offset + q.max_results, size)):
+    for at in range(q.offset, q.offset + q.max_results, size):
         if source == "openalex":
             yield {"search": q.term, "per-page": size, "page": at // size + 1} | ({"filter": f"publication_year:{low}-{high}"} if years else {})
         elif source == "crossref":
@@ -104,21 +129,22 @@ def requests(source: str, q: SearchQuery, key: str | None = None) -> Iterator[di
         elif source == "arxiv":
             yield {"search_query": f"all:{q.term}", "start": at, "max_results": size}
         elif source == "doaj":
-            yield {"term": q.term + (f" AND bibjson.year:[{low} TO {high}]" if years else ""), "page": at // size + 1, "pageSize": size}
+            yield {"term": _LUCENE.sub(r"\\\1", q.term) + (f" AND bibjson.year:[{low} TO {high}]" if years else ""), "page": at // size + 1, "pageSize": size}
         elif source == "ieee":
             if not key:
                 raise SourceUnavailable("no key")
             yield {"querytext": q.term, "start_record": at + 1, "max_records": size, "sort_field": "publication_year", "sort_order": "desc"} | ({"start_year": low, "end_year": high} if years else {})
-        elif source == "pubmed":
-            yield {"term": f"({q.term}) AND {low}:{high}[Date - Publication]" if years else q.term, "retstart": k * size, "retmax": size}
         else:
-            yield {"query": q.term, "limit": size, "fields": "paperId,externalIds,title,abstract,year,venue,authors,citationCount"} | ({"year": f"{low}-{high}"} if years else {})
+            yield {"query": plain_booleans(q.term), "limit": size, "fields": "paperId,externalIds,title,abstract,year,venue,authors,citationCount"} | ({"year": f"{low}-{high}"} if years else {})
 
 
 def read_pages(source: str, q: SearchQuery, transport: Transport, key: str | None = None, sleep: Callable[[float], None] = time.sleep) -> Iterator[str]:
     """Bodies of a source's pages.  A token source goes on until its last token; a page that fails ends the pages that
     were read before, which are kept, unless it is the first."""
     bucket = TokenBucket(RATES[source][1 if key else 0], sleep=sleep)
+    if source == "pubmed":
+        yield from _pubmed(q, transport, key, bucket, sleep)
+        return
     got, token = 0, None
     for k, request in enumerate(requests(source, q, key)):
         if source == "semantic_scholar" and k and not token:
@@ -139,6 +165,20 @@ def read_pages(source: str, q: SearchQuery, transport: Transport, key: str | Non
                 return
 
 
+def _pubmed(q: SearchQuery, transport: Transport, key: str | None, bucket: TokenBucket, sleep: Callable[[float], None]) -> Iterator[str]:
+    """A search for ids, then the records in batches; a batch that fails is left out, a search that fails is an error."""
+    term = f"({q.term}) AND {q.year_from or 1000}:{q.year_to or 3000}[Date - Publication]" if q.year_from is not None or q.year_to is not None else q.term
+    search = {"db": "pubmed", "step": "search", "term": term, "retmode": "json", "usehistory": "y", "retstart": q.offset, "retmax": q.max_results} | ({"api_key": key} if key else {})
+    bucket.wait()
+    found = with_retries(lambda: transport("pubmed", search), sleep=sleep)
+    for request in pubmed_pages(q, found, key):
+        bucket.wait()
+        try:
+            yield with_retries(lambda r=request: transport("pubmed", r), sleep=sleep)
+        except SourceUnavailable:
+            continue
+
+
 @dataclass
 class _Task(InputPartition):
     source: str

@@ -51,6 +51,16 @@ def scan(spark: SparkSession, source: str, path: str) -> DataFrame:
     return pages.select(F.explode(ITEMS[source]).alias("item")).select("item.*")
 
 
+def items_of(pages: DataFrame, source: str) -> DataFrame:
+    """The items of answers held in a column ``body``, one row each; a body that cannot be read has none."""
+    if source in ROW_TAGS:
+        tag = ROW_TAGS[source]
+        read = pages.select(F.from_xml("body", f"{tag} array<struct<{as_struct(FIELDS[source])}>>").alias("page"))
+        return read.select(F.explode(F.col(f"page.{tag}")).alias("item")).select("item.*")
+    read = pages.select(F.from_json("body", SCHEMAS[source].format(as_struct(FIELDS[source]))).alias("page")).select("page.*")
+    return read.select(F.explode(ITEMS[source]).alias("item")).select("item.*")
+
+
 def _blank(c: Column) -> Column:
     return F.nullif(F.trim(c), F.lit(""))
 
@@ -210,7 +220,8 @@ def normalize(items: DataFrame, source: str, with_raw: bool = False, retrieved_a
 
 def fetch_by_id(frames: dict[str, DataFrame], namespace: str, value: str, only: list[str] | None = None) -> DataFrame:
     """The first source, in registration order, that knows the identifier."""
-    supports = {"doi": SOURCES, "arxiv": ["arxiv", "openalex", "semantic_scholar"], "openalex": ["openalex"], "s2": ["semantic_scholar"], "pubmed": ["pubmed", "openalex", "semantic_scholar"], "ieee": ["ieee"], "doaj": ["doaj"]}
+    by_doi = [s for s in SOURCES if s != "arxiv"]
+    supports = {"doi": by_doi, "arxiv": ["arxiv", "openalex", "semantic_scholar"], "openalex": ["openalex"], "s2": ["semantic_scholar"], "pubmed": ["pubmed", "openalex", "semantic_scholar", "crossref"], "ieee": ["ieee"], "doaj": ["doaj"]}
     wanted = idf.normalize_value(F.lit(namespace), F.lit(value))
     found = [frames[s].where(F.exists("ids", lambda x: (x["ns"] == namespace) & (x["value"] == wanted))) for s in SOURCES if s in frames and s in supports.get(namespace, []) and (not only or s in only)]
     if not found:

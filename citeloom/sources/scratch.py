@@ -28,10 +28,31 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+_left: set[str] = set()
+
+
+def _leave_none(spark: SparkSession, path: str) -> None:
+    """Delete at the application's end what its last readers needed until then."""
+
+    def clean() -> None:
+        try:
+            jvm = spark._jvm
+            for left in sorted(_left):
+                where = jvm.org.apache.hadoop.fs.Path(left)
+                where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # noqa: BLE001 - the JVM may be gone already; nothing can be done then
+            pass
+
+    if not _left:
+        atexit.register(clean)
+    _left.add(path)
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """``df``, written as Parquet to the shared folder and read back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _leave_none(spark, path)
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._stash_path = path
@@ -46,3 +67,4 @@ def drop_stash(*frames: DataFrame) -> None:
             jvm = df.sparkSession._jvm
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+            _left.discard(path)

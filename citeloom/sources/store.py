@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from citeloom.functions import identifiers as idf
+from citeloom.sources.scratch import drop_stash, stash
 
 #: Table -> (DDL, key).
 TABLES = {
@@ -70,8 +71,10 @@ class Store:
             fs.delete(p, True)
 
     def upsert(self, table: str, rows: DataFrame, by: list[str] | None = None) -> None:
-        """Rows whose key is there replace the old ones, others are added."""
+        """Rows whose key is there replace the old ones, others are added; of rows with one primary key, one stays."""
         key = by or TABLES[table][1]
+        if not by or by == TABLES[table][1]:
+            rows = rows.dropDuplicates(key)
         kept = self.read(table).join(rows.select(*key).distinct(), key, "left_anti")
         self.replace(table, kept.unionByName(rows, allowMissingColumns=True))
 
@@ -86,11 +89,18 @@ class Store:
 
     # works
     def save_works(self, records: DataFrame) -> None:
-        """Records with ids and authors: the work row by its primary identifier, identifiers and authors re-synced."""
+        """Records with ids and authors: the work row by its primary identifier, identifiers and authors re-synced.
+
+        Of several records with one primary identifier the last of the batch is saved (the latest retrieval, then the
+        last row), with its identifiers and authors.
+        """
         p = idf.primary(F.col("ids"))
         if records.where(F.size("ids") == 0).limit(1).count():
             raise ValueError("a record needs an identifier")
         keyed = records.withColumn("id", F.when(p.isNotNull(), idf.id_string(p)).otherwise(idf.id_string(F.get("ids", F.lit(0)))))
+        last = Window.partitionBy("id").orderBy(*([F.desc_nulls_last("retrieved_at")] if "retrieved_at" in keyed.columns else []), F.desc("_row"))
+        keyed = keyed.withColumn("_row", F.monotonically_increasing_id()).withColumn("_last", F.row_number().over(last)).where("_last = 1").drop("_row", "_last")
+        keyed = stash(keyed, "works")  # read for four tables
         self.upsert("works", keyed.select("id", *[c for c in keyed.columns if c in TABLES["works"][0] and c in ("title", "abstract", "year", "venue", "cited_by_count", "is_retracted", "source_provider", "retrieved_at")]))
         each = keyed.select(F.col("id").alias("work_id"), F.posexplode("ids").alias("n", "x"))
         self.upsert("work_external_ids", each.select("work_id", F.col("x.ns").alias("namespace"), F.col("x.value").alias("value"), (idf.id_string(F.col("x")) == F.col("work_id")).alias("is_primary")).dropDuplicates(["work_id", "namespace", "value"]), ["work_id"])
@@ -98,6 +108,7 @@ class Store:
             people = keyed.select(F.col("id").alias("work_id"), F.posexplode("authors").alias("position", "a")).select("work_id", "position", F.concat_ws(", ", "a.family", "a.given").alias("author_name"), F.col("a.orcid").alias("orcid"), F.lower("a.family").alias("normalized_name"))
             self.insert_new("authors", people.select(F.col("author_name").alias("full_name"), "normalized_name", "orcid"))
             self.upsert("work_authors", people.drop("normalized_name"), ["work_id"])
+        drop_stash(keyed)
 
     def find_works(self, ids: DataFrame) -> DataFrame:
         """Works by id, with identifiers and authors in order; unknown ids are left out."""

@@ -1,13 +1,17 @@
 """What the tests share: the smallest tables, and rows in a form that can be compared."""
 
+import pandas
+
 DATA = "/root/testdata/sf0.001"
 
 
 def plain(value):
-    if value is None or value != value:
-        return None
     if hasattr(value, "tolist"):
         value = value.tolist()
+    if isinstance(value, (list, dict)):
+        return value
+    if value is None or pandas.isna(value):
+        return None
     if isinstance(value, float):
         return round(value, 6)
     if isinstance(value, int) and not isinstance(value, bool):

@@ -147,3 +147,68 @@ def test_streams(spark, tmp_path, frames):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     assert incremental.event_counts(events).agg(F.sum("n")).first()[0] == events.count()
     assert incremental.run_sessions(events).agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_terms_are_sent_in_each_sources_syntax():
+    q = fetch.SearchQuery("COVID-19 (Review): A AND b NOT c", 2020, 2024)
+    assert next(fetch.requests("doaj", q))["term"] == "COVID\\-19 \\(Review\\)\\: A AND b NOT c AND bibjson.year:[2020 TO 2024]"
+    assert next(fetch.requests("semantic_scholar", q))["query"] == "COVID-19 (Review): A + b -c"
+
+
+@pytest.mark.parametrize("history", [True, False])
+def test_pubmed_searches_then_fetches(history):
+    asked = []
+
+    def transport(source, request):
+        asked.append(request)
+        if request["step"] == "search":
+            found = {"count": "450", "idlist": [str(i) for i in range(450)]} | ({"querykey": "1", "webenv": "w"} if history else {})
+            return 200, json.dumps({"esearchresult": found})
+        return (404, "") if request["retstart"] == 200 else (200, f"<{request['retstart']}>")
+
+    q = fetch.SearchQuery("term one", 2020, None, max_results=410)
+    assert list(fetch.read_pages("pubmed", q, transport, sleep=lambda s: None)) == ["<0>", "<400>"]
+    assert asked[0]["term"] == "(term one) AND 2020:3000[Date - Publication]"
+    fetched = [a for a in asked if a["step"] == "fetch"]
+    assert sorted({a["retstart"] for a in fetched}) == [0, 200, 400] and fetched[-1]["retmax"] == 10
+    assert all(("WebEnv" in a) == history and ("id" in a) != history for a in fetched)
+    assert list(fetch.read_pages("pubmed", q, lambda s, r: (200, json.dumps({"esearchresult": {"count": "0"}})), sleep=lambda s: None)) == []
+
+
+def test_fetched_pages_become_one_result(spark):
+    rows = [
+        ("crossref", 0, json.dumps({"message": {"items": [{"DOI": "10.1/A", "title": ["A paper"]}, {"DOI": "10.1/b", "title": ["Another"]}]}}), None, 12),
+        ("arxiv", 0, "<feed><entry><id>http://arxiv.org/abs/2101.00001v1</id><title>A third one</title></entry></feed>", None, 30),
+        ("ieee", -1, None, "no key", 4),
+    ]
+    got = search.federated(spark.createDataFrame(rows, "source string, page int, body string, error string, latency_ms long"))
+    assert {r.title for r in got.records.collect()} == {"A paper", "Another", "A third one"}
+    assert sorted((r.source_provider, r.result_count, r.skip_reason, r.latency_ms) for r in got.stats.collect()) == [("arxiv", 1, None, 30), ("crossref", 2, None, 12), ("ieee", 0, "no key", 4)]
+
+
+def test_places_are_unique_beyond_any_number_of_partitions(spark):
+    df = spark.range(0, 5000, 1, 2500).select(F.col("id").alias("n"), F.lit(1).alias("source_rank"))
+    got = search.with_seq(df)
+    assert got.select("seq").distinct().count() == 5000
+    assert [r.n for r in got.orderBy("seq").collect()] == list(range(5000))
+
+
+def test_the_last_record_of_an_id_is_saved(spark, tmp_path):
+    s = Store(spark, str(tmp_path))
+    kind = "ids array<struct<ns:string,value:string>>, title string, authors array<struct<family:string,given:string,orcid:string,normalized:string>>, retrieved_at timestamp"
+    import datetime
+
+    day = lambda d: datetime.datetime(2024, 1, d)
+    rows = [([("doi", "10.1/a")], "first", [("One", "A", None, "one a")], day(1)), ([("doi", "10.1/a"), ("arxiv", "2101.1")], "second", [("Two", "B", None, "two b"), ("Three", "C", None, "three c")], day(2)), ([("doi", "10.1/b")], "other", [], day(1))]
+    s.save_works(spark.createDataFrame(rows, kind).coalesce(1))
+    works = {r.title for r in s.read("works").collect()}
+    assert works == {"second", "other"}
+    assert sorted((r.namespace, r.value, r.is_primary) for r in s.read("work_external_ids").collect() if r.value != "10.1/b") == [("arxiv", "2101.1", False), ("doi", "10.1/a", True)]
+    assert sorted((r.position, r.author_name) for r in s.read("work_authors").collect()) == [(0, "Two, B"), (1, "Three, C")]
+
+
+def test_routing_by_identifier_follows_what_a_source_supports(spark):
+    rows = {s: payloads.normalize(payloads.items_of(spark.createDataFrame([(b,)], "body string"), s), s) for s, b in (("arxiv", "<feed><entry><id>http://arxiv.org/abs/2101.00001v1</id><title>T</title><doi>10.1/x</doi></entry></feed>"), ("crossref", json.dumps({"message": {"items": [{"DOI": "10.1/y", "title": ["U"]}]}})))}
+    assert payloads.fetch_by_id(rows, "arxiv", "2101.00001").first().source_provider == "arxiv"
+    assert payloads.fetch_by_id(rows, "doi", "10.1/y").first().source_provider == "crossref"
+    assert payloads.fetch_by_id(rows, "doi", "10.1/x").count() == 0
