@@ -19,8 +19,9 @@ The shares of the three in the range are probabilities that adapt id by id in ea
 ``token_table`` reads the files and returns per document doc_id, start, n_tokens and ids_crc32.
 
 Tokenizing is the library's, special tokens in a text included.  The pre-tokens of a text are independent in a byte-level
-BPE, so ids are remembered per pre-token (bounded) and the library is asked for new ones; texts with characters beyond
-ASCII and Latin letters are cut only before spaces that follow a non-space, which no pre-token crosses.  A text with a
+BPE, so ids are remembered per pre-token (bounded) and the library is asked for new ones; a batch's pre-tokens are found
+and numbered as arrays.  Texts with characters beyond ASCII and Latin letters are cut only before spaces that follow a
+non-space, which no pre-token crosses.  A text with a
 special token goes to the library whole.
 
 A null text is encoded as empty (its only id is ``END``).  Null doc_ids come first.  Rows with equal doc_id are ordered
@@ -70,13 +71,48 @@ _LOW_WORD = np.uint64(0xFFFFFFFF)
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 _PLAIN = re.compile(f"[ -~\\n\\t\\r{_LETTERS}]*")
-#: Fixed value: the pre-tokenizer's pattern, its letters and digits narrowed to those of plain texts.
-_PRE_TOKENS = re.compile(rf" ?[{_LETTERS}]+| ?[0-9]+|'(?:s|t|re|ve|m|ll|d)| ?[^\s0-9{_LETTERS}]+|\s+(?!\S)|\s+")
+#: Kinds of a plain text's bytes: white space, letters (all bytes beyond ASCII are in letters), digits, others.
+_WHITE, _LETTER, _DIGIT, _OTHER = range(4)
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[[0x20, 0x0A, 0x09, 0x0D]] = _WHITE
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = _LETTER
+_KIND[0x30:0x3A] = _DIGIT
+#: Fixed value: the endings that the pre-tokenizer keeps with an apostrophe.
+_ENDINGS = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")
 _JOINED = re.compile("(?s) [^\\s\u180e\u200b](?:.*[^\\s\u180e\u200b])?")
 #: A space after anything that is no white space (nor counted as such by older tables): parts can be cut before it.
 _BORDER = re.compile("(?<=[^\\s\u180e\u200b]) ")
 
 
+def pre_tokens(raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Where the pre-tokens of plain texts begin: UTF-8 bytes of all texts, and each text's offset in them.
+
+    Runs of one kind are pre-tokens.  The last sign of white space before something else stands on its own; a space
+    there goes to what follows.  An apostrophe that follows no space takes one of its endings from the letters after it.
+    """
+    if not len(raw):
+        return np.zeros(0, np.int64)
+    kind = _KIND[raw]
+    edge = np.zeros(len(raw) + 1, bool)
+    edge[offs] = True
+    begin = edge[:-1].copy()
+    begin[1:] |= kind[1:] != kind[:-1]
+    ends = np.flatnonzero(begin[1:] & ~edge[1:-1] & (kind[:-1] == _WHITE))  # white space that something else follows
+    begin[ends] = True
+    begin[ends[raw[ends] == 0x20] + 1] = False
+    marks = np.flatnonzero((raw[:-1] == 0x27) & begin[:-1] & (kind[1:] == _LETTER) & ~edge[1:-1])
+    limit = np.append(offs, len(raw))[np.searchsorted(offs, marks, side="right")]
+    for ending in _ENDINGS:
+        fits = marks + len(ending) < limit
+        for i, byte in enumerate(ending):
+            fits &= raw[np.minimum(marks + 1 + i, len(raw) - 1)] == byte
+        found = marks[fits]
+        begin[found + 1] = False
+        after = found + 1 + len(ending)
+        begin[after[after < len(raw)]] = True
+    return np.flatnonzero(begin)
+
+
 class TextEncoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are parallel already
@@ -95,15 +131,27 @@ class TextEncoder:
         self.size[list(vocabulary.values())] = [len(piece) for piece in vocabulary]
         self.known = Known([Runs(np.zeros(0, np.uint32), np.zeros(0, np.int64))], CACHE_WORDS, CACHE_CHARS)
 
+    def plain(self, text: str) -> bool:
+        """Whether ``pre_tokens`` tells the text's parts."""
+        return self.by_parts and _PLAIN.fullmatch(text) is not None and (self.special is None or self.special.search(text) is None)
+
     def split(self, text: str) -> list[str]:
         """Parts of a text whose ids are independent; joined they give the text."""
         if not self.by_parts or (self.special is not None and self.special.search(text)):
             return [text] if text else []
-        if _PLAIN.fullmatch(text):
-            return _PRE_TOKENS.findall(text)
         borders = [0, *[m.start() for m in _BORDER.finditer(text)], len(text)]
         return [text[a:b] for a, b in zip(borders, borders[1:], strict=False) if b > a]
 
+    def plain_parts(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The distinct pre-tokens of plain texts, the number of each pre-token in them, and how many a text has."""
+        raws = [t.encode() for t in texts]
+        data = b"".join(raws)
+        offs = np.cumsum([0, *map(len, raws)])
+        begin = pre_tokens(np.frombuffer(data, np.uint8), offs[:-1])
+        own = np.diff(np.searchsorted(begin, offs))
+        parts = pa.LargeStringArray.from_buffers(len(begin), pa.py_buffer(np.append(begin, len(data))), pa.py_buffer(data)).dictionary_encode()
+        return parts.dictionary.to_numpy(zero_copy_only=False).tolist(), parts.indices.to_numpy(), own
+
     def _asked(self, surfaces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(surfaces, add_special_tokens=False)] if surfaces else []
         lengths = np.fromiter(map(len, found), np.int64, len(found))
@@ -111,14 +159,14 @@ class TextEncoder:
 
     def library(self, surfaces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The library's ids of each surface.  Those that begin at a border are sent joined; bytes tell their ids apart."""
-        joined = np.fromiter((bool(self.by_parts and _JOINED.fullmatch(x)) for x in surfaces), bool, len(surfaces))
+        joined = np.fromiter(map(_JOINED.fullmatch, surfaces), bool, len(surfaces)) & self.by_parts
         if self.special is not None and self.special.search("".join(surfaces)):
             joined &= np.fromiter((self.special.search(x) is None for x in surfaces), bool, len(surfaces))
         here, other = np.flatnonzero(joined), np.flatnonzero(~joined)
         words = [surfaces[i] for i in here.tolist()]
         ids, _ = self._asked(["".join(words[i : i + 100]) for i in range(0, len(words), 100)])
         ends = np.cumsum(self.size[ids])
-        own_ends = np.cumsum(np.fromiter((len(w.encode()) for w in words), np.int64, len(words)))
+        own_ends = np.cumsum(np.fromiter(map(len, map(str.encode, words)), np.int64, len(words)))
         upto = np.searchsorted(ends, own_ends, side="right")
         if len(words) and not (len(ends) == upto[-1] and (ends[upto - 1] == own_ends).all()):
             raise ValueError("the library joined words over a border")
@@ -130,19 +178,32 @@ class TextEncoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of whole texts, one after the other, and their number by text."""
-        parts = [self.split(t) for t in texts]
+        plain = np.fromiter(map(self.plain, texts), bool, len(texts))
+        here, other = np.flatnonzero(plain), np.flatnonzero(~plain)
+        words, which, own = self.plain_parts([texts[i] for i in here.tolist()])
+        ids, lengths = self._numbered(words, which, own)
+        if not len(other):
+            return ids, lengths
+        parts = [self.split(texts[i]) for i in other.tolist()]
         words = list(chain.from_iterable(parts))
-        which = self.known.find(words)
+        rest, rest_lengths = self._numbered(words, np.arange(len(words)), np.fromiter(map(len, parts), np.int64, len(parts)))
+        place = np.empty(len(texts), np.int64)
+        place[np.concatenate([here, other])] = np.arange(len(texts))
+        return Runs(np.concatenate([ids, rest]), np.concatenate([lengths, rest_lengths])).take(place)
+
+    def _numbered(self, words: list[str], which: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts, and their number by text: ``which`` are the places of the texts' parts in ``words``, ``own`` parts a text."""
+        known = self.known.find(words)
         if self.known.fresh:
             self.known.fill(self.library(self.known.fresh))
         (runs,) = self.known.runs
-        long = np.flatnonzero(which < 0)
+        long = np.flatnonzero(known < 0)
         if len(long):
             values, lengths = self.library([words[i] for i in long.tolist()])
-            which[long] = len(runs.lengths) + np.arange(len(long))
+            known[long] = len(runs.lengths) + np.arange(len(long))
             runs = Runs(np.concatenate([runs.values, values]), np.concatenate([runs.lengths, lengths]))
-        ids, lengths = runs.take(which)
-        return ids, np.bincount(np.repeat(np.arange(len(texts)), [len(own) for own in parts]), lengths, minlength=len(texts)).astype(np.int64)
+        ids, lengths = runs.take(known[which])
+        return ids, np.bincount(np.repeat(np.arange(len(own)), own), lengths, minlength=len(own)).astype(np.int64)
 
 
 # ---------------------------------------------------------------- coder

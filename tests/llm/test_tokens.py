@@ -148,6 +148,19 @@ def test_ids_are_the_librarys(texts):
                 assert own.tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
+def test_pre_tokens_of_plain_texts_are_the_librarys():
+    g = random.Random(4)
+    path = default_path("byte_bpe_50k.json")
+    library, encoder = Tokenizer.from_file(path), token_output.TextEncoder(path)
+    signs = ["'", "s", "t", "re", "ll", "ve", "m", "d", "'S", " ", "  ", "\n", "\t", "\r", "a", "é", "ɏ", "7", ".", "!!", " the", "日"]
+    for _ in range(100):  # many small batches, some without a plain text
+        texts = ["".join(g.choices(signs, k=g.choice([0, 1, 2, 3, 5, 12, 40]))) for _ in range(g.randrange(5))]
+        ids, lengths = encoder.encode(texts)
+        assert len(lengths) == len(texts)
+        for text, own in zip(texts, np.split(ids, np.cumsum(lengths)[:-1]), strict=False):
+            assert own.tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_random_strings_have_the_librarys_ids():
     g = random.Random(3)
     path = default_path("byte_bpe_50k.json")
