@@ -125,15 +125,18 @@ def merge_by_identity(df: DataFrame) -> DataFrame:
 def fuse(df: DataFrame, by: str, order: list[Column]) -> DataFrame:
     """One record per value of ``by``: in the given order, first non-null fields, united identifiers, most citations.
 
-    One pre-aggregated pass: the smallest (order, field) structs are kept, no window.
+    Pre-aggregated passes: the smallest (order, field) structs are kept, no window.  Equal identifiers of a group are
+    reduced to the first one before they are gathered, so a group gathers no more than its row holds.
     """
     rank = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])
     plain = [c for c in df.columns if c not in (by, "ids", "cited_by_count")]
     lead = {"seq", "title", "source_provider", "is_retracted", "norm_title"}
     first = [(F.min_by(c, rank) if c in lead else F.min_by(c, F.when(F.col(c).isNotNull(), rank))).alias(c) for c in plain]
-    ids = F.array_distinct(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct(rank.alias("k"), F.col("ids")))), lambda x: x["ids"])))
     cited = [F.max("cited_by_count").alias("cited_by_count")] if "cited_by_count" in df.columns else []
-    return df.groupBy(by).agg(*first, *cited, ids.alias("ids"))
+    each = df.select(F.col(by).alias("_by"), rank.alias("_rank"), F.posexplode("ids").alias("_place", "_id")).groupBy("_by", "_id").agg(F.min(F.struct("_rank", "_place")).alias("_at"))
+    united = each.groupBy("_by").agg(F.transform(F.sort_array(F.collect_list(F.struct("_at", "_id"))), lambda x: x["_id"]).alias("ids"))
+    fused = df.groupBy(by).agg(*first, *cited).join(united, F.col(by) == F.col("_by"), "left").drop("_by")
+    return fused.withColumn("ids", F.coalesce("ids", F.array().cast(df.schema["ids"].dataType)))
 
 
 def shared_authors(authors: DataFrame, other: DataFrame) -> DataFrame:

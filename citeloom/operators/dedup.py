@@ -27,15 +27,29 @@ def _stars(keyed: DataFrame, reason: Column, value: float) -> DataFrame:
 
 def namespace_policy(namespace: str) -> Policy:
     """Equal identifiers of a namespace."""
-    reason = f"{namespace}_match" if namespace in ("doi", "arxiv", "openalex", "s2", "pubmed") else "fingerprint"
 
     def run(works: DataFrame) -> DataFrame:
         keyed = works.select("seq", idf.find_namespace(F.col("ids"), namespace).alias("key")).where("key is not null")
-        return _stars(keyed, F.lit(reason), 1.0)
+        return _stars(keyed, F.lit(_reason(namespace)), 1.0)
 
+    run.namespace = namespace
     return run
 
 
+def _reason(namespace: str) -> str:
+    return f"{namespace}_match" if namespace in ("doi", "arxiv", "openalex", "s2", "pubmed") else "fingerprint"
+
+
+def _identifier_pairs(works: DataFrame, policies: list[tuple[int, str, str]]) -> DataFrame:
+    """The pairs of several namespace policies (rank, name, namespace) from one pass over the records."""
+    key = lambda ns: idf.find_namespace(F.col("ids"), ns).alias("key")
+    each = [F.struct(F.lit(rank).alias("policy_rank"), F.lit(name).alias("policy"), F.lit(_reason(ns)).alias("reason"), key(ns)) for rank, name, ns in policies]
+    keyed = works.select("seq", F.explode(F.array(*each)).alias("k")).select("seq", "k.*").where("key is not null")
+    first = keyed.groupBy("policy_rank", "key").agg(F.min("seq").alias("primary_seq"))
+    pairs = keyed.join(first, ["policy_rank", "key"]).where("seq <> primary_seq")
+    return pairs.select("primary_seq", F.col("seq").alias("secondary_seq"), "reason", F.lit(1.0).alias("confidence"), "policy", "policy_rank")
+
+
 def fingerprint_policy(works: DataFrame) -> DataFrame:
     """Equal MD5 of the first 50 characters of the normalized title, the first author's family name and the year."""
     family = F.coalesce(F.get("authors", F.lit(0))["family"], F.lit("")) if "authors" in works.columns else F.lit("")
@@ -84,8 +98,11 @@ def select_policies(names: list[str] | None = None) -> dict[str, Policy]:
 
 
 def detect(works: DataFrame, policies: dict[str, Policy]) -> DataFrame:
-    """policy_rank, policy, primary_seq, secondary_seq, reason, confidence of every policy."""
-    parts = [run(works).withColumn("policy", F.lit(name)).withColumn("policy_rank", F.lit(rank)) for rank, (name, run) in enumerate(policies.items())]
+    """policy_rank, policy, primary_seq, secondary_seq, reason, confidence of every policy; those on identifiers share one pass."""
+    ranked = [(rank, name, run, getattr(run, "namespace", None)) for rank, (name, run) in enumerate(policies.items())]
+    parts = [run(works).withColumn("policy", F.lit(name)).withColumn("policy_rank", F.lit(rank)) for rank, name, run, ns in ranked if ns is None]
+    if by_id := [(rank, name, ns) for rank, name, _, ns in ranked if ns is not None]:
+        parts.insert(0, _identifier_pairs(works, by_id))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -1,7 +1,7 @@
 """Citation-graph operators over an edge table (src cites dst) and, where isolated nodes matter, a node table.
 
-Iterative operators write each round's state to the shared folder, so plans stay short; edges are read from one table
-that is partitioned by the join key once.
+Iterative operators write each round's state to the shared folder, so plans stay short; edges are read from one table.
+Those with a limit on rounds raise if they have not settled by then.
 """
 
 from __future__ import annotations
@@ -58,6 +58,9 @@ def coupling(edges: DataFrame, min_weight: int = 1) -> DataFrame:
 
 
 def _together(edges: DataFrame, by: str, item: str, min_weight: int) -> DataFrame:
+    if min_weight > 1:  # edges are distinct, so an item with fewer of them is in no pair of that weight
+        enough = edges.groupBy(item).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_weight).select(item)
+        edges = edges.join(enough, item, "left_semi")
     left, right = edges.select(by, F.col(item).alias("a")), edges.select(by, F.col(item).alias("b"))
     return left.join(right, by).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("weight")).where(F.col("weight") >= min_weight)
 
@@ -74,7 +77,7 @@ def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 100, toleran
     else:
         m = max(start.select("node").distinct().count(), 1)
         home = everyone.join(start.select("node").distinct().withColumn("in_start", F.lit(1.0 / m)), "node", "left").withColumn("home", F.coalesce("in_start", F.lit(0.0))).drop("in_start")
-    links = stash(edges.select("src", "dst").repartition("src"), "pagerank-links")
+    links = stash(edges.select("src", "dst"), "pagerank-links")
     home = stash(home, "pagerank-home")
     now = stash(home.select("node", "out", "home", F.col("home").alias("rank")), "pagerank")
     for _ in range(rounds):
@@ -95,15 +98,22 @@ def hits(edges: DataFrame, rounds: int = 20) -> DataFrame:
     links = stash(edges.select("src", "dst"), "hits-links")
     for _ in range(rounds):
         auth = links.join(now.select(F.col("node").alias("src"), "hub"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum("hub").alias("authority"))
-        auth = stash(auth.withColumn("authority", F.col("authority") / F.lit(auth.agg(F.sqrt(F.sum(F.col("authority") ** 2))).first()[0] or 1.0)), "hits-a")
+        auth_sums = stash(auth, "hits-a")
+        auth = _unit(auth_sums, "authority")
         hub = links.join(auth.select(F.col("node").alias("dst"), "authority"), "dst").groupBy(F.col("src").alias("node")).agg(F.sum("authority").alias("hub"))
-        hub = hub.withColumn("hub", F.col("hub") / F.lit(hub.agg(F.sqrt(F.sum(F.col("hub") ** 2))).first()[0] or 1.0))
+        hub_sums = stash(hub, "hits-h")
+        hub = _unit(hub_sums, "hub")
         then = stash(now.select("node").join(hub, "node", "left").join(auth, "node", "left").select("node", F.coalesce("hub", F.lit(0.0)).alias("hub"), F.coalesce("authority", F.lit(0.0)).alias("authority")), "hits")
-        drop_stash(now, auth)
+        drop_stash(now, auth_sums, hub_sums)
         now = then
     return now
 
 
+def _unit(scores: DataFrame, column: str) -> DataFrame:
+    length = scores.agg(F.sqrt(F.sum(F.col(column) ** 2))).first()[0]
+    return scores.withColumn(column, F.col(column) / F.lit(length or 1.0))
+
+
 def k_core(edges: DataFrame, k: int, by: str = "in", max_rounds: int = 1000) -> DataFrame:
     """node, degree of what is left when nodes of degree under k ("in" or "total") are peeled off again and again."""
     left, size = stash(edges.select("src", "dst").distinct(), "kcore"), None
@@ -117,9 +127,9 @@ def k_core(edges: DataFrame, k: int, by: str = "in", max_rounds: int = 1000) ->
         left, nodes = then, ok
         now = kept.count()
         if now == size:
-            break
+            return kept
         size = now
-    return kept
+    raise RuntimeError(f"the core has not settled in {max_rounds} rounds")
 
 
 def bfs_levels(edges: DataFrame, start: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -219,4 +229,6 @@ def topological_levels(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
         then, rest2 = stash(left.join(free.select(F.col("node").alias("src")), "src", "left_anti"), "topo"), stash(rest.join(free, "node", "left_anti"), "topo-nodes")
         drop_stash(left, rest)
         left, rest, level = then, rest2, level + 1
+    else:
+        raise RuntimeError(f"the levels have not settled in {max_rounds} rounds")
     return done if done is not None else rest.withColumn("level", F.lit(0)).limit(0)
