@@ -41,7 +41,7 @@ BLOCK, BLOCK_SHINGLES = 256, 1 << 20
 #: Tokens of a path that are walked before bounds are looked at again.
 STEP = 64
 FIRST_SIZE, GROWTH, CROWDED = 9, 1.4, 1e-4
-_KEYS = mix64(np.arange(1, NGRAM + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
+_KEYS = mix64(np.arange(1, 9, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
 
 
 def needed(total: np.ndarray | int) -> np.ndarray | int:
@@ -49,19 +49,19 @@ def needed(total: np.ndarray | int) -> np.ndarray | int:
     return -(-9 * total // 19)
 
 
-def shingle_sets(raw: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each row."""
+def shingle_sets(raw: np.ndarray, offs: np.ndarray, ngram: int = NGRAM) -> list[np.ndarray]:
+    """The sorted distinct hashes of the shingles of ``ngram`` words (8 at most) of each row."""
     start, end, row = word_spans(raw, offs)
     hashes = SpanHash(TO_LOWER[raw]).of(start, end)
     rows = len(offs) - 1
     first = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=rows))]) if len(row) else np.zeros(rows + 1, np.int64)
     grams = np.zeros(0, np.uint64)
-    if len(hashes) >= NGRAM:
-        grams = mix64(sum(hashes[k : len(hashes) - NGRAM + 1 + k] * _KEYS[k] for k in range(NGRAM)))
+    if len(hashes) >= ngram:
+        grams = mix64(sum(hashes[k : len(hashes) - ngram + 1 + k] * _KEYS[k] for k in range(ngram)))
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-        if b - a >= NGRAM:
-            out.append(np.unique(grams[a : b - NGRAM + 1]))
+        if b - a >= ngram:
+            out.append(np.unique(grams[a : b - ngram + 1]))
         elif b > a:
             out.append(mix64(np.array([sum(int(h) * int(k) for h, k in zip(hashes[a:b], _KEYS, strict=False)) + (b - a) & 0xFFFFFFFFFFFFFFFF], np.uint64)))
         else:
@@ -240,6 +240,15 @@ def candidate_clusters(sets: DataFrame) -> DataFrame:
     return connected_components(edges).select(F.col("node").alias("set_id"), F.col("component").alias("cluster"))
 
 
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` with the text of the row that its column from (text_sum, no_id, doc_id) names, one for equal rows."""
+    key = ["_sum", "_no_id", "_id"]
+    texts = docs.select(F.xxhash64("text").alias("_sum"), F.col("doc_id").isNull().alias("_no_id"), F.coalesce("doc_id", F.lit(0)).alias("_id"), "text")
+    asked = wanted.select(F.col("from.text_sum").alias("_sum"), F.col("from.no_id").alias("_no_id"), F.coalesce("from.doc_id", F.lit(0)).alias("_id"), *[c for c in wanted.columns if c != "from"])
+    # rows of one key meet in the join, so that the copies go without another shuffle
+    return texts.join(asked, key).dropDuplicates(key).drop(*key)
+
+
 def block_links(members: DataFrame) -> DataFrame:
     """From set_id, copies, cluster, blocks, text: rows (set_id, links, null) and forest edges (set_id, 0, other)."""
     kind = pa.schema([("cluster", pa.int64()), ("set_id", pa.int64()), ("copies", pa.int64()), ("blocks", pa.int64()), ("grams", pa.list_(pa.int64()))])
@@ -295,13 +304,12 @@ def block_links(members: DataFrame) -> DataFrame:
 def set_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows' sets (doc_id, text_sum, set_id, n), and per set_id: component (a set_id), component_id, n_links."""
     sets = stash(document_sets(docs), "ngram-sets")
-    classes = stash(sets.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n")), "ngram-classes")
+    classes = stash(sets.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.min(F.struct("text_sum", F.col("doc_id").isNull().alias("no_id"), "doc_id")).alias("from"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n")), "ngram-classes")
     clusters = stash(candidate_clusters(sets), "ngram-clusters")
-    weighed = clusters.join(classes, "set_id").select("cluster", "set_id", "copies", "rep", "n")
+    weighed = clusters.join(classes, "set_id").select("cluster", "set_id", "copies", "from", "n")
     blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("long")
-    wanted = weighed.join(weighed.groupBy("cluster").agg(blocks.alias("blocks")), "cluster").select("cluster", "set_id", "copies", "blocks", "rep")
-    texts = docs.select("doc_id", "text")
-    members = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["rep"])).select("cluster", "set_id", "copies", "blocks", "text")
+    wanted = weighed.join(weighed.groupBy("cluster").agg(blocks.alias("blocks")), "cluster").select("cluster", "set_id", "copies", "blocks", "from")
+    members = texts_of(docs, wanted).select("cluster", "set_id", "copies", "blocks", "text")
     links = stash(block_links(members), "ngram-links")
     parts = stash(connected_components(links.where("other is not null").select(F.col("set_id").alias("a"), F.col("other").alias("b"))), "ngram-parts")
     named = parts.join(classes, parts["node"] == classes["set_id"]).groupBy("component").agg(F.min("rep").alias("component_id"))
