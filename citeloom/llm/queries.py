@@ -21,6 +21,7 @@ REGISTERED = {
     "op8_quality_rules": ("quality_rules", "query"),
     "op10_token_output": ("token_output", "query"),
     "op9_mixing": ("mixing", "query"),
+    "op11_minhash_forest": ("minhash_forest", "query"),
     "op13_filter_audit": ("filter_audit", "query"),
 }
 
