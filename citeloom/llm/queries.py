@@ -22,6 +22,7 @@ REGISTERED = {
     "op10_token_output": ("token_output", "query"),
     "op9_mixing": ("mixing", "query"),
     "op11_minhash_forest": ("minhash_forest", "query"),
+    "op12_hard_negatives": ("hard_negatives", "query"),
     "op13_filter_audit": ("filter_audit", "query"),
 }
 

@@ -162,7 +162,7 @@ def pivots(rows: DataFrame, cells: int = CELLS) -> dict[int, np.ndarray]:
     return out
 
 
-def _vectors(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def vectors_by_length(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """By vector length: the rows of a batch, and their components."""
     flat = batch.column("v")
     ends, values = flat.offsets.to_numpy(), flat.values.to_numpy(zero_copy_only=False)
@@ -179,7 +179,7 @@ def in_cells(rows: DataFrame, centres: dict[int, np.ndarray]) -> DataFrame:
         deal = TaskContext.get().partitionId() << 36
         for batch in batches:
             cell, far = np.full(batch.num_rows, -1, np.int32), np.zeros(batch.num_rows)
-            for dim, at, v in _vectors(batch):
+            for dim, at, v in vectors_by_length(batch):
                 if dim in centres:
                     c = centres[dim]
                     near = (v.astype(np.float64) @ c.T * -2 + (c * c).sum(axis=1)).argmin(axis=1)
@@ -268,7 +268,7 @@ def topk(vectors: DataFrame, every: int = EVERY, k: int = K) -> DataFrame:
             for batch in batches:
                 who, where = [], []
                 least = np.full(batch.num_rows, _NONE) if first else batch.column("least").to_numpy(zero_copy_only=False)
-                for dim, at, v in _vectors(batch):
+                for dim, at, v in vectors_by_length(batch):
                     own = np.array(known.get(dim, []), np.int64)
                     if not len(own):
                         if first:  # a length without pivots has one cell
