@@ -1,7 +1,7 @@
 """Citation-graph operators over an edge table (src cites dst) and, where isolated nodes matter, a node table.
 
-Iterative operators write each round's state to the shared folder, so plans stay short; edges are read from one table.
-Those with a limit on rounds raise if they have not settled by then.
+Iterative operators write each round's state to the shared folder, so plans stay short; edges lie in buckets (``EdgeLayout``)
+and are not exchanged again.  Operators with a limit on rounds raise if they have not settled by then.
 """
 
 from __future__ import annotations
@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeloom.sources.scratch import drop_stash, stash
+from citeloom.operators import pairs
+from citeloom.sources.scratch import drop_stash, stash, stash_bucketed, stashed_union
 
 
 def nodes_of(edges: DataFrame) -> DataFrame:
@@ -49,46 +50,80 @@ def degrees(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
 
 def co_citation(edges: DataFrame, min_weight: int = 1) -> DataFrame:
     """a < b and the number of works that cite both."""
-    return _together(edges, "src", "dst", min_weight)
+    return pairs.together(edges, "src", "dst", min_weight)
 
 
 def coupling(edges: DataFrame, min_weight: int = 1) -> DataFrame:
     """a < b and the number of references that they share."""
-    return _together(edges, "dst", "src", min_weight)
+    return pairs.together(edges, "dst", "src", min_weight)
 
 
-def _together(edges: DataFrame, by: str, item: str, min_weight: int) -> DataFrame:
-    if min_weight > 1:  # edges are distinct, so an item with fewer of them is in no pair of that weight
-        enough = edges.groupBy(item).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_weight).select(item)
-        edges = edges.join(enough, item, "left_semi")
-    left, right = edges.select(by, F.col(item).alias("a")), edges.select(by, F.col(item).alias("b"))
-    return left.join(right, by).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("weight")).where(F.col("weight") >= min_weight)
+def top_co_cited(edges: DataFrame, n: int = 10) -> DataFrame:
+    """node, rank, other, weight: the works most often cited together with each one."""
+    return pairs.strongest(edges, "src", "dst", n)
 
 
-def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-6, start: DataFrame | None = None) -> DataFrame:
-    """node, rank.  Nodes without references spread their rank evenly (or over ``start``, for a personalized rank)."""
-    spark = edges.sparkSession
-    everyone = stash(nodes_of(edges).join(edges.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("out")), "node", "left"), "pagerank-nodes")
-    n = everyone.count()
+def top_coupled(edges: DataFrame, n: int = 10) -> DataFrame:
+    """node, rank, other, weight: the works that share the most references with each one."""
+    return pairs.strongest(edges, "dst", "src", n)
+
+
+class EdgeLayout:
+    """Edges in buckets by their source and, where asked for, by their target, and a node table in the same buckets.
+
+    A round of an iterative operator joins its state with the edges where they lie; only messages are exchanged.
+    """
+
+    def __init__(self, edges: DataFrame):
+        plain = edges.select("src", "dst")
+        self.spark = edges.sparkSession
+        self.by_src = stash_bucketed(plain, "edges_by_src", "src")
+        self.nodes = stash_bucketed(degrees(self.by_src).select("node", "in_degree", "out_degree"), "edge_nodes", "node")
+        self._by_dst: DataFrame | None = None
+
+    @property
+    def by_dst(self) -> DataFrame:
+        if self._by_dst is None:
+            self._by_dst = stash_bucketed(self.by_src, "edges_by_dst", "dst")
+        return self._by_dst
+
+    def drop(self) -> None:
+        drop_stash(self.by_src, self.nodes, *([self._by_dst] if self._by_dst is not None else []))
+
+
+def _layout(edges: DataFrame | EdgeLayout) -> EdgeLayout:
+    return edges if isinstance(edges, EdgeLayout) else EdgeLayout(edges)
+
+
+def pagerank(edges: DataFrame | EdgeLayout, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-6, start: DataFrame | None = None) -> DataFrame:
+    """node, rank.  Nodes without references spread their rank evenly (or over ``start``, for a personalized rank).
+
+    A round exchanges the shares that are sent, added up by target before; edges and ranks stay in their buckets.
+    """
+    layout = _layout(edges)
+    n = layout.nodes.count()
     if not n:
-        return spark.createDataFrame([], "node long, rank double")
+        return layout.spark.createDataFrame([], "node long, rank double")
+    out = F.when(F.col("out_degree") > 0, F.col("out_degree")).alias("out")
     if start is None:
-        home = everyone.withColumn("home", F.lit(1.0 / n))
+        home = layout.nodes.select("node", out, F.lit(1.0 / n).alias("home"))
     else:
         m = max(start.select("node").distinct().count(), 1)
-        home = everyone.join(start.select("node").distinct().withColumn("in_start", F.lit(1.0 / m)), "node", "left").withColumn("home", F.coalesce("in_start", F.lit(0.0))).drop("in_start")
-    links = stash(edges.select("src", "dst"), "pagerank-links")
-    home = stash(home, "pagerank-home")
-    now = stash(home.select("node", "out", "home", F.col("home").alias("rank")), "pagerank")
+        home = layout.nodes.select("node", out).join(start.select("node").distinct().withColumn("in_start", F.lit(1.0 / m)), "node", "left").select("node", "out", F.coalesce("in_start", F.lit(0.0)).alias("home"))
+    now = stash_bucketed(home.select("node", "out", "home", F.col("home").alias("rank"), F.lit(0.0).alias("before")), "pagerank", "node", spread=False)
     for _ in range(rounds):
         dangling = now.where("out is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
-        sent = links.join(now.where("out is not null").select(F.col("node").alias("src"), (F.col("rank") / F.col("out")).alias("share")), "src").groupBy(F.col("dst").alias("node")).agg(F.sum("share").alias("got"))
-        then = stash(now.join(sent, "node", "left").select("node", "out", "home", ((1 - damping) * F.col("home") + damping * (F.coalesce("got", F.lit(0.0)) + dangling * F.col("home"))).alias("rank"), F.col("rank").alias("before")), "pagerank")
+        shares = now.where("out is not null").select(F.col("node").alias("src"), (F.col("rank") / F.col("out")).alias("share"))
+        sent = layout.by_src.join(shares, "src").groupBy(F.col("dst").alias("node")).agg(F.sum("share").alias("got"))
+        rank = (1 - damping) * F.col("home") + damping * (F.coalesce("got", F.lit(0.0)) + dangling * F.col("home"))
+        then = stash_bucketed(now.join(sent, "node", "left").select("node", "out", "home", rank.alias("rank"), F.col("rank").alias("before")), "pagerank", "node", spread=False)
         moved = then.agg(F.sum(F.abs(F.col("rank") - F.col("before")))).first()[0]
         drop_stash(now)
         now = then
         if moved < tolerance:
             break
+    if layout is not edges:
+        layout.drop()
     return now.select("node", "rank")
 
 
@@ -114,38 +149,76 @@ def _unit(scores: DataFrame, column: str) -> DataFrame:
     return scores.withColumn(column, F.col(column) / F.lit(length or 1.0))
 
 
-def k_core(edges: DataFrame, k: int, by: str = "in", max_rounds: int = 1000) -> DataFrame:
-    """node, degree of what is left when nodes of degree under k ("in" or "total") are peeled off again and again."""
-    left, size = stash(edges.select("src", "dst").distinct(), "kcore"), None
-    nodes = nodes_of(left)
+def k_core(edges: DataFrame | EdgeLayout, k: int, by: str = "in", max_rounds: int = 1000) -> DataFrame:
+    """node, degree of what is left when nodes of degree under k ("in" or "total") are peeled off again and again.
+
+    Only the nodes that go in a round send messages, along their edges; edges are never rewritten.
+    """
+    layout = _layout(edges)
+    degree = F.col("in_degree") if by == "in" else F.col("in_degree") + F.col("out_degree")
+    now = stash_bucketed(layout.nodes.select("node", degree.alias("degree"), F.lit(False).alias("gone")), "kcore", "node", spread=False)
+    for _ in range(max_rounds):
+        going = now.where(~F.col("gone") & (F.col("degree") < k)).select("node")
+        if not going.limit(1).count():
+            break
+        lost = layout.by_src.join(going.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"))
+        if by != "in":
+            lost = lost.union(layout.by_dst.join(going.withColumnRenamed("node", "dst"), "dst").select(F.col("src").alias("node")))
+        less = lost.groupBy("node").agg(F.count(F.lit(1)).alias("less"))
+        gone = F.col("gone") | (F.col("degree") < k)
+        then = stash_bucketed(now.join(less, "node", "left").select("node", (F.col("degree") - F.coalesce("less", F.lit(0))).alias("degree"), gone.alias("gone")), "kcore", "node", spread=False)
+        drop_stash(now)
+        now = then
+    else:
+        raise RuntimeError(f"the core has not settled in {max_rounds} rounds")
+    if layout is not edges:
+        layout.drop()
+    return now.where(~F.col("gone")).select("node", "degree")
+
+
+def core_numbers(edges: DataFrame | EdgeLayout, max_rounds: int = 1000) -> DataFrame:
+    """node, core: the largest k for which the node stays when nodes cited by fewer than k of the rest are peeled off.
+
+    Each round takes for every node the largest h such that h of its citing works have a number of h or more, beginning with the
+    degrees; that settles on the core numbers.  Numbers are counted by value before they are sent on, so a hub gets no list.
+    """
+    layout = _layout(edges)
+    now = stash_bucketed(layout.nodes.select("node", F.col("in_degree").alias("core"), F.col("in_degree").alias("before")), "cores", "node", spread=False)
     for _ in range(max_rounds):
-        d = degrees(left, nodes).withColumn("degree", F.col("in_degree") if by == "in" else F.col("in_degree") + F.col("out_degree"))
-        kept = stash(d.where(F.col("degree") >= k).select("node", "degree"), "kcore-nodes")
-        ok = kept.select("node")
-        then = stash(left.join(ok.withColumnRenamed("node", "src"), "src", "left_semi").join(ok.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst"), "kcore")
-        drop_stash(left)
-        left, nodes = then, ok
-        now = kept.count()
-        if now == size:
-            return kept
-        size = now
-    raise RuntimeError(f"the core has not settled in {max_rounds} rounds")
-
-
-def bfs_levels(edges: DataFrame, start: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """node, depth, parent: shortest directed distance from the start nodes, and the smallest predecessor."""
-    seen = stash(start.select(F.col("node").cast("long").alias("node")).distinct().select("node", F.lit(0).alias("depth"), F.lit(None).cast("long").alias("parent")), "bfs")
-    depth = 0
-    while max_depth is None or depth < max_depth:
-        front = seen.where(F.col("depth") == depth).select(F.col("node").alias("src"))
-        found = edges.join(front, "src").groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent")).join(seen.select("node"), "node", "left_anti")
-        new = stash(found.select("node", F.lit(depth + 1).alias("depth"), "parent"), "bfs-front")
+        seen = layout.by_src.join(now.select(F.col("node").alias("src"), F.col("core").alias("value")), "src").groupBy(F.col("dst").alias("node"), "value").agg(F.count(F.lit(1)).alias("n"))
+        above = F.sum("n").over(Window.partitionBy("node").orderBy(F.desc("value")))
+        best = seen.withColumn("h", F.least("value", above)).groupBy("node").agg(F.max("h").alias("h"))
+        then = stash_bucketed(now.join(best, "node", "left").select("node", F.least("core", F.coalesce("h", F.lit(0))).alias("core"), F.col("core").alias("before")), "cores", "node", spread=False)
+        drop_stash(now)
+        now = then
+        if not now.where("core <> before").limit(1).count():
+            break
+    else:
+        raise RuntimeError(f"core numbers have not settled in {max_rounds} rounds")
+    if layout is not edges:
+        layout.drop()
+    return now.select("node", "core")
+
+
+def bfs_levels(edges: DataFrame | EdgeLayout, start: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """node, depth, parent: shortest directed distance from the start nodes, and the smallest predecessor.
+
+    Each level is a table of its own: what was found before is read, never written again.
+    """
+    layout = _layout(edges)
+    levels = [stash(start.select(F.col("node").cast("long").alias("node")).distinct().select("node", F.lit(0).alias("depth"), F.lit(None).cast("long").alias("parent")), "bfs")]
+    while max_depth is None or len(levels) <= max_depth:
+        front = levels[-1].select(F.col("node").alias("src"))
+        found = layout.by_src.join(front, "src").groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
+        found = found.join(stashed_union(levels).select("node"), "node", "left_anti")
+        new = stash(found.select("node", F.lit(len(levels)).alias("depth"), "parent"), "bfs")
         if not new.limit(1).count():
+            drop_stash(new)
             break
-        then = stash(seen.union(new), "bfs")
-        drop_stash(seen, new)
-        seen, depth = then, depth + 1
-    return seen
+        levels.append(new)
+    if layout is not edges:
+        layout.drop()
+    return stashed_union(levels)
 
 
 def shortest_path(edges: DataFrame, source: int, target: int) -> list[int] | None:
@@ -202,17 +275,33 @@ def triangles(edges: DataFrame) -> DataFrame:
     return closed.groupBy("node").agg(F.count(F.lit(1)).alias("triangles"))
 
 
-def network_metrics(edges: DataFrame) -> DataFrame:
-    """node_count, edge_count, density, avg_clustering: one row."""
+def local_clustering(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """node, clustering: the share of a node's pairs of neighbours (undirected) that are neighbours themselves."""
     und = edges.select(F.least("src", "dst").alias("x"), F.greatest("src", "dst").alias("y")).where("x <> y").distinct()
     deg = und.select(F.explode(F.array("x", "y")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("d"))
-    local = nodes_of(edges).join(deg, "node", "left").join(triangles(edges), "node", "left").select(F.when(F.col("d") > 1, 2.0 * F.coalesce("triangles", F.lit(0)) / (F.col("d") * (F.col("d") - 1))).otherwise(0.0).alias("c"))
-    a = local.agg(F.count(F.lit(1)).alias("node_count"), F.avg("c").alias("avg_clustering"))
+    share = F.when(F.col("d") > 1, 2.0 * F.coalesce("triangles", F.lit(0)) / (F.col("d") * (F.col("d") - 1))).otherwise(0.0)
+    every = nodes_of(edges) if nodes is None else nodes.select("node")
+    return every.join(deg, "node", "left").join(triangles(edges), "node", "left").select("node", share.alias("clustering"))
+
+
+def network_metrics(edges: DataFrame) -> DataFrame:
+    """node_count, edge_count, density, avg_clustering: one row."""
+    a = local_clustering(edges).agg(F.count(F.lit(1)).alias("node_count"), F.avg("clustering").alias("avg_clustering"))
     b = edges.agg(F.count(F.lit(1)).alias("edge_count"))
     n = F.col("node_count")
     return a.join(b, F.lit(True)).select("node_count", "edge_count", F.when(n > 1, F.col("edge_count") / (n * (n - 1))).otherwise(0.0).alias("density"), "avg_clustering")
 
 
+def analyze(edges: DataFrame, rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:
+    """node, in_degree, out_degree, rank, core, clustering: every measure from one layout of the edges, a row per node."""
+    layout = EdgeLayout(edges)
+    ranks, cores = pagerank(layout, rounds=rounds, tolerance=tolerance), core_numbers(layout)
+    local = local_clustering(layout.by_src, layout.nodes)
+    out = stash(layout.nodes.join(ranks, "node").join(cores, "node").join(local, "node"), "analysis")
+    layout.drop()
+    return out
+
+
 def influential(edges: DataFrame, n: int = 20) -> DataFrame:
     return pagerank(edges).orderBy(F.desc("rank"), "node").limit(n)
 

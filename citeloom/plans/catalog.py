@@ -2,36 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.functions import identifiers as idf
 from citeloom.functions import records, text
 from citeloom.operators import dedup, graph, review
 from citeloom.operators.corpus import Corpus, identity_groups
-from citeloom.sources.projection import AUTHORS_SQL, CITATIONS_SQL, DECISIONS_SQL, WORKS_SQL, citations, decisions, norm_sql, table, work_authors, works
-
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def registered(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
-    def keep(f: Query) -> Query:
-        key = name or f.__name__
-        _QUERIES[key] = f
-        if sql:
-            _SQL[key] = sql
-        return f
-
-    return keep
-
-
-def with_works(body: str, *more: str, recursive: bool = False) -> str:
-    return f"WITH {'RECURSIVE ' if recursive else ''}{', '.join([WORKS_SQL, *more])} {body}"
-
+from citeloom.plans import registry
+from citeloom.plans.registry import Query, registered, with_works
+from citeloom.sources.projection import AUTHORS_SQL, CITATIONS_SQL, DECISIONS_SQL, citations, decisions, norm_sql, table, work_authors, works
 
 IDS_SQL = """wids AS (
   SELECT seq, 'doi' AS ns, doi AS value FROM works WHERE doi IS NOT NULL UNION ALL SELECT seq, 'arxiv', arxiv FROM works WHERE arxiv IS NOT NULL
@@ -88,10 +68,11 @@ def identity_confidence(spark: SparkSession, d: str) -> DataFrame:
     return works(spark, d).select("seq", records.identity_level(has("doi"), has("arxiv")).alias("identity"), F.col("abstract").isNotNull().alias("has_abstract"), records.is_preprint(F.col("source_provider"), F.lit(None).cast("string")).alias("is_preprint"))
 
 
-@registered(with_works("SELECT seq, sha256(concat_ws('|', substr(title, 1, 30), CAST(year AS VARCHAR), '', lang, '100', '0', 'arxiv,' || source_provider)) AS key FROM works WHERE source_provider > 'arxiv'"))
+@registered(with_works("SELECT seq, sha256(concat_ws('|', title, CAST(year AS VARCHAR), '', lang, '100', '0', CASE WHEN source_provider = 'arxiv' THEN 'arxiv' ELSE 'arxiv,' || source_provider END)) AS key FROM works"))
 def cache_key(spark: SparkSession, d: str) -> DataFrame:
-    key = text.cache_key(F.substring("title", 1, 30), F.col("year"), F.lit(None), F.col("lang"), F.lit(100), F.lit(0), F.array("source_provider", F.lit("arxiv")))
-    return works(spark, d).where("source_provider > 'arxiv'").select("seq", key.alias("key"))
+    """The key of the search that asks for a work's whole title in its source and in arXiv."""
+    key = text.cache_key(F.col("title"), F.col("year"), F.lit(None), F.col("lang"), F.lit(100), F.lit(0), F.array_distinct(F.array("source_provider", F.lit("arxiv"))))
+    return works(spark, d).select("seq", key.alias("key"))
 
 
 @registered(with_works(r"SELECT seq, regexp_replace(title, '([+\-&|!(){}\[\]^\"~*?:/\\])', '\\\1', 'g') AS lucene, CASE WHEN length(title) > 48 THEN substr(title, 1, 48) || '…' ELSE title END AS short FROM works"))
@@ -390,13 +371,21 @@ def kcore(spark: SparkSession, d: str) -> DataFrame:
     return graph.k_core(citations(spark, d), 20)
 
 
-@registered(f"WITH RECURSIVE {CITATIONS_SQL}, b AS (SELECT 1::BIGINT AS node, 0 AS depth UNION SELECT e.dst, b.depth + 1 FROM b JOIN edges e ON e.src = b.node WHERE b.depth < 3) SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM b GROUP BY node")
+@registered(
+    f"""WITH RECURSIVE {CITATIONS_SQL}, {DEGREES_SQL}, b AS (
+  SELECT node, 0 AS depth FROM deg WHERE out_degree = (SELECT max(out_degree) FROM deg) UNION SELECT e.dst, b.depth + 1 FROM b JOIN edges e ON e.src = b.node WHERE b.depth < 20
+) SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM b GROUP BY node"""
+)
 def bfs_levels(spark: SparkSession, d: str) -> DataFrame:
-    return graph.bfs_levels(citations(spark, d), spark.createDataFrame([(1,)], "node long"), max_depth=3).select("node", "depth")
+    """From the works with the longest lists of references, to any depth."""
+    edges = citations(spark, d)
+    found = graph.degrees(edges)
+    start = found.join(found.agg(F.max("out_degree").alias("out_degree")), "out_degree").select("node")
+    return graph.bfs_levels(edges, start).select("node", "depth")
 
 
 def _snowball_sql(depth: int, limit: int) -> str:
-    steps = ["k0 AS (SELECT DISTINCT src AS node FROM edges WHERE src NOT IN (SELECT dst FROM edges)), n0 AS (SELECT node FROM k0)"]
+    steps = [f"{DEGREES_SQL}, k0 AS (SELECT node FROM deg WHERE in_degree = (SELECT min(in_degree) FROM deg)), n0 AS (SELECT node FROM k0)"]
     for i in range(1, depth + 1):
         steps.append(
             f"f{i} AS (SELECT node FROM (SELECT src AS node FROM edges WHERE dst IN (SELECT node FROM n{i - 1}) QUALIFY row_number() OVER (PARTITION BY dst ORDER BY src) <= {limit}) "
@@ -408,9 +397,10 @@ def _snowball_sql(depth: int, limit: int) -> str:
 
 @registered(_snowball_sql(5, 100))
 def snowball_round(spark: SparkSession, d: str) -> DataFrame:
-    """From all works that no work cites, with the operator's own limits and full depth."""
+    """From the works that are cited least (by none, if there are such), with the operator's own limits and full depth."""
     edges = citations(spark, d)
-    seeds = edges.join(edges.select(F.col("dst").alias("src")), "src", "left_anti").select(F.col("src").alias("node"))
+    found = graph.degrees(edges)
+    seeds = found.join(found.agg(F.min("in_degree").alias("in_degree")), "in_degree").select("node")
     return graph.snowball(edges, seeds, 5)
 
 
@@ -425,8 +415,8 @@ def density(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return registry.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return registry.oracle_sql()

@@ -9,22 +9,28 @@ from citeloom.functions import identifiers as ids
 from citeloom.functions.records import SOURCES
 from citeloom.functions.text import normalize_author, normalize_title, parse_author
 
+FIRST_SENTENCE, FIRST_LINE = r"^[^.\n]*", r"^[^\n]*"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def works(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """seq, title, abstract, year, cited_by_count, is_retracted, source_provider, raw_doi, ids, norm_title."""
-    docs = table(spark, sf_dir, "documents")
+    """seq, title, abstract, year, cited_by_count, is_retracted, source_provider, raw_doi, ids, norm_title.
+
+    A text's first sentence is the title, all that follows it the abstract; the DOI is made of the whole text and the arXiv number of
+    its first line.
+    """
+    docs = table(spark, sf_dir, "documents").withColumn("title", F.regexp_extract("text", FIRST_SENTENCE, 0))
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     raw = F.concat(F.lit("10.5555/"), F.substring(F.md5(F.col("text").cast("binary")), 1, 12))
     spelled = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("https://doi.org/"), raw)).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("DOI:"), F.upper(raw))).otherwise(raw)
-    arxiv = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("arXiv:"), F.substring(F.md5(F.substring("text", 1, 200).cast("binary")), 1, 10)))
+    arxiv = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("arXiv:"), F.substring(F.md5(F.regexp_extract("text", FIRST_LINE, 0).cast("binary")), 1, 10)))
     out = docs.join(labels, "doc_id", "left").select(
         F.col("doc_id").alias("seq"),
-        F.substring("text", 1, 120).alias("title"),
-        F.nullif(F.substring("text", 121, 600), F.lit("")).alias("abstract"),
+        "title",
+        F.nullif(F.trim(F.substring("text", F.char_length("title") + 2, F.char_length("text"))), F.lit("")).alias("abstract"),
         (2000 + F.col("n_chars") % 26).cast("int").alias("year"),
         F.when(F.col("doc_id") % 7 != 0, (F.col("n_chars") % 500).cast("int")).alias("cited_by_count"),
         (F.coalesce("toxic", F.lit(0)) == 1).alias("is_retracted"),
@@ -78,13 +84,13 @@ def norm_sql(title: str) -> str:
 
 
 WORKS_SQL = f"""works AS (
-  SELECT d.doc_id AS seq, substr(d.text, 1, 120) AS title, nullif(substr(d.text, 121, 600), '') AS abstract, CAST(2000 + d.n_chars % 26 AS INTEGER) AS year,
+  SELECT d.doc_id AS seq, d.title, nullif(trim(substr(d.text, length(d.title) + 2)), '') AS abstract, CAST(2000 + d.n_chars % 26 AS INTEGER) AS year,
     CASE WHEN d.doc_id % 7 <> 0 THEN CAST(d.n_chars % 500 AS INTEGER) END AS cited_by_count, coalesce(l.toxic, 0) = 1 AS is_retracted,
     ['arxiv', 'crossref', 'doaj', 'ieee', 'openalex', 'pubmed', 'semantic_scholar'][1 + CAST(substr(d.source, 4) AS INTEGER) % 7] AS source_provider,
     CASE WHEN d.doc_id % 5 <> 4 THEN '10.5555/' || substr(md5(d.text), 1, 12) END AS doi,
-    CASE WHEN d.doc_id % 4 = 0 THEN substr(md5(substr(d.text, 1, 200)), 1, 10) END AS arxiv, d.lang,
-    {norm_sql("substr(d.text, 1, 120)")} AS norm_title
-  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
+    CASE WHEN d.doc_id % 4 = 0 THEN substr(md5(regexp_extract(d.text, '{FIRST_LINE}', 0)), 1, 10) END AS arxiv, d.lang,
+    {norm_sql("d.title")} AS norm_title
+  FROM (SELECT *, regexp_extract(text, '{FIRST_SENTENCE}', 0) AS title FROM documents) d LEFT JOIN labels l ON d.doc_id = l.doc_id
 )"""
 
 CITATIONS_SQL = """edges AS (

@@ -59,9 +59,30 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
+def stash_bucketed(df: DataFrame, name: str, *keys: str, spread: bool = True) -> DataFrame:
+    """``df`` as a table of the shared folder in as many buckets of ``keys`` as shuffles have partitions, so that joins and
+    aggregates on the keys read it without an exchange.  ``spread=False``: the rows are partitioned by the keys already."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
+    path = f"{shared_dir(spark)}/{table}"
+    _leave_none(spark, path)
+    (df.repartition(n, *keys) if spread else df).write.format("parquet").bucketBy(n, *keys).option("path", path).saveAsTable(table)
+    back = spark.table(table)
+    back._stash_path, back._stash_table = path, table
+    return back
+
+
+def stashed_union(frames: list[DataFrame]) -> DataFrame:
+    """Stashed frames of one schema as one scan, however many they are."""
+    return frames[0].sparkSession.read.schema(frames[0].schema).parquet(*[df._stash_path for df in frames])
+
+
 def drop_stash(*frames: DataFrame) -> None:
     """Delete the folders of stashed frames that no later plan reads, and let Spark clean up shuffles that nobody holds."""
     for df in frames:
+        if table := getattr(df, "_stash_table", None):
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
         path = getattr(df, "_stash_path", None)
         if path:
             jvm = df.sparkSession._jvm

@@ -11,6 +11,7 @@ def test_same_rows_as_sql(spark, oracle, name):
     ours = catalog.queries()[name](spark, DATA).toPandas()
     theirs = oracle.execute(catalog.oracle_sql()[name]).df()
     assert sorted(ours.columns) == sorted(theirs.columns)
+    assert len(ours), "a query that finds nothing shows nothing"
     assert rows(ours) == rows(theirs)
 
 
