@@ -8,13 +8,14 @@ A document's set: the distinct 4-word shingles of its lower-cased (A-Z) text, as
    are a region of it.  Linked sets meet in a region but for a chance of (1 - 0.8 ** 4) ** 32 < 1e-7.
 2. In some of the sorted orders, ``FIRST`` and then ``THEN``, each class is compared with its neighbour if their common prefix
    makes a region.  Families of near copies become one component here, at two comparisons a class and order.
-3. What is left are regions that hold several components.  Depth adapts: a region of over ``CROWD`` classes is divided by the next
-   values of the order, by ``BRANCHES`` different ones so that linked sets stay together in one (but for 0.2 ** 3), until its
-   parts are small or hold one component; parts that are still large after ``LEVELS`` are dealt in blocks, each pair of blocks to
-   a task.  Nothing is left out at any size.
-4. Inside a region, pairs of different components whose signatures agree in ``AGREE`` values or more are candidates (a link has
-   fewer by a chance below 1e-6).  Full sets of the candidates meet by joins, and their overlap is counted there.  Pairs
-   that are in one component already are never sent.
+3. What is left are regions that hold several components.  Inside one, components are joined to a cluster where signatures of
+   their classes agree in ``AGREE`` values or more (a link has fewer by a chance below 1e-6).  Depth adapts: a region of
+   over ``CROWD`` classes is divided by the next values of the order, by ``BRANCHES`` different ones so that linked sets stay
+   together in one (but for 0.2 ** 3); parts that are still large after ``LEVELS`` are dealt in blocks, each pair of blocks to a
+   task.  Nothing is left out at any size.
+4. Clusters are few and hold what may link.  Full sets of a cluster meet in pairs of bounded blocks, where all overlaps of
+   two blocks are products of sparse columns; the largest component of a cluster is not compared with itself.  A
+   task returns a spanning forest of its links, never all pairs.
 
 A null text, or one without a word, has no set: n_shingles 0, no link, its own component.  Repeated rows each get a row.
 A null doc_id takes part; components are named by the smallest doc_id that is not null, and kept is true for rows of that
@@ -35,6 +36,7 @@ from pyspark.sql import functions as F
 from citeloom.llm.common import documents, drop_stash, mix64, stash, text_pieces, tidy
 from citeloom.llm.ngram_join import set_hash, shingle_sets, texts_of
 from citeloom.operators.components import connected_components
+from citeloom.operators.skew import join_by
 
 NGRAM = 4
 TREES, DEPTH = 32, 4
@@ -43,9 +45,10 @@ HASHES = TREES * DEPTH
 FIRST_SIZE = 4
 FIRST, THEN = (0, 16), (4, 8, 12, 20, 24, 28)
 AGREE = 78
-CROWD, LEVELS, BRANCHES = 256, 6, 3
-#: A key with over 1 / ``HUBS`` of all rows is a hub; there are fewer than ``HUBS`` of them at any size.
-HUBS = 1000
+CROWD, LEVELS, BRANCHES = 4096, 3, 3
+BLOCK, BLOCK_SHINGLES = 256, 1 << 20
+#: Tokens that are multiplied at once.
+COLUMNS = 4096
 _TIMES = (mix64(np.arange(1, HASHES + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _THEN = (mix64(np.arange(1, HASHES + 1, dtype=np.uint64)) & np.uint64(0xFFFFFFFF)).astype(np.uint32) | np.uint32(1)
 
@@ -93,13 +96,6 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts_of(docs, wanted).select("set_id", "text").mapInArrow(tidy(run), "set_id long, grams array<long>")
 
 
-def join_by(rows: DataFrame, about: DataFrame, key: str, times: Column, total: int) -> DataFrame:
-    """``rows`` joined with ``about`` (one row a key; ``times``: how many of ``rows`` it meets), hubs by broadcast."""
-    hub = times > max(total // HUBS, HUBS)
-    hubs = F.broadcast(about.where(hub))
-    return rows.join(hubs, key).union(rows.join(hubs.select(key), key, "left_anti").join(about.where(~hub), key))
-
-
 def prefix(tree: Column) -> Column:
     """The values of a signature (bytes) that make a region of the tree."""
     return F.substring("sig", 1 + tree * 2 * DEPTH, F.lit(2 * DEPTH))
@@ -156,8 +152,8 @@ def mixed_regions(places: DataFrame) -> DataFrame:
     return places.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("least"), F.max("part").alias("most")).where("least <> most").select("region", "n")
 
 
-def region_pairs(places: DataFrame, classes: DataFrame) -> DataFrame:
-    """a, b: agreeing classes of different parts in one region; depth adapts to how crowded a region is."""
+def region_edges(places: DataFrame, classes: DataFrame) -> DataFrame:
+    """a, b: a spanning forest of the parts whose classes agree inside a region; depth adapts to how crowded a region is."""
     ready: DataFrame | None = None
     held: list[DataFrame] = []
     level = 0
@@ -180,26 +176,19 @@ def region_pairs(places: DataFrame, classes: DataFrame) -> DataFrame:
     blocks = F.ceil(F.col("n") / CROWD).cast("long")
     dealt = ready.join(classes.select("set_id", F.col("n").alias("size"), "sig"), "set_id").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("region", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set_id", "part", "size", "sig")
+    dealt = dealt.select("region", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "part", "size", "sig")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, group = None, []
 
         def done() -> pa.RecordBatch:
-            sid, part, size, block, sig = (np.concatenate(x) for x in zip(*group, strict=True))
-            a, b = [], []
-            left, right = np.flatnonzero(block == key[1]), np.flatnonzero(block == key[2])
-            for x in left.tolist():
-                y = right[(part[right] != part[x]) & _sizes_fit(size[right], size[x])]
-                y = y[_agreeing(sig[y], sig[x])]
-                a.append(np.minimum(sid[y], sid[x]))
-                b.append(np.maximum(sid[y], sid[x]))
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([*a, np.zeros(0, np.int64)])), pa.array(np.concatenate([*b, np.zeros(0, np.int64)]))], schema=_PAIRS)
+            edges = agreeing_parts(*(np.concatenate(x) for x in zip(*group, strict=True)))
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in edges], pa.int64()), pa.array([x for _, x in edges], pa.int64())], schema=_PAIRS)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            region, i, j, block, sid, part, size = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("region", "i", "j", "block", "set_id", "part", "size"))
+            region, i, j, part, size = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("region", "i", "j", "part", "size"))
             sig = _signatures(batch.column("sig"))
             cuts = [0, *(np.flatnonzero((np.diff(region) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1).tolist(), len(region)]
             for lo, hi in zip(cuts, cuts[1:], strict=False):
@@ -208,15 +197,125 @@ def region_pairs(places: DataFrame, classes: DataFrame) -> DataFrame:
                     if group:
                         yield done()
                     key, group = own, []
-                group.append((sid[lo:hi], part[lo:hi], size[lo:hi], block[lo:hi], sig[lo:hi]))
+                group.append((part[lo:hi], size[lo:hi], sig[lo:hi]))
         if group:
             yield done()
 
-    out = stash(dealt.repartition("region", "i", "j").sortWithinPartitions("region", "i", "j").mapInArrow(tidy(run), "a long, b long").distinct(), "forest-pairs")
+    out = stash(dealt.repartition("region", "i", "j").sortWithinPartitions("region", "i", "j").mapInArrow(tidy(run), "a long, b long").distinct(), "forest-region-edges")
     drop_stash(*held)
     return out
 
 
+def agreeing_parts(part: np.ndarray, size: np.ndarray, sig: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of parts, joined where classes of two parts agree.  A class is compared with the classes that no
+    walk has reached yet, so parts that agree cost little more than one comparison each."""
+    edges, open_ = [], np.ones(len(part), bool)
+    members = {p: np.flatnonzero(part == p) for p in np.unique(part).tolist()}
+    while open_.any():
+        queue = [int(part[open_.argmax()])]
+        open_[members[queue[0]]] = False
+        while queue:
+            own = queue.pop()
+            for x in members[own].tolist():
+                rest = np.flatnonzero(open_)
+                if not len(rest):
+                    return edges
+                rest = rest[_sizes_fit(size[rest], size[x])]
+                for other in np.unique(part[rest[_agreeing(sig[rest], sig[x])]]).tolist():
+                    edges.append((own, other))
+                    open_[members[other]] = False
+                    queue.append(other)
+    return edges
+
+
+# ---------------------------------------------------------------- exact overlaps
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every set (distinct tokens) of one list with every one of the other."""
+    tokens, where = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    rows = np.repeat(np.arange(len(left) + len(right)), [len(s) for s in (*left, *right)])
+    # only tokens of both sides count; they get columns of their own
+    ours, theirs = np.zeros(len(tokens), bool), np.zeros(len(tokens), bool)
+    ours[where[rows < len(left)]] = True
+    theirs[where[rows >= len(left)]] = True
+    both = ours & theirs
+    column = np.cumsum(both) - 1
+    rows, columns = rows[both[where]], column[where[both[where]]]
+    order = np.argsort(columns, kind="stable")
+    rows, columns = rows[order], columns[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for first in range(0, int(both.sum()), COLUMNS):
+        lo, hi = np.searchsorted(columns, (first, first + COLUMNS))
+        marks = np.zeros((len(left) + len(right), COLUMNS), np.float32)
+        marks[rows[lo:hi], columns[lo:hi] - first] = 1
+        out += marks[: len(left)] @ marks[len(left) :].T
+    return out.astype(np.int64)
+
+
+def cluster_links(members: DataFrame, grams: DataFrame) -> DataFrame:
+    """a, b: links between classes of different parts of a cluster (set_id, part, cluster, n), a spanning forest from each task.
+
+    A cluster is dealt in blocks of about ``BLOCK`` classes or ``BLOCK_SHINGLES`` shingles, each pair of blocks to a task.  The
+    largest part of a cluster has blocks of its own, which are not paired with each other.
+    """
+    by_part = members.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s"))
+    need = lambda m, s: F.ceil(F.greatest(m / BLOCK, s / BLOCK_SHINGLES)).cast("long")
+    most = by_part.groupBy("cluster").agg(F.max(F.struct("m", "s", "part")).alias("top"), F.sum("m").alias("m"), F.sum("s").alias("s"))
+    most = most.select("cluster", F.col("top.part").alias("top"), "m", need(F.col("top.m"), F.col("top.s")).alias("first"), need(F.col("m") - F.col("top.m"), F.col("s") - F.col("top.s")).alias("rest")).where("rest > 0")
+    most = stash(most, "forest-blocks")
+    total = most.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+    placed = join_by(members, most, "cluster", F.col("m"), total)
+    deal = F.xxhash64("set_id", F.lit(7))
+    placed = placed.withColumn("block", F.when(F.col("part") == F.col("top"), F.pmod(deal, F.col("first"))).otherwise(F.col("first") + F.pmod(deal, F.col("rest"))))
+    others = F.sequence(F.when(F.col("part") == F.col("top"), F.col("first")).otherwise(F.lit(0).cast("long")), F.col("first") + F.col("rest") - 1)
+    placed = placed.withColumn("other", F.explode(others)).select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set_id", "part")
+    dealt = placed.join(grams, "set_id").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "set_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, group = None, []
+
+        def done() -> pa.RecordBatch:
+            left, right = ([r for r in group if r[2] == k] for k in key[1:])
+            edges: list[tuple[int, int]] = []
+            if left and right:
+                sizes = [np.array([len(r[3]) for r in side]) for side in (left, right)]
+                shared = overlaps([r[3] for r in left], [r[3] for r in right])
+                parts = [np.array([r[1] for r in side]) for side in (left, right)]
+                linked = (180 * shared >= 80 * (sizes[0][:, None] + sizes[1][None, :])) & (parts[0][:, None] != parts[1][None, :])
+                root: dict[int, int] = {}
+
+                def find(x: int) -> int:
+                    while root.setdefault(x, x) != x:
+                        root[x] = root[root[x]]
+                        x = root[x]
+                    return x
+
+                for x, y in zip(*(at.tolist() for at in np.nonzero(linked)), strict=True):
+                    p, q = find(int(parts[0][x])), find(int(parts[1][y]))
+                    if p != q:
+                        root[p] = q
+                        edges.append((left[x][0], right[y][0]))
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in edges], pa.int64()), pa.array([x for _, x in edges], pa.int64())], schema=_PAIRS)
+
+        for batch in batches:
+            flat = batch.column("grams")
+            ends = flat.offsets.to_numpy()
+            values = flat.values.to_numpy(zero_copy_only=False)
+            names = [batch.column(c).to_pylist() for c in ("cluster", "i", "j", "block", "set_id", "part")]
+            for r, (cluster, i, j, block, set_id, part) in enumerate(zip(*names, strict=True)):
+                if (cluster, i, j) != key:
+                    if group:
+                        yield done()
+                    key, group = (cluster, i, j), []
+                group.append((set_id, part, block, values[ends[r] : ends[r + 1]].copy()))
+        if group:
+            yield done()
+
+    out = stash(dealt.mapInArrow(tidy(run), "a long, b long"), "forest-cluster-links")
+    drop_stash(most)
+    return out
+
+
 def confirmed(pairs: DataFrame, grams: DataFrame) -> DataFrame:
     """a, b of the pairs that link, by their full sets."""
     left, right = grams.select(F.col("set_id").alias("a"), F.col("grams").alias("ga")), grams.select(F.col("set_id").alias("b"), F.col("grams").alias("gb"))
@@ -234,19 +333,19 @@ def minhash_forest(docs: DataFrame) -> DataFrame:
     every = stash(named.agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), source, F.first("sig").alias("sig")), "forest-classes")
     each, shared = regions(every)
     shared = stash(shared, "forest-shared")
-    met = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    places = stash(join_by(each, shared, "region", F.col("n"), met).drop("n"), "forest-places")
+    total = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    places = stash(join_by(each, shared, "region", F.col("n"), total).drop("n"), "forest-places")
     classes = stash(every.join(places.select("set_id").distinct(), "set_id", "left_semi").select("set_id", "n", "sig", "from"), "forest-candidates")
     grams = stash(full_sets(docs, classes.select("set_id", "from")), "forest-grams")
     links: list[DataFrame] = []
     parts: DataFrame | None = None
 
-    def settle(pairs: DataFrame) -> None:
+    def settle(more: DataFrame) -> None:
         nonlocal parts
-        links.append(stash(confirmed(pairs, grams), "forest-links"))
+        links.append(more)
         found = links[0]
-        for more in links[1:]:
-            found = found.union(more)
+        for table in links[1:]:
+            found = found.union(table)
         old, parts = parts, stash(connected_components(found), "forest-parts")
         if old is not None:
             drop_stash(old)
@@ -257,14 +356,16 @@ def minhash_forest(docs: DataFrame) -> DataFrame:
         return rows.join(parts.select(F.col("node").alias("set_id"), "component"), "set_id", "left").withColumn("part", F.coalesce("component", "set_id")).drop("component")
 
     for trees in (FIRST, THEN):
-        settle(neighbours(with_part(classes), trees))
+        settle(stash(confirmed(neighbours(with_part(classes), trees), grams), "forest-links"))
     open_ = stash(with_part(places), "forest-open")
-    left = region_pairs(open_, classes)
-    settle(left)
+    met = region_edges(open_, classes)
+    clusters = stash(connected_components(met), "forest-clusters")
+    members = stash(with_part(classes.select("set_id", "n")).join(clusters.select(F.col("node").alias("part"), F.col("component").alias("cluster")), "part"), "forest-members")
+    settle(cluster_links(members, grams))
     components = with_part(every.select("set_id", "least_id", "copies"))
     names = components.groupBy("part").agg(F.min("least_id").alias("component_id"))
     result = stash(components.join(names, "part").select("set_id", "component_id", "copies"), "forest-result")
-    drop_stash(every, shared, places, open_, classes, grams, left, parts, *links)
+    drop_stash(every, shared, places, open_, classes, grams, met, clusters, members, parts, *links)
     own = sets.select("doc_id", "set_id", F.col("n").alias("n_shingles"))
     total = result.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
     linked = join_by(own.where(F.col("set_id").isNotNull()), result, "set_id", F.col("copies"), total).select("doc_id", "n_shingles", "component_id")

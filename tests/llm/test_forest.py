@@ -65,11 +65,12 @@ def families():
     return [(1000 + i, docs[j], "en", "a") for i, j in enumerate(order)]
 
 
-@pytest.mark.parametrize(("crowd", "levels"), [(256, 6), (6, 2), (5, 0)])
+@pytest.mark.parametrize(("crowd", "levels"), [(4096, 3), (12, 2), (5, 0)])
 def test_components_are_those_of_all_pairs(spark, families, monkeypatch, crowd, levels):
     """With regions as they are, with regions that have to be divided, and with regions in blocks alone."""
     monkeypatch.setattr(forest, "CROWD", crowd)
     monkeypatch.setattr(forest, "LEVELS", levels)
+    monkeypatch.setattr(forest, "BLOCK", 256 if levels == 3 else 7)
     got = ours(forest.minhash_forest(frame(spark, families)))
     assert got == brute(families)
     assert sum(not r[3] for r in got) > 30
@@ -80,6 +81,12 @@ def test_links_that_neighbours_miss_are_found_in_regions(spark, families, monkey
     assert ours(forest.minhash_forest(frame(spark, families))) == brute(families)
 
 
+def test_overlaps_are_those_of_the_sets():
+    rng = np.random.default_rng(1)
+    left, right = ([np.unique(rng.integers(0, 9000, n)) for n in sizes] for sizes in ((3, 400, 6000), (1, 50, 5000, 900)))
+    assert forest.overlaps(left, right).tolist() == [[len(np.intersect1d(a, b)) for b in right] for a in left]
+
+
 def test_odd_rows(spark):
     docs = [*ODD_ROWS, (None, sentence(2, 60), "en", "b"), (None, "only null ids here twice", "en", "b"), (None, "only null ids here twice", "en", "b"), (20, "One TWO", "en", "a"), (21, "a b c d", "en", "a"), (22, "a b c d", "en", "a"), (23, "", "en", "a")]
     assert ours(forest.minhash_forest(frame(spark, docs))) == brute(docs)
