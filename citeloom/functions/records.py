@@ -63,3 +63,12 @@ def same_person(a_orcid: Column, b_orcid: Column, a_name: Column, b_name: Column
 def intersect_authors(mine: Column, theirs: Column) -> Column:
     """My authors (struct<..., orcid, normalized>) whom the other list also holds."""
     return F.filter(mine, lambda a: F.exists(theirs, lambda b: same_person(a["orcid"], b["orcid"], a["normalized"], b["normalized"])))
+
+
+def has_venue(venue: Column) -> Column:
+    return venue.isNotNull()
+
+
+def venue_is(venue: Column, kind: str) -> Column:
+    """Whether a venue (struct with type) is a "journal" or "conference"; false without one."""
+    return F.coalesce(venue["type"] == kind, F.lit(False))

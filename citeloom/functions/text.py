@@ -18,20 +18,42 @@ def _fold_map() -> tuple[str, str]:
 FOLD_FROM, FOLD_TO = _fold_map()
 #: Named entities that stand for a character in titles; all others become a space.
 ENTITIES = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&#039;": "'", "&apos;": "'", "&nbsp;": " ", "&eacute;": "é", "&egrave;": "è", "&uuml;": "ü", "&ouml;": "ö", "&auml;": "ä", "&ntilde;": "ñ", "&ccedil;": "ç"}
+#: Letters without a canonical decomposition, and how they are written in ASCII.
+SPELLED = {"ß": "ss", "æ": "ae", "œ": "oe", "þ": "th", "ø": "o", "ł": "l", "đ": "d", "ð": "d", "ħ": "h", "ı": "i", "ŧ": "t"}
+#: The number of a character reference, decimal or hexadecimal, after "&#".
+REFERENCE = r"^(x[0-9a-f]{1,6}|[0-9]{1,7});"
 
 
 def fold_accents(text: Column) -> Column:
     return F.translate(text, FOLD_FROM, FOLD_TO)
 
 
+def decode_references(text: Column) -> Column:
+    """``&#233;`` and ``&#xe9;`` in a lower-case text as characters; what is no valid reference stays as it is."""
+
+    def one(part: Column) -> Column:
+        number = F.regexp_extract(part, REFERENCE, 1)
+        code = F.when(F.startswith(number, F.lit("x")), F.conv(F.substring(number, 2, 6), 16, 10)).otherwise(number).try_cast("int")
+        known = (number != "") & ((code.between(1, 0xD7FF)) | code.between(0xE000, 0x10FFFF))
+        char = F.decode(F.unhex(F.lpad(F.hex(F.when(known, code).otherwise(32)), 8, "0")), "UTF-32")
+        return F.when(known, F.concat(char, F.substring(part, F.char_length(number) + 2, F.char_length(part)))).otherwise(F.concat(F.lit("&#"), part))
+
+    parts = F.split(text, "&#")
+    joined = F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), one), ""))
+    return F.when(F.contains(text, F.lit("&#")), joined).otherwise(text)
+
+
 def normalize_title(title: Column) -> Column:
-    """Lower-case, entities decoded, accents folded, everything but a-z, 0-9 and spaces deleted, spaces collapsed."""
+    """Lower-case, entities and references decoded, accents folded, letters like ß spelled out, everything but a-z, 0-9 and
+    spaces deleted, spaces collapsed."""
     out = F.lower(title)
     for entity, char in ENTITIES.items():
         if entity != "&amp;":
             out = F.replace(out, F.lit(entity), F.lit(char))
-    out = F.replace(out, F.lit("&amp;"), F.lit("&"))
-    out = F.regexp_replace(out, r"&[a-z0-9#]+;", " ")
+    out = decode_references(F.replace(out, F.lit("&amp;"), F.lit("&")))
+    out = F.lower(F.regexp_replace(out, r"&[a-z0-9#]+;", " "))
+    for letter, plain in SPELLED.items():
+        out = F.replace(out, F.lit(letter), F.lit(plain))
     out = F.regexp_replace(fold_accents(out), r"[^a-z0-9 ]", "")
     return F.trim(F.regexp_replace(out, " +", " "))
 

@@ -59,12 +59,18 @@ class Corpus:
         mine = self.df.select("seq", F.explode("ids").alias("id")).join(other._ids(), "id", "left_semi").select("seq").distinct()
         return Corpus(self.df.join(mine, "seq", kind))
 
-    def merge(self, other: Corpus) -> Corpus:
-        """Identity-aware union: records connected through shared identifiers become one (see ``merge_by_identity``)."""
+    def merge(self, other: Corpus, order: str = "identity") -> Corpus:
+        """Identity-aware union: records connected through shared identifiers become one (see ``merge_by_identity``).  With
+        ``order="arrival"`` each record joins the first that it matches, mine before the other's (see ``arrival``)."""
+        if order == "arrival":
+            from citeloom.operators.arrival import merge_in_order
+
+            both = self.df.withColumn("_side", F.lit(0)).unionByName(other.df.withColumn("_side", F.lit(1)), allowMissingColumns=True)
+            return Corpus(merge_in_order(both, [F.col("_side")]).drop("entry", "_side"))
         return Corpus(merge_by_identity(self.df.unionByName(other.df, allowMissingColumns=True)))
 
-    def with_work(self, one: DataFrame) -> Corpus:
-        return self.merge(Corpus(one))
+    def with_work(self, one: DataFrame, order: str = "identity") -> Corpus:
+        return self.merge(Corpus(one), order)
 
     # order and pages
     def sort_by_year(self, descending: bool = True) -> DataFrame:
@@ -115,8 +121,7 @@ def identity_groups(df: DataFrame) -> DataFrame:
 def merge_by_identity(df: DataFrame) -> DataFrame:
     """One record per identity group: the first record's fields, gaps filled from later ones, identifiers united.
 
-    The closure is transitive.  A sequential merge into the first match depends on arrival order instead and can leave
-    connected records apart; that is not done here.
+    The closure is transitive; a merge into the first match, which can leave connected records apart, is in ``arrival``.
     """
     grouped = identity_groups(df).withColumnRenamed("seq", "_seq").join(df, F.col("_seq") == F.col("seq")).drop("_seq")
     return fuse(grouped, "group", [F.col("seq")])
@@ -144,5 +149,34 @@ def shared_authors(authors: DataFrame, other: DataFrame) -> DataFrame:
     return authors.join(other.select("normalized").distinct(), "normalized", "left_semi")
 
 
+def shared_persons(authors: DataFrame, other: DataFrame) -> DataFrame:
+    """Rows of ``authors`` (with orcid and normalized) whose person the other list has: by ORCID if both have one, else by name.
+
+    A disjunction of equalities, so equi-joins with an exclusion: rows with an ORCID look for it, and those not found for
+    the name of somebody without one; rows without an ORCID look for the name of anybody.
+    """
+    orcids = other.where(F.col("orcid").isNotNull()).select("orcid").distinct()
+    names = other.where(F.col("normalized").isNotNull()).groupBy("normalized").agg(F.bool_or(F.col("orcid").isNull()).alias("_open"))
+    known, unknown = authors.where(F.col("orcid").isNotNull()), authors.where(F.col("orcid").isNull())
+    by_orcid = known.join(orcids, "orcid", "left_semi")
+    by_open_name = known.join(orcids, "orcid", "left_anti").join(names.where("_open"), "normalized", "left_semi")
+    by_name = unknown.join(names, "normalized", "left_semi")
+    return by_orcid.select(*authors.columns).union(by_open_name.select(*authors.columns)).union(by_name.select(*authors.columns))
+
+
+def browse(works: DataFrame, sources: list[str] | None = None, year_from: int | None = None, year_to: int | None = None, open_access: bool | None = None, has_abstract: bool | None = None, min_completeness: int | None = None) -> DataFrame:
+    """Records that meet all filters given (with is_open_access and completeness columns, where those are asked for)."""
+    out = Corpus(works).in_years(year_from, year_to).df
+    if sources is not None:
+        out = out.where(F.col("source_provider").isin(sources))
+    if open_access is not None:
+        out = out.where(F.coalesce("is_open_access", F.lit(False)) == open_access)
+    if has_abstract is not None:
+        out = out.where(F.col("abstract").isNotNull() == has_abstract)
+    if min_completeness is not None:
+        out = out.where(F.col("completeness") >= min_completeness)
+    return out
+
+
 def exact_intersection(mine: Column, theirs: Column) -> Column:
     return records.intersect_authors(mine, theirs)

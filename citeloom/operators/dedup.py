@@ -158,3 +158,42 @@ def deduplicate(works: DataFrame, policies: list[str] | None = None) -> DataFram
 def summary(works: DataFrame, members: DataFrame) -> DataFrame:
     """input_count, unique_count, duplicates_removed."""
     return members.agg(F.count(F.lit(1)).alias("input_count"), F.count_distinct("cluster_id").alias("unique_count")).withColumn("duplicates_removed", F.col("input_count") - F.col("unique_count"))
+
+
+# ---------------------------------------------------------------- what a cluster can be asked
+
+def clusters_of_ids(works: DataFrame, members: DataFrame, wanted: DataFrame) -> DataFrame:
+    """ns, value, cluster_id: the cluster with a member that has the wanted identifier (ns, value), in any namespace."""
+    held = works.select("seq", F.explode("ids").alias("id")).select("seq", "id.ns", "id.value")
+    return held.join(wanted.select("ns", "value").distinct(), ["ns", "value"]).join(members, "seq").select("ns", "value", "cluster_id").distinct()
+
+
+def non_representatives(works: DataFrame, members: DataFrame) -> DataFrame:
+    """cluster_id, seq of the members that are neither the representative nor have its primary identifier's value."""
+    named = members.join(works.select("seq", idf.primary(F.col("ids"))["value"].alias("name")), "seq")
+    chosen = elect(works, members).select("cluster_id", "representative")
+    heads = named.join(chosen, "cluster_id").where("seq = representative").select("cluster_id", "representative", F.col("name").alias("head"))
+    return named.join(heads, "cluster_id").where("seq <> representative and not coalesce(name = head, false)").select("cluster_id", "seq")
+
+
+def cluster_ids(works: DataFrame, members: DataFrame, namespace: str) -> DataFrame:
+    """cluster_id, n, values: the distinct identifiers of a namespace in a cluster (the first of each member), sorted."""
+    held = works.select("seq", idf.find_namespace(F.col("ids"), namespace).alias("value")).where("value is not null")
+    return held.join(members, "seq").groupBy("cluster_id").agg(F.sort_array(F.collect_set("value")).alias("values")).withColumn("n", F.size("values").cast("long"))
+
+
+def has_identifier(elected: DataFrame, works: DataFrame, namespace: str) -> DataFrame:
+    """cluster_id, found: whether the representative has an identifier of the namespace."""
+    held = works.select(F.col("seq").alias("representative"), idf.find_namespace(F.col("ids"), namespace).isNotNull().alias("found"))
+    return elected.join(held, "representative").select("cluster_id", "found")
+
+
+def involving(pairs: DataFrame, seq: int) -> DataFrame:
+    """The duplicates in which a record takes part, on either side."""
+    return pairs.where((F.col("primary_seq") == seq) | (F.col("secondary_seq") == seq))
+
+
+def connected(members: DataFrame, asked: DataFrame) -> DataFrame:
+    """a, b, connected: whether two records are in one cluster; records without a cluster are connected with themselves alone."""
+    of = lambda c: members.select(F.col("seq").alias(c), F.col("cluster_id").alias(f"_{c}"))
+    return asked.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce(F.col("_a") == F.col("_b"), F.col("a") == F.col("b")).alias("connected"))

@@ -57,3 +57,9 @@ def first_success(attempts: DataFrame) -> DataFrame:
     """work, source, attempts: the earliest successful attempt of each work (null if none), and how many were made."""
     key = F.struct("attempted_at", "attempt_id")
     return attempts.groupBy("work").agg(F.min_by("source", F.when(F.col("ok"), key)).alias("source"), F.count(F.lit(1)).alias("attempts"))
+
+
+def excluded_by_reason(latest: DataFrame, reason: str = "reason") -> DataFrame:
+    """stage, reason, n: records whose newest decision excludes them; without a reason they count as unspecified."""
+    why = F.coalesce(F.nullif(F.trim(F.col(reason)), F.lit("")), F.lit("unspecified")).alias("reason")
+    return latest.where("decision = 'exclude'").groupBy("stage", why).agg(F.count(F.lit(1)).alias("n"))

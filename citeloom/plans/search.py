@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from citeloom.functions.text import normalize_title
@@ -29,18 +29,19 @@ def with_seq(records: DataFrame) -> DataFrame:
     return stash(records.withColumn("seq", F.monotonically_increasing_id()), "search")
 
 
-def aggregate(frames: dict[str, DataFrame], max_results: int = 100, failed: dict[str, str] | None = None, cache: ResultCache | None = None, key: str | None = None, policies: list[str] | None = None, latency: DataFrame | None = None) -> SearchResult:
+def aggregate(frames: dict[str, DataFrame], max_results: int = 100, failed: dict[str, str] | None = None, cache: ResultCache | None = None, key: str | None = None, policies: list[str] | None = None, latency: DataFrame | None = None, spark: SparkSession | None = None) -> SearchResult:
     """Records of each source (at most ``max_results``), united in registration order and resolved.
 
     ``failed`` are sources that gave nothing and why: they get a row in the statistics, the others' records stay.
-    ``latency`` (source_provider, latency_ms) joins the statistics.
+    ``latency`` (source_provider, latency_ms) joins the statistics.  If no source gave an answer the result has no records.
     """
     if cache is not None and key is not None and (hit := cache.get(key)) is not None:
         return SearchResult(hit, hit.groupBy("source_provider").agg(F.count(F.lit(1)).alias("result_count")), hit.count(), True)
     order = [s for s in payloads.NORMALIZERS if s in frames]
-    spark = next(iter(frames.values())).sparkSession if frames else None
+    spark = spark or (next(iter(frames.values())).sparkSession if frames else SparkSession.active())
     if not order:
-        raise ValueError("no source gave an answer")
+        nothing = spark.createDataFrame([], payloads.FIELDS["openalex"])
+        frames, order = {"openalex": payloads.normalize(nothing, "openalex")}, ["openalex"]
     raw = with_seq(union_sources([frames[s] for s in order]))
     place = F.row_number().over(Window.partitionBy("source_provider").orderBy("seq"))
     raw = raw.withColumn("_n", place).where(F.col("_n") <= max_results).drop("_n").withColumn("norm_title", normalize_title(F.col("title")))
@@ -66,4 +67,4 @@ def federated(fetched: DataFrame, max_results: int = 100, cache: ResultCache | N
     why = {r["source"]: r["error"] for r in fetched.groupBy("source").agg(F.max("error").alias("error")).collect() if r["source"] not in known}
     frames = {s: payloads.normalize(payloads.items_of(whole.where(F.col("source") == s).select("body"), s), s) for s in payloads.NORMALIZERS if s in known}
     latency = fetched.groupBy(F.col("source").alias("source_provider")).agg(F.max("latency_ms").alias("latency_ms"))
-    return aggregate(frames, max_results, why, cache, key, policies, latency)
+    return aggregate(frames, max_results, why, cache, key, policies, latency, fetched.sparkSession)

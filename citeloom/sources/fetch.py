@@ -109,11 +109,13 @@ def pubmed_pages(q: SearchQuery, found: str, key: str | None = None) -> Iterator
     """Requests for the records of a PubMed search, from its answer: by the server's history if it names one, else by id."""
     answer = json.loads(found).get("esearchresult", {})
     ids, history = answer.get("idlist", []), {"query_key": answer.get("querykey", ""), "WebEnv": answer.get("webenv", "")}
-    for at in range(0, min(int(answer.get("count", 0) or 0), q.max_results), FETCH_BATCH):
+    kept = all(history.values())  # the server's history begins at its first hit, the list of ids at the query's offset
+    for at in range(0, min(int(answer.get("count", 0) or 0) - q.offset, q.max_results), FETCH_BATCH):
         part = ids[at : at + FETCH_BATCH]
-        if not all(history.values()) and not part:
+        if not kept and not part:
             return
-        yield {"db": "pubmed", "step": "fetch", "retmode": "xml", "retstart": at, "retmax": min(FETCH_BATCH, q.max_results - at)} | (history if all(history.values()) else {"id": ",".join(part)}) | ({"api_key": key} if key else {})
+        where = {"retstart": q.offset + at, **history} if kept else {"retstart": at, "id": ",".join(part)}
+        yield {"db": "pubmed", "step": "fetch", "retmode": "xml", "retmax": min(FETCH_BATCH, q.max_results - at)} | where | ({"api_key": key} if key else {})
 
 
 def requests(source: str, q: SearchQuery, key: str | None = None) -> Iterator[dict]:

@@ -68,19 +68,23 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- the same in SQL (DuckDB)
 
-NORM_SQL = (
-    "trim(regexp_replace(regexp_replace(strip_accents(regexp_replace(replace({0}, '&amp;', '&'), '&[a-z0-9#]+;', ' ', 'g')), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g'))"
-)
-
-
 def norm_sql(title: str) -> str:
-    from citeloom.functions.text import ENTITIES
+    from citeloom.functions.text import ENTITIES, REFERENCE, SPELLED
 
     out = f"lower({title})"
     for entity, char in ENTITIES.items():
         if entity != "&amp;":
             out = "replace({}, '{}', '{}')".format(out, entity, char.replace("'", "''"))
-    return NORM_SQL.format(out)
+    out = f"replace({out}, '&amp;', '&')"
+    number = f"regexp_extract(p, '{REFERENCE}', 1)"
+    code = f"CASE WHEN {number} LIKE 'x%' THEN TRY_CAST('0' || {number} AS INTEGER) ELSE TRY_CAST({number} AS INTEGER) END"
+    decoded = f"CASE WHEN ({code}) BETWEEN 1 AND 55295 OR ({code}) BETWEEN 57344 AND 1114111 THEN chr({code}) || substr(p, length({number}) + 2) ELSE '&#' || p END"
+    parts = f"string_split({out}, '&#')"
+    out = f"CASE WHEN contains({out}, '&#') THEN {parts}[1] || array_to_string([{decoded} for p in {parts}[2:]], '') ELSE {out} END"
+    out = f"lower(regexp_replace({out}, '&[a-z0-9#]+;', ' ', 'g'))"
+    for letter, plain in SPELLED.items():
+        out = f"replace({out}, '{letter}', '{plain}')"
+    return f"trim(regexp_replace(regexp_replace(strip_accents({out}), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g'))"
 
 
 WORKS_SQL = f"""works AS (

@@ -31,6 +31,15 @@ TABLES = {
 }
 
 
+def _first(rows: DataFrame, key: list[str]) -> DataFrame:
+    """The first row of each key, in the order in which the rows come."""
+    rest = [c for c in rows.columns if c not in key]
+    if not rest:
+        return rows.dropDuplicates(key)
+    numbered = stash(rows.withColumn("_row", F.monotonically_increasing_id()), "first-rows")
+    return numbered.groupBy(*key).agg(F.min_by(F.struct(*rest), "_row").alias("_r")).select(*key, "_r.*").select(*rows.columns)
+
+
 class ProjectLocked(Exception):
     pass
 
@@ -71,10 +80,10 @@ class Store:
             fs.delete(p, True)
 
     def upsert(self, table: str, rows: DataFrame, by: list[str] | None = None) -> None:
-        """Rows whose key is there replace the old ones, others are added; of rows with one primary key, one stays."""
+        """Rows whose key is there replace the old ones, others are added; of rows with one primary key, the first stays."""
         key = by or TABLES[table][1]
         if not by or by == TABLES[table][1]:
-            rows = rows.dropDuplicates(key)
+            rows = _first(rows, key)
         kept = self.read(table).join(rows.select(*key).distinct(), key, "left_anti")
         self.replace(table, kept.unionByName(rows, allowMissingColumns=True))
 
@@ -82,7 +91,7 @@ class Store:
         """Rows whose key is new; the first wins."""
         key = TABLES[table][1]
         old = self.read(table)
-        self.replace(table, old.unionByName(rows.dropDuplicates(key).join(old.select(*key), key, "left_anti"), allowMissingColumns=True))
+        self.replace(table, old.unionByName(_first(rows, key).join(old.select(*key), key, "left_anti"), allowMissingColumns=True))
 
     def delete(self, table: str, keys: DataFrame, on: list[str]) -> None:
         self.replace(table, self.read(table).join(keys.select(*on).distinct(), on, "left_anti"))

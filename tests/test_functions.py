@@ -1,3 +1,4 @@
+import duckdb
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -55,3 +56,16 @@ def test_records(spark):
     assert one(spark, y(2010, 2010, 2010), y(2009, 2010, None), y(2009, None, None)) == (True, False, True)
     o = lambda a, b, c, d: records.ranges_overlap(*[F.lit(x).cast("int") for x in (a, b, c, d)])
     assert one(spark, o(2000, 2005, 2005, 2010), o(2000, 2004, 2005, None), o(None, None, 1, 2)) == (True, False, True)
+
+
+def test_references_and_letters_of_titles(spark):
+    from citeloom.functions.text import normalize_title
+    from citeloom.sources.projection import norm_sql
+
+    titles = ["Caf&#233; &#xE9;t&#xe9; &#8211; na&#239;ve", "Stra&szlig;e Straße Æsop Œuvre Øre Łódź", "&#0; &#99999999; &#xD800; &#1114112; a&#", "A &amp;#233; &#38;amp; b", "&#196;rger &#x1F600; ok", None, ""]
+    frame = spark.createDataFrame(list(enumerate(titles)), "k int, t string")
+    ours = [r.n for r in frame.withColumn("n", normalize_title(F.col("t"))).orderBy("k").collect()]
+    theirs = [duckdb.execute(f"select {norm_sql('$1::VARCHAR')}", [t]).fetchone()[0] for t in titles]
+    assert ours[0] == "cafe ete naive"
+    assert ours[1] == "stra e strasse aesop oeuvre ore lodz"
+    assert ours == theirs

@@ -175,6 +175,28 @@ def test_pubmed_searches_then_fetches(history):
     assert list(fetch.read_pages("pubmed", q, lambda s, r: (200, json.dumps({"esearchresult": {"count": "0"}})), sleep=lambda s: None)) == []
 
 
+@pytest.mark.parametrize("history", [True, False])
+def test_pubmed_goes_on_from_an_offset(history):
+    def transport(source, request):
+        if request["step"] == "search":
+            assert (request["retstart"], request["retmax"]) == (300, 250)
+            return 200, json.dumps({"esearchresult": {"count": "500", "idlist": [str(i) for i in range(300, 500)]} | ({"querykey": "1", "webenv": "w"} if history else {})})
+        return 200, f"{request['retstart']}+{request['retmax']}" if history else request["id"].split(",")[0]
+
+    got = list(fetch.read_pages("pubmed", fetch.SearchQuery("term", max_results=250, offset=300), transport, sleep=lambda s: None))
+    assert got == (["300+200"] if history else ["300"])
+
+
+def test_the_first_of_equal_keys_is_kept(spark, tmp_path):
+    from citeloom.sources.store import Store
+
+    store = Store(spark, f"file://{tmp_path}")
+    rows = spark.range(0, 200).selectExpr("id % 5 as decision_id", "cast(id as string) as project").coalesce(1)
+    store.insert_new("screening_decisions", rows)
+    store.insert_new("screening_decisions", rows.withColumn("project", F.lit("later")))
+    assert {(r.decision_id, r.project) for r in store.read("screening_decisions").collect()} == {(k, str(k)) for k in range(5)}
+
+
 def test_fetched_pages_become_one_result(spark):
     rows = [
         ("crossref", 0, json.dumps({"message": {"items": [{"DOI": "10.1/A", "title": ["A paper"]}, {"DOI": "10.1/b", "title": ["Another"]}]}}), None, 12),
