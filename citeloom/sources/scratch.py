@@ -48,11 +48,17 @@ def _leave_none(spark: SparkSession, path: str) -> None:
     _left.add(path)
 
 
+def temporary_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there is deleted at the application's end."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _leave_none(spark, path)
+    return path
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """``df``, written as Parquet to the shared folder and read back."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _leave_none(spark, path)
+    path = temporary_path(spark, name)
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._stash_path = path
