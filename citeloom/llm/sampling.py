@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from citeloom.llm.common import drop_stash, stash
+
 #: Texts beyond this many characters are not learned from (they are scored like all others).
 MAX_LEARN_CHARS = 60_000
 
@@ -17,16 +19,18 @@ def _draw() -> Column:
 def labelled_texts(docs: DataFrame, labels: DataFrame, target: str, held: Column, n: int) -> tuple[list[tuple[str, int]], float]:
     """At most ``n`` texts of each label 0 and 1 outside ``held``, in the order of doc_id, and label 1's share.
 
-    Labels are drawn by the least hash of doc_id: exactly the ``n`` first of each, so the same ones on every run.  Only
-    these, at most ``2 * n`` rows, are broadcast.  A document with several texts is learned from by its least one; one with
+    Labels of documents that are there with a text to learn from are drawn by the least hash of doc_id: exactly the ``n``
+    first of each, so the same ones on every run.  Only these, at most ``2 * n`` rows, are broadcast.  A document with several texts is learned from by its least one; one with
     contradicting labels has label 0.
     """
     known = labels.select("doc_id", F.col(target).cast("int").alias("_label")).where(F.col("_label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held)
     known = known.groupBy("doc_id").agg(F.min("_label").alias("_label"))
+    texts = docs.where(F.col("text").isNotNull() & (F.length("text") <= MAX_LEARN_CHARS)).select("doc_id", "text")
+    known = stash(known.join(texts.select("doc_id"), "doc_id", "left_semi"), "sample-labels")
     counts = {r["_label"]: r["n"] for r in known.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).collect()}
     first = lambda label: known.where(F.col("_label") == label).orderBy(_draw(), "doc_id").limit(n)
-    texts = docs.where((F.length("text") <= MAX_LEARN_CHARS) & F.col("text").isNotNull()).select("doc_id", "text")
     rows = texts.join(F.broadcast(first(0).union(first(1))), "doc_id").groupBy("doc_id", "_label").agg(F.min("text").alias("text")).collect()
+    drop_stash(known)
     share = counts.get(1, 0) / max(sum(counts.values()), 1)
     return [(r["text"], r["_label"]) for r in sorted(rows, key=lambda r: r["doc_id"])], share
 
