@@ -26,6 +26,7 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from citeloom.llm.common import Known, Runs, documents, mix64, mix_int, resident, text_pieces, tidy
 from citeloom.llm.vocabulary import SPACE_MARK, default_path, load
@@ -304,7 +305,8 @@ class Encoder:
 def encode_pieces(docs: DataFrame, path: str | None = None, dropout: float = DROPOUT, seed: int = SEED, with_ids: bool = True, apart: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_crc32 (of little-endian unsigned 16-bit ids), lossless, and ids if asked for.
 
-    With ``apart``, equal rows that stand one after another are copies with numbers, each segmented on its own.
+    With ``apart``, equal rows are copies with numbers, each segmented on its own.  They are brought together by doc_id and text
+    for that, so it does not matter how the rows lie.
     """
     path = path or default_path()
     fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("lossless", pa.bool_())] + [("ids", pa.list_(pa.int32()))] * with_ids
@@ -334,7 +336,11 @@ def encode_pieces(docs: DataFrame, path: str | None = None, dropout: float = DRO
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     spec = "doc_id long, n_tokens long, ids_crc32 long, lossless boolean" + ", ids array<int>" * with_ids
-    return docs.select("doc_id", "text").mapInArrow(tidy(run), spec)
+    rows = docs.select("doc_id", "text")
+    if apart:
+        together = rows.withColumn("_text", F.xxhash64("text"))
+        rows = together.repartition("doc_id", "_text").sortWithinPartitions("doc_id", "_text").select("doc_id", "text")
+    return rows.mapInArrow(tidy(run), spec)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

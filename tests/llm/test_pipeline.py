@@ -45,6 +45,14 @@ def test_run_is_its_stages_one_after_another(spark, quick):
     got = corpus_pipeline.run(spark, DATA).collect()
     known = {r.doc_id: r.text for r in docs.collect()}
     assert got and all(r.lossless and r.doc_id in known for r in got)
+    # the same as its stages, with each table written in several files and read again
+    from citeloom.sources.scratch import stash
+
+    step = docs
+    for name, stage in corpus_pipeline.STAGES:
+        step = stash(stage(spark, step, DATA).repartition(3), f"test-{name}")
+    plain = lambda rows: sorted((r.doc_id, r.n_tokens, r.ids_crc32) for r in rows)
+    assert plain(got) == plain(step.collect())
     # the last stage encodes what the one before wrote: each id as often as the mix took it, all copies whole
     assert max(sum(1 for r in got if r.doc_id == i) for i in {r.doc_id for r in got}) <= 3
     assert all(len(r.ids) == r.n_tokens for r in got)

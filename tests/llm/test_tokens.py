@@ -108,6 +108,18 @@ def test_copies_are_segmented_apart(spark):
     assert len({r.ids_crc32 for r in piece_encoding.encode_pieces(docs).collect()}) == 1
 
 
+def test_copies_are_apart_however_they_lie(spark):
+    text = "international understanding " * 30
+    docs = [(1, text)] * 6 + [(None, text)] * 3 + [(2, "another text of some words")] * 2 + [(3, None)] * 2
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    results = []
+    for parts in (1, 3, 9):
+        got = piece_encoding.encode_pieces(frame.repartition(parts), apart=True).collect()
+        results.append(sorted((repr(r.doc_id), r.ids_crc32 or 0) for r in got))
+        assert len({r.ids_crc32 for r in got if r.doc_id == 1}) == 6
+    assert results[0] == results[1] == results[2]
+
+
 def test_piece_encoding_of_odd_rows(odd, empty):
     got = piece_encoding.encode_pieces(odd).toPandas()
     assert len(got) == odd.count() and got[got.doc_id != 2].lossless.all()
