@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from citeloom.llm.common import drop_stash, stash, tidy
-from citeloom.llm.topk_search import vectors_by_length
+from citeloom.llm.topk_search import products, vectors_by_length
 
 SCALE, EVERY = 256, 100
 POSITIVES, NEGATIVES = 5, 5
@@ -49,16 +49,6 @@ _NONE = np.iinfo(np.int64).min
 _MOST = np.iinfo(np.int64).max
 
 
-def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact inner products of integer rows, as 64-bit numbers (the nearest one, for those beyond)."""
-    bound = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
-    for kind, exact in ((np.float32, 2**24), (np.float64, 2**53)):
-        if bound < exact:  # every sum on the way is a whole number that the type holds
-            return (a.astype(kind) @ b.astype(kind).T).astype(np.int64)
-    wide = a.astype(object) @ b.astype(object).T
-    return np.clip(wide, _NONE + 1, _MOST).astype(np.int64)
-
-
 def _augmented(rows: np.ndarray, most: float) -> np.ndarray:
     v = rows.astype(np.float64)
     return np.concatenate([v, np.sqrt(np.maximum(most - (v * v).sum(axis=1), 0.0))[:, None]], axis=1)

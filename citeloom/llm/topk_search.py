@@ -12,13 +12,14 @@ First each query searches the cell that promises most, which gives it a kth scor
 those cells whose bound is not below that score.  A task holds one block, builds its cover tree once, takes the
 queries that were sent in groups of ``QUERY_BLOCK`` with a cover tree over each, and walks pairs of nodes from the top; a pair is
 pruned once its bound is below the worst kth score of all queries under the query node.  Bounds carry a slack for rounding,
-so ties are never lost; scores are exact (doubles while they hold all integers, else Python's integers).  The k best of all
+so ties are never lost; scores are exact (floats while they hold all integers, else Python's integers).  The k best of all
 blocks are the result, ties to the smaller vec_id.
 
 Vectors that are null or hold null or non-finite components take no part, nor do rows with a null vec_id.  Rows of a
 query's vec_id are no candidates for it.  Repeated vec_ids as candidates each count.  Rows that share a query's vec_id are one
 query: its list has the best scores of all of them, so a candidate can stand there once for each.  Vectors of another
-length than the query give no score with it.  An empty table gives an empty result.  Extra columns are ignored.
+length than the query give no score with it.  A component beyond 2**62 counts as that, and a score beyond 64 bits as the
+nearest number that has 64.  An empty table gives an empty result.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,9 +42,20 @@ QUERY_BLOCK, ROW_BLOCK = 1024, 16_384
 LEAF, QUERY_LEAF, FAN = 192, 48, 12
 #: Share of the magnitudes by which a bound may be off through rounding (doubles have 53 bits; sums of many terms).
 SLACK = 1e-9
+LARGEST = 1 << 62
 _NONE = np.iinfo(np.int64).min + 1  # its negative still fits
 
 
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Exact inner products of integer rows; those beyond 64 bits count as the largest (or least) such number."""
+    bound = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
+    for kind, exact in ((np.float32, 2**24), (np.float64, 2**53)):
+        if bound < exact:  # every sum on the way is a whole number that the type holds
+            return (a.astype(kind) @ b.astype(kind).T).astype(np.int64)
+    wide = a.astype(object) @ b.astype(object).T
+    return np.clip(wide, -(2**63) + 2, 2**63 - 1).astype(np.int64)
+
+
 class CoverTree:
     """Nested covers by distance: each node's points lie within its radius of its centre, which is one of them.
 
@@ -94,8 +106,6 @@ def block_topk(query_ids: np.ndarray, queries: np.ndarray, row_ids: np.ndarray,
     ``tree`` is the rows' tree; scores below ``least`` are of no use to a query; ``scored`` is told the pairs worked out.
     """
     qt, rt = CoverTree(queries.astype(np.float64), QUERY_LEAF), tree or CoverTree(rows.astype(np.float64))
-    # sums of products stay exact in doubles below 2**53
-    exact = float(np.abs(queries).max(initial=0)) * float(np.abs(rows).max(initial=0)) * queries.shape[1] < 2**52
     ids = np.full((len(queries), k), -1, np.int64)
     scores = np.full((len(queries), k), _NONE, np.int64)
     floor = np.full(len(queries), -np.inf) if least is None else np.where(least == _NONE, -np.inf, least.astype(np.float64))
@@ -109,7 +119,7 @@ def block_topk(query_ids: np.ndarray, queries: np.ndarray, row_ids: np.ndarray,
         qi, ri = qt.members[q], rt.members[r]
         if scored is not None:
             scored.append(len(qi) * len(ri))
-        got = (queries[qi].astype(np.float64) @ rows[ri].astype(np.float64).T).astype(np.int64) if exact else np.array([[sum(int(a) * int(b) for a, b in zip(x, y, strict=True)) for y in rows[ri]] for x in queries[qi]], np.int64)
+        got = products(queries[qi], rows[ri])
         got = np.where(row_ids[ri][None, :] == query_ids[qi][:, None], _NONE, got)  # a query's own rows
         # doubles of scores beyond 2**53 may be off by a little
         some = np.flatnonzero((got >= worst[qi][:, None] - 1e-12 * np.abs(worst[qi][:, None])).any(axis=0)) if np.isfinite(worst[qi]).all() else np.arange(len(ri))
@@ -145,7 +155,7 @@ def quantized(vectors: DataFrame) -> DataFrame:
     xs = F.transform("embedding", lambda x: x.cast("double"))
     fine = F.forall(xs, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     valid = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)).where(F.coalesce(fine, F.lit(False)))
-    return valid.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(xs, lambda x: F.floor(x * SCALE).cast("long")).alias("v"))
+    return valid.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(xs, lambda x: F.floor(F.greatest(F.least(x * SCALE, F.lit(float(LARGEST))), F.lit(-float(LARGEST)))).cast("long")).alias("v"))
 
 
 def pivots(rows: DataFrame, cells: int = CELLS) -> dict[int, np.ndarray]:

@@ -78,6 +78,13 @@ def test_scripts_with_many_letters_are_told_apart(spark):
         assert parser.predict(raw, np.array([0, len(raw)]))[0] == [lang]
 
 
+def test_labels_of_other_documents_take_no_places(spark):
+    docs = spark.createDataFrame([(i * 1000, f"text {i}") for i in range(200)] + [(7, None), (9, "x" * (sampling.MAX_LEARN_CHARS + 1))], "doc_id long, text string")
+    labels = spark.range(0, 400_000).select(sampling.F.col("id").alias("doc_id"), sampling.F.expr("cast(id % 2000 div 1000 as int)").alias("quality"))
+    rows, share = sampling.labelled_texts(docs, labels, "quality", sampling.F.lit(False), 150)
+    assert len(rows) == 200 and [y for _, y in rows].count(1) == 100 and share == 0.5
+
+
 def test_samples_are_whole_and_repeatable(spark):
     docs = spark.createDataFrame([(i, f"text {i}") for i in range(500)] + [(3, "another"), (None, "none")], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(500)] + [(3, 0), (None, 1)], "doc_id long, toxic int")

@@ -115,6 +115,26 @@ def test_join_of_odd_rows(odd, empty):
     assert ngram_join.ngram_join(empty).count() == 0
 
 
+def test_search_beyond_64_bits(spark):
+    big = float(np.float32(3e38))
+    rows = [(0, [1.0, big]), (1, [big, 1.0]), (2, [big, big]), (3, [-big, -big]), (4, [float(2**40), 0.5])]
+    found = topk_search.topk(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=3).collect()
+    most, up = 2**63 - 1, 2**62
+    assert [(r["rank"], r.vec_id, r.score) for r in sorted(found, key=lambda r: r["rank"])] == [(1, 1, most), (2, 2, most), (3, 4, min(most, 1024 * 2**50 + 512 * up))]
+
+
+def test_null_ids_send_one_text_each(spark):
+    texts = [sentence(k, 40 + k % 7) for k in range(150)]
+    docs = spark.createDataFrame([(None, t) for t in texts for _ in range(2)] + [(1, texts[0])], "doc_id long, text string")
+    sets = ngram_join.document_sets(docs)
+    wanted = sets.groupBy("set_id").agg(F.min(F.struct("text_sum", F.col("doc_id").isNull().alias("no_id"), "doc_id")).alias("from"))
+    sent = ngram_join.texts_of(docs, wanted).select("set_id", "text").collect()
+    assert len(sent) == len({r.set_id for r in sent}) == 150
+    got = ngram_join.ngram_join(docs).collect()
+    assert sorted(r.n_links for r in got) == [1] * 298 + [2] * 3
+    assert [r.component_id for r in got if r.component_id is not None] == [1, 1, 1]
+
+
 def test_search_of_odd_vectors(spark):
     g = np.random.default_rng(0)
     vectors = [(i, [float(np.float32(x)) for x in g.standard_normal(6)]) for i in range(400)]
