@@ -46,8 +46,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import Known, Runs, documents, mix64, resident, shared_dir, text_pieces, tidy
+from citeloom.llm.common import Known, Runs, documents, mix64, resident, text_pieces, tidy
 from citeloom.llm.vocabulary import default_path
+from citeloom.sources.scratch import temporary_path
 
 END = 2
 BLOCK, LANES = 1024, 3072
@@ -648,8 +649,6 @@ def token_table(spark: SparkSession, out: str) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
-
-    out = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    out = temporary_path(spark, "tokens")
     write_tokens(documents(spark, sf_dir), out)
     return token_table(spark, out)
