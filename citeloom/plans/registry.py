@@ -13,7 +13,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 #: Modules of this package that register queries.
-MODULES = ["catalog", "network", "resolution"]
+MODULES = ["catalog", "network", "resolution", "interchange"]
 
 
 def registered(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:

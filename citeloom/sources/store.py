@@ -168,6 +168,16 @@ class Store:
         order = Window.partitionBy("query_id", "provider").orderBy("place", "work_id")
         self.insert_new("query_works", rows.withColumn("place", F.coalesce("place", F.row_number().over(order))))
 
+    def save_queries(self, rows: DataFrame) -> None:
+        """Searches by id: saved again, a search is updated."""
+        self.upsert("search_queries", rows)
+
+    def save_progress(self, rows: DataFrame, order: str) -> None:
+        """What a provider has given to a query so far; of several reports of a batch the last in ``order`` stays."""
+        key = ["query_id", "provider"]
+        rest = [c for c in rows.columns if c not in (*key, order)]
+        self.upsert("search_query_providers", rows.groupBy(*key).agg(F.max_by(F.struct(*rest), order).alias("r")).select(*key, "r.*"))
+
     def project_queries(self, project: str) -> DataFrame:
         return self.read("search_queries").where(F.col("project_id") == project).orderBy(F.desc("created_at"), "id")
 
