@@ -70,8 +70,8 @@ def _heavy(rows: DataFrame, weight: int) -> DataFrame:
 def together(edges: DataFrame, by: str, item: str, min_weight: int = 1) -> DataFrame:
     """a < b and the number of keys that hold both, for pairs of at least ``min_weight``; edges are distinct."""
     rows = edges.select(F.col(by).alias("key"), F.col(item).alias("item"))
+    rows = stash(_heavy(rows, min_weight) if min_weight > 1 else rows, "pairs-rows")  # read several times
     if min_weight > 1:
-        rows = stash(_heavy(rows, min_weight), "pairs-heavy")
         largest = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
         if largest > BLOCK:
             found = _pairs(_prefixes(rows, min_weight)).select("a", "b").distinct()

@@ -88,6 +88,69 @@ def normalized_semantic_scholar(spark: SparkSession, d: str) -> DataFrame:
     return n.select(of("s2"), of("doi"), of("arxiv"), "title", "year", "cited_by_count", F.char_length("abstract").cast("long").alias("abstract_length"), F.get("authors", F.lit(0))["family"].alias("family"))
 
 
+@registered(with_works("SELECT lower('D' || seq) AS doaj, doi, trim(title) AS title, year, CASE WHEN seq % 2 = 0 THEN '1111-2222' ELSE '3333-4444' END AS issn, 'Open House' AS publisher, length(abstract) AS abstract_length, lang AS family FROM works WHERE trim(title) <> ''"))
+def normalized_doaj(spark: SparkSession, d: str) -> DataFrame:
+    """All works as DOAJ answers: typed identifiers, the electronic ISSN before the printed one."""
+    w = works(spark, d)
+    one = lambda kind, value: F.struct(value.alias("id"), F.lit(kind).alias("type"))
+    known = F.array_compact(F.array(one("pissn", F.lit("3333-4444")), F.when(F.col("raw_doi").isNotNull(), one("doi", F.col("raw_doi"))), F.when(F.col("seq") % 2 == 0, one("eissn", F.lit("1111-2222")))))
+    record = F.struct("title", F.col("year").cast("string").alias("year"), "abstract", known.alias("identifier"), F.array(F.struct(F.concat(F.col("lang"), F.lit(", Ann")).alias("name"))).alias("author"), F.struct(F.lit("Letters").alias("title"), F.lit("Open House").alias("publisher")).alias("journal"))
+    bodies = w.select(_answer(F.struct(F.concat(F.lit("D"), F.col("seq").cast("string")).alias("id"), record.alias("bibjson")), "doaj").alias("body"))
+    n = payloads.normalize(payloads.items_of(bodies, "doaj"), "doaj")
+    of = lambda ns: idf.find_namespace(F.col("ids"), ns).alias(ns)
+    return n.select(of("doaj"), of("doi"), "title", "year", F.col("venue.issn").alias("issn"), F.col("venue.publisher").alias("publisher"), F.char_length("abstract").cast("long").alias("abstract_length"), F.get("authors", F.lit(0))["family"].alias("family"))
+
+
+@registered(with_works("SELECT CAST(seq AS VARCHAR) AS ieee, doi, trim(title) AS title, year, cited_by_count, 'Letters' AS venue, lang AS family FROM works WHERE trim(title) <> ''"))
+def normalized_ieee(spark: SparkSession, d: str) -> DataFrame:
+    w = works(spark, d)
+    people = F.struct(F.array(F.struct(F.concat(F.lit("Ann "), F.col("lang")).alias("full_name"))).alias("authors"))
+    item = F.struct(F.col("raw_doi").alias("doi"), F.col("seq").cast("string").alias("article_number"), "title", F.col("year").alias("publication_year"), "abstract", people.alias("authors"), F.lit("Letters").alias("publication_title"), F.col("cited_by_count").alias("citing_paper_count"))
+    n = payloads.normalize(payloads.items_of(w.select(_answer(item, "ieee").alias("body")), "ieee"), "ieee")
+    of = lambda ns: idf.find_namespace(F.col("ids"), ns).alias(ns)
+    return n.select(of("ieee"), of("doi"), "title", "year", "cited_by_count", F.col("venue.name").alias("venue"), F.get("authors", F.lit(0))["family"].alias("family"))
+
+
+#: Characters that XML cannot hold, or that its readers change.
+_NO_XML = r"[\x00-\x08\x0B-\x1F]"
+
+
+def _element(tag: str, value: Column | str, attributes: str = "") -> Column:
+    value = F.coalesce((F.col(value) if isinstance(value, str) else value).cast("string"), F.lit(""))
+    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        value = F.replace(value, F.lit(char), F.lit(entity))
+    return F.concat(F.lit(f"<{tag}{attributes}>"), F.regexp_replace(value, _NO_XML, ""), F.lit(f"</{tag}>"))
+
+
+@registered(with_works(rf"SELECT arxiv, trim(regexp_replace(t, '\s+', ' ', 'g')) AS title, year, lang AS family, length(trim(regexp_replace(regexp_replace(abstract, '{_NO_XML}', '', 'g'), '\s+', ' ', 'g'))) AS abstract_length FROM (SELECT *, regexp_replace(title, '{_NO_XML}', '', 'g') AS t FROM works) WHERE arxiv IS NOT NULL AND trim(t) <> ''"))
+def normalized_arxiv(spark: SparkSession, d: str) -> DataFrame:
+    """All works with an arXiv number as feed entries in XML: versions cut off, white space collapsed."""
+    w = works(spark, d).where("raw_arxiv is not null")
+    number = F.concat(F.lit("http://arxiv.org/abs/"), F.regexp_replace("raw_arxiv", "^arXiv:", ""), F.lit("v2"))
+    author = F.concat(F.lit("<author>"), _element("name", F.concat(F.lit("Ann "), F.col("lang"))), F.lit("</author>"))
+    entry = F.concat(F.lit("<feed><entry>"), _element("id", number), _element("title", "title"), _element("summary", "abstract"), _element("published", F.concat(F.col("year").cast("string"), F.lit("-05-01T00:00:00Z"))), author, author, F.lit("</entry></feed>"))
+    n = payloads.normalize(payloads.items_of(w.select(entry.alias("body")), "arxiv"), "arxiv")
+    return n.select(idf.find_namespace(F.col("ids"), "arxiv").alias("arxiv"), "title", "year", F.get("authors", F.lit(1))["family"].alias("family"), F.char_length("abstract").cast("long").alias("abstract_length"))
+
+
+@registered(with_works(rf"SELECT CAST(seq AS VARCHAR) AS pubmed, doi, trim(t) AS title, CASE WHEN seq % 2 = 0 THEN year ELSE 1999 END AS year, lang AS family, '{ORCID}' AS orcid, 'Letters' AS venue FROM (SELECT *, regexp_replace(title, '{_NO_XML}', '', 'g') AS t FROM works) WHERE trim(t) <> ''"))
+def normalized_pubmed(spark: SparkSession, d: str) -> DataFrame:
+    """All works as PubMed articles in XML: dates in two forms, the DOI from either place, group authors left out."""
+    w = works(spark, d)
+    date = F.when(F.col("seq") % 2 == 0, _element("Year", F.col("year"))).otherwise(_element("MedlineDate", F.lit("1999 Jan-Feb")))
+    people = F.concat(F.lit("<AuthorList><Author><CollectiveName>All</CollectiveName></Author><Author>"), _element("LastName", "lang"), _element("ForeName", F.lit("Ann")), _element("Identifier", F.lit(f"https://orcid.org/{ORCID}")), F.lit("</Author></AuthorList>"))
+    has = F.col("raw_doi").isNotNull()
+    inside = F.when(has & (F.col("seq") % 2 == 0), _element("ELocationID", "raw_doi", ' EIdType="doi"')).otherwise(F.lit(""))
+    outside = F.when(has & (F.col("seq") % 2 != 0), F.concat(F.lit("<PubmedData><ArticleIdList>"), _element("ArticleId", "raw_doi", ' IdType="doi"'), F.lit("</ArticleIdList></PubmedData>"))).otherwise(F.lit(""))
+    journal = F.concat(F.lit("<Journal>"), _element("Title", F.lit("Letters")), F.lit("<JournalIssue><PubDate>"), date, F.lit("</PubDate></JournalIssue></Journal>"))
+    article = F.concat(F.lit("<Article>"), journal, _element("ArticleTitle", "title"), inside, people, F.lit("</Article>"))
+    body = F.concat(F.lit("<Set><PubmedArticle><MedlineCitation>"), _element("PMID", F.col("seq")), article, F.lit("</MedlineCitation>"), outside, F.lit("</PubmedArticle></Set>"))
+    n = payloads.normalize(payloads.items_of(w.select(body.alias("body")), "pubmed"), "pubmed")
+    of = lambda ns: idf.find_namespace(F.col("ids"), ns).alias(ns)
+    first = F.get("authors", F.lit(0))
+    return n.select(of("pubmed"), of("doi"), "title", "year", first["family"].alias("family"), first["orcid"].alias("orcid"), F.col("venue.name").alias("venue"))
+
+
 @registered(
     with_works(
         "SELECT source_provider, CAST(count(*) AS BIGINT) AS result_count, CAST(NULL AS VARCHAR) AS skip_reason, CAST(CASE source_provider WHEN 'openalex' THEN 40 ELSE 30 END AS BIGINT) AS latency_ms FROM works WHERE source_provider = 'openalex' OR (source_provider = 'crossref' AND trim(title) <> '') GROUP BY 1 UNION ALL SELECT 'ieee', 0, 'no key', 5"

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from citeloom.functions import identifiers as idf
 from citeloom.functions import paths, records
-from citeloom.functions.text import normalize_author
+from citeloom.functions.text import cluster_name, normalize_author
 from citeloom.operators import arrival, dedup, ranks, review, summaries
 from citeloom.operators.corpus import browse, shared_persons
 from citeloom.plans.catalog import ELECT_SQL, FULL_CLUSTERS, IDS_SQL, LATEST_SQL, SCORE_SQL
 from citeloom.plans.registry import registered, with_works
 from citeloom.sources import records_io
-from citeloom.sources.projection import decisions, table, works
+from citeloom.sources.projection import AUTHORS_SQL, decisions, table, work_authors, works
 
 # ---------------------------------------------------------------- persons and merges
 
@@ -64,6 +64,14 @@ def merge_in_arrival_order(spark: SparkSession, d: str) -> DataFrame:
     return arrival.first_matches(works(spark, d), [side])
 
 
+@registered(f"WITH {AUTHORS_SQL}, lists AS (SELECT seq, list(name ORDER BY position, name) AS a FROM authors GROUP BY 1) SELECT seq, a[1] AS first_author, a[-1] AS last_author, a[3] AS third_author, CAST(len(a) AS BIGINT) AS n, len(a) = 1 AS alone, substr(sha256(CAST(seq AS VARCHAR)), 1, 10) AS short_name FROM lists")
+def author_lists(spark: SparkSession, d: str) -> DataFrame:
+    """What a list of authors can be asked, and the repeatable short name of a work."""
+    lists = work_authors(spark, d).groupBy("seq").agg(F.transform(F.sort_array(F.collect_list(F.struct("position", "name"))), lambda x: x["name"]).alias("a"))
+    at = lambda k: F.try_element_at("a", F.lit(k))
+    return lists.select("seq", at(1).alias("first_author"), at(-1).alias("last_author"), at(3).alias("third_author"), F.size("a").cast("long").alias("n"), (F.size("a") == 1).alias("alone"), cluster_name(F.col("seq")).alias("short_name"))
+
+
 # ---------------------------------------------------------------- runs and ranks
 
 @registered(
