@@ -152,7 +152,10 @@ def fuse_clusters(works: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def deduplicate(works: DataFrame, policies: list[str] | None = None) -> DataFrame:
-    return clusters(works, detect(works, select_policies(policies)))
+    """seq, cluster_id.  What the policies compare is worked out once and kept as a narrow table; texts are not read again."""
+    compared = [c for c in ("seq", "ids", "norm_title", "year", "authors") if c in works.columns]
+    narrow = stash(works.select(*compared), "dedup-keys")
+    return clusters(narrow, detect(narrow, select_policies(policies)))
 
 
 def summary(works: DataFrame, members: DataFrame) -> DataFrame:

@@ -141,6 +141,7 @@ def hits(edges: DataFrame, rounds: int = 20) -> DataFrame:
         then = stash(now.select("node").join(hub, "node", "left").join(auth, "node", "left").select("node", F.coalesce("hub", F.lit(0.0)).alias("hub"), F.coalesce("authority", F.lit(0.0)).alias("authority")), "hits")
         drop_stash(now, auth_sums, hub_sums)
         now = then
+    drop_stash(links)
     return now
 
 
@@ -286,6 +287,7 @@ def local_clustering(edges: DataFrame, nodes: DataFrame | None = None) -> DataFr
 
 def network_metrics(edges: DataFrame) -> DataFrame:
     """node_count, edge_count, density, avg_clustering: one row."""
+    edges = stash(edges.select("src", "dst"), "metrics-edges")  # read several times
     a = local_clustering(edges).agg(F.count(F.lit(1)).alias("node_count"), F.avg("clustering").alias("avg_clustering"))
     b = edges.agg(F.count(F.lit(1)).alias("edge_count"))
     n = F.col("node_count")

@@ -12,6 +12,7 @@ from citeloom.operators.corpus import Corpus, identity_groups
 from citeloom.plans import registry
 from citeloom.plans.registry import Query, registered, with_works
 from citeloom.sources.projection import AUTHORS_SQL, CITATIONS_SQL, DECISIONS_SQL, citations, decisions, norm_sql, table, work_authors, works
+from citeloom.sources.scratch import stash
 
 IDS_SQL = """wids AS (
   SELECT seq, 'doi' AS ns, doi AS value FROM works WHERE doi IS NOT NULL UNION ALL SELECT seq, 'arxiv', arxiv FROM works WHERE arxiv IS NOT NULL
@@ -138,7 +139,7 @@ def per_source_limit(spark: SparkSession, d: str) -> DataFrame:
 def union_sources(spark: SparkSession, d: str) -> DataFrame:
     from citeloom.operators.corpus import union_sources as union
 
-    w = works(spark, d).select("source_provider", "seq")
+    w = stash(works(spark, d).select("source_provider", "seq"), "by-source")
     return union([w.where(F.col("source_provider") == s) for s in records.SOURCES]).withColumn("source_rank", records.source_rank(F.col("source_provider")))
 
 

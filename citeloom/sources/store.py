@@ -44,6 +44,10 @@ class ProjectLocked(Exception):
     pass
 
 
+class ChangedMeanwhile(Exception):
+    """Another writer changes, or has changed, the table that a change began from."""
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -70,31 +74,50 @@ class Store:
             return self.spark.createDataFrame([], TABLES[table][0])
         return self.spark.read.schema(TABLES[table][0]).parquet(f"{self.root}/{table}/v{n}")
 
-    def replace(self, table: str, df: DataFrame) -> None:
-        """The next version; older ones but the last are deleted."""
-        n = self.version(table)
-        whole = self.spark.createDataFrame([], TABLES[table][0]).unionByName(df, allowMissingColumns=True)
-        whole.write.mode("overwrite").parquet(f"{self.root}/{table}/v{n + 1}")
+    def replace(self, table: str, df: DataFrame, base: int | None = None) -> None:
+        """The version after ``base`` (the newest, if not given), from which ``df`` was made; older ones but the last are deleted.
+
+        A writer claims the version by a file that only one can create, so of two that began from one version the second
+        raises and can begin again; nothing is lost in silence.  A writer that died leaves its claim (see ``release``).
+        """
+        n = self.version(table) if base is None else base
+        fs, claim = self._fs(f"{self.root}/{table}/claim-v{n + 1}")
+        if not fs.createNewFile(claim):
+            raise ChangedMeanwhile(f"another writer is at version {n + 1} of {table}")
+        try:
+            if self.version(table) != n:
+                raise ChangedMeanwhile(f"{table} has another version than {n} by now")
+            whole = self.spark.createDataFrame([], TABLES[table][0]).unionByName(df, allowMissingColumns=True)
+            whole.write.mode("overwrite").parquet(f"{self.root}/{table}/v{n + 1}")
+        finally:
+            fs.delete(claim, False)
         if n > 1:
             fs, p = self._fs(f"{self.root}/{table}/v{n - 1}")
             fs.delete(p, True)
 
+    def release(self, table: str) -> None:
+        """Drop the claim of a writer that is known to be dead."""
+        fs, claim = self._fs(f"{self.root}/{table}/claim-v{self.version(table) + 1}")
+        fs.delete(claim, False)
+
     def upsert(self, table: str, rows: DataFrame, by: list[str] | None = None) -> None:
         """Rows whose key is there replace the old ones, others are added; of rows with one primary key, the first stays."""
         key = by or TABLES[table][1]
         if not by or by == TABLES[table][1]:
             rows = _first(rows, key)
+        base = self.version(table)
         kept = self.read(table).join(rows.select(*key).distinct(), key, "left_anti")
-        self.replace(table, kept.unionByName(rows, allowMissingColumns=True))
+        self.replace(table, kept.unionByName(rows, allowMissingColumns=True), base)
 
     def insert_new(self, table: str, rows: DataFrame) -> None:
         """Rows whose key is new; the first wins."""
         key = TABLES[table][1]
-        old = self.read(table)
-        self.replace(table, old.unionByName(_first(rows, key).join(old.select(*key), key, "left_anti"), allowMissingColumns=True))
+        base, old = self.version(table), self.read(table)
+        self.replace(table, old.unionByName(_first(rows, key).join(old.select(*key), key, "left_anti"), allowMissingColumns=True), base)
 
     def delete(self, table: str, keys: DataFrame, on: list[str]) -> None:
-        self.replace(table, self.read(table).join(keys.select(*on).distinct(), on, "left_anti"))
+        base = self.version(table)
+        self.replace(table, self.read(table).join(keys.select(*on).distinct(), on, "left_anti"), base)
 
     # works
     def save_works(self, records: DataFrame) -> None:

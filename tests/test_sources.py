@@ -187,6 +187,21 @@ def test_pubmed_goes_on_from_an_offset(history):
     assert got == (["300+200"] if history else ["300"])
 
 
+def test_two_writers_of_one_version(spark, tmp_path):
+    from citeloom.sources.store import ChangedMeanwhile, Store
+
+    store = Store(spark, f"file://{tmp_path}")
+    row = spark.createDataFrame([("p", "name")], "id string, name string")
+    store.upsert("projects", row)
+    (tmp_path / "projects" / "claim-v2").touch()  # another writer has begun
+    with pytest.raises(ChangedMeanwhile):
+        store.upsert("projects", row.withColumn("name", F.lit("other")))
+    assert store.read("projects").first().name == "name"
+    store.release("projects")
+    store.upsert("projects", row.withColumn("name", F.lit("other")))
+    assert store.read("projects").first().name == "other" and not list((tmp_path / "projects").glob("claim*"))
+
+
 def test_the_first_of_equal_keys_is_kept(spark, tmp_path):
     from citeloom.sources.store import Store
 
