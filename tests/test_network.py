@@ -49,6 +49,38 @@ def test_strongest_partners_with_early_stop(spark, hubby, monkeypatch, threshold
     assert {(r.node, r["rank"], r.other, r.weight) for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("block", [7, 2048])
+def test_pairs_of_hot_items_are_dealt_over_tasks(spark, hubby, monkeypatch, block):
+    monkeypatch.setattr(pairs, "BLOCK", block)
+    monkeypatch.setattr(pairs, "PAIRS_A_TASK", 150)
+    monkeypatch.setattr(pairs, "HUBS", 40)
+    counted = pairs._counted(table(spark, hubby).selectExpr("src as key", "dst as item"))
+    assert {(r.a, r.b): r.weight for r in counted.collect()} == weights(hubby)
+    assert counted.rdd.getNumPartitions() >= sum(weights(hubby).values()) // 150, "tasks do not grow with the pairs"
+
+
+def test_strongest_partners_without_hubs_are_counted_at_once(spark, hubby):
+    both = defaultdict(list)
+    for (a, b), w in weights(hubby).items():
+        both[a].append((-w, b))
+        both[b].append((-w, a))
+    want = {(a, k, b, -w) for a, found in both.items() for k, (w, b) in enumerate(sorted(found)[:3], 1)}
+    found = pairs.strongest(table(spark, hubby), "src", "dst", 3)
+    assert {(r.node, r["rank"], r.other, r.weight) for r in found.collect()} == want
+
+
+@pytest.mark.parametrize("block", [7, 2048])
+def test_the_backbone_is_small_and_has_the_whole_forest(spark, monkeypatch, block):
+    monkeypatch.setattr(pairs, "BLOCK", block)
+    edges = {(s, d) for s, d in random_edges(8, 60, 400)} | {(99, d) for d in range(40)}
+    every = {(a, b, w) for (a, b), w in weights(edges).items()}
+    some = graph.co_citation_backbone(table(spark, edges))
+    rows = {(r.a, r.b, r.weight) for r in some.collect()}
+    assert rows < every
+    got = {(r.a, r.b, r.weight) for r in forests.spanning_forest(some, largest=True, simple=True).collect()}
+    assert got == kruskal(every, -1)
+
+
 def random_edges(seed, n, m):
     rng = random.Random(seed)
     return {(a, b) for a, b in ((rng.randrange(n), rng.randrange(n)) for _ in range(m)) if a != b}
