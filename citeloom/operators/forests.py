@@ -10,18 +10,21 @@ from citeloom.operators.graph import nodes_of, topological_levels
 from citeloom.sources.scratch import drop_stash, stash, stashed_union
 
 
-def spanning_forest(edges: DataFrame, largest: bool = False) -> DataFrame:
+def spanning_forest(edges: DataFrame, largest: bool = False, simple: bool = False) -> DataFrame:
     """a < b, weight: the spanning forest of least (or largest) weight of an undirected graph (a, b, weight).
 
     Rounds of Boruvka: every component picks its best edge leading out, the picked ones contract it with others, and of edges that
     are parallel then the best stays.  Equal weights are ordered by (a, b), so the forest is one and has no cycle.
-    The number of components at least halves in a round.
+    The number of components at least halves in a round.  ``simple``: each pair has one row, a < b.
     """
     cost = -F.col("weight") if largest else F.col("weight")
-    plain = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "weight", cost.alias("cost"))
-    one = plain.groupBy("a", "b").agg(F.min(F.struct("cost", "weight")).alias("e")).select("a", "b", "e.weight", "e.cost")
-    now = stash(one.select("cost", "a", "b", "weight", F.col("a").alias("ca"), F.col("b").alias("cb")), "forest-edges")
-    edge = F.struct("cost", "a", "b", "weight", "ca", "cb")
+    if simple:
+        one = edges.select("a", "b", cost.alias("cost"))
+    else:
+        plain = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), cost.alias("cost"))
+        one = plain.groupBy("a", "b").agg(F.min("cost").alias("cost"))
+    now = stash(one.select("cost", "a", "b", F.col("a").alias("ca"), F.col("b").alias("cb")), "forest-edges")
+    edge = F.struct("cost", "a", "b", "ca", "cb")
     picked: list[DataFrame] = []
     while True:
         ends = now.select(F.col("ca").alias("c"), edge.alias("e")).union(now.select(F.col("cb").alias("c"), edge.alias("e")))
@@ -33,11 +36,12 @@ def spanning_forest(edges: DataFrame, largest: bool = False) -> DataFrame:
         parts = stash(connected_components(best.select(F.col("ca").alias("a"), F.col("cb").alias("b"))), "forest-parts")
         of = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"new_{c}"))  # noqa: E731, B023
         moved = now.join(of("ca"), "ca").join(of("cb"), "cb").where("new_ca <> new_cb")
-        moved = moved.select("cost", "a", "b", "weight", F.least("new_ca", "new_cb").alias("ca"), F.greatest("new_ca", "new_cb").alias("cb"))
-        then = stash(moved.groupBy("ca", "cb").agg(F.min(F.struct("cost", "a", "b", "weight")).alias("e")).select("e.*", "ca", "cb"), "forest-edges")
+        moved = moved.select("cost", "a", "b", F.least("new_ca", "new_cb").alias("ca"), F.greatest("new_ca", "new_cb").alias("cb"))
+        then = stash(moved.groupBy("ca", "cb").agg(F.min(F.struct("cost", "a", "b")).alias("e")).select("e.*", "ca", "cb"), "forest-edges")
         drop_stash(now, parts)
         now = then
-    return (stashed_union(picked) if picked else now).select("a", "b", "weight").distinct()
+    weight = (-F.col("cost") if largest else F.col("cost")).alias("weight")
+    return (stashed_union(picked) if picked else now).select("a", "b", weight).distinct()
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
