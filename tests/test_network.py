@@ -220,3 +220,21 @@ def test_a_round_exchanges_messages_alone(spark):
         spark.conf.unset("spark.sql.adaptive.enabled")
         layout.drop()
     assert plan.count("Exchange hashpartitioning") == 1, plan
+
+
+def test_settled_nodes_are_not_read_again(spark, monkeypatch):
+    """A long tail: works of a dense block settle at once, a chain falls one by one; a round reads short works alone."""
+    chain = {(k, k + 1) for k in range(100, 112)}
+    edges = {(a, b) for a in range(8) for b in range(8) if a != b} | chain
+    read, real = [], graph.stash
+
+    def counted(df, name):
+        out = real(df, name)
+        if name == "cores-changed":
+            read.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "stash", counted)
+    got = {r.node: r.core for r in graph.core_numbers(table(spark, edges)).collect()}
+    assert got == {v: 7 if v < 8 else 0 for e in edges for v in e}
+    assert len(read) > 5 and max(read[1:]) <= 2
