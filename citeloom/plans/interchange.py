@@ -25,11 +25,23 @@ def _answer(item: Column, source: str) -> Column:
     return F.to_json(inside)
 
 
+def index_of_words(said: Column) -> Column:
+    """{word: [places]}: words sorted with their places, then cut where the word changes, so that each place is read once."""
+    ordered = F.sort_array(F.transform(said, lambda word, i: F.struct(word.alias("w"), i.alias("i"))))
+
+    def cut(sorted_: Column) -> Column:
+        last = F.size(sorted_) - 1
+        starts = F.filter(F.sequence(F.lit(0), last), lambda k: (k == 0) | (F.get(sorted_, k)["w"] != F.get(sorted_, k - 1)["w"]))
+        bounds = F.transform(F.array(starts), lambda b: F.zip_with(b, F.slice(b, F.lit(2), F.size(b)), lambda start, end: F.struct(start.alias("start"), (end - 1).alias("end"))))[0]
+        return F.map_from_entries(F.transform(bounds, lambda r: F.struct(F.get(sorted_, r["start"])["w"], F.transform(F.sequence(r["start"], F.coalesce(r["end"], last)), lambda k: F.get(sorted_, k)["i"]))))
+
+    # an array of one array: within the lambda it is a value, and not made again for each element
+    return F.get(F.transform(F.array(ordered), cut), F.lit(0))
+
+
 def openalex_items(w: DataFrame) -> Column:
     """Works as items of an OpenAlex answer; the abstract is an inverted index of the title's words."""
-    said = F.split("title", " ")
-    places = lambda word: F.filter(F.sequence(F.lit(0), F.size(said) - 1), lambda i: F.get(said, i) == word)
-    index = F.map_from_entries(F.transform(F.array_distinct(said), lambda word: F.struct(word, places(word))))
+    index = index_of_words(F.split("title", " "))
     name = F.concat(F.lit("https://openalex.org/W"), F.col("seq").cast("string"))
     author = F.struct(F.struct(F.concat(F.lit("Ann van "), F.col("lang")).alias("display_name"), F.lit(f"https://orcid.org/{ORCID}").alias("orcid")).alias("author"))
     place = F.struct(F.struct(F.concat(F.lit("Letters of "), F.col("source_provider")).alias("display_name"), F.lit("1234-5678").alias("issn_l"), F.lit("journal").alias("type")).alias("source"))

@@ -92,7 +92,8 @@ def abstract_of_index(index: Column) -> Column:
     """{word: [places]} as a text.  Of two words on one place, the one that sorts last is kept."""
     spots = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
     ordered = F.sort_array(spots)
-    last = F.filter(F.transform(ordered, lambda x, i: F.struct(x["w"].alias("w"), (F.get(ordered, i + 1)["p"].eqNullSafe(x["p"])).alias("again"))), lambda x: ~x["again"])
+    # beside the next one, not looked up: an array that a lambda names is made again for each element
+    last = F.filter(F.zip_with(ordered, F.slice(ordered, F.lit(2), F.size(ordered)), lambda x, y: F.struct(x["w"].alias("w"), y["p"].eqNullSafe(x["p"]).alias("again"))), lambda x: ~x["again"])
     return F.nullif(F.array_join(F.transform(last, lambda x: x["w"]), " "), F.lit(""))
 
 
