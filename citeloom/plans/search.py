@@ -29,6 +29,17 @@ def with_seq(records: DataFrame) -> DataFrame:
     return stash(records.withColumn("seq", F.monotonically_increasing_id()), "search")
 
 
+def first_of_each(raw: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` records of each source, by ``seq`` of ``with_seq``: its upper bits number the partitions, the lower ones the
+    rows in one.  Only the partitions' counts are put in order, a row each; a source's records are never brought together."""
+    part = F.shiftright("seq", 33)
+    counts = raw.groupBy("source_provider", part.alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))
+    earlier = Window.partitionBy("source_provider").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(F.col("source_provider").alias("_source"), "_part", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_start"))
+    met = raw.join(F.broadcast(starts), (F.col("source_provider") == F.col("_source")) & (part == F.col("_part")))
+    return met.where(F.col("_start") + F.col("seq").bitwiseAND((1 << 33) - 1) < n).select(*raw.columns)
+
+
 def aggregate(frames: dict[str, DataFrame], max_results: int = 100, failed: dict[str, str] | None = None, cache: ResultCache | None = None, key: str | None = None, policies: list[str] | None = None, latency: DataFrame | None = None, spark: SparkSession | None = None) -> SearchResult:
     """Records of each source (at most ``max_results``), united in registration order and resolved.
 
@@ -43,8 +54,7 @@ def aggregate(frames: dict[str, DataFrame], max_results: int = 100, failed: dict
         nothing = spark.createDataFrame([], payloads.FIELDS["openalex"])
         frames, order = {"openalex": payloads.normalize(nothing, "openalex")}, ["openalex"]
     raw = with_seq(union_sources([frames[s] for s in order]))
-    place = F.row_number().over(Window.partitionBy("source_provider").orderBy("seq"))
-    raw = raw.withColumn("_n", place).where(F.col("_n") <= max_results).drop("_n").withColumn("norm_title", normalize_title(F.col("title")))
+    raw = first_of_each(raw, max_results).withColumn("norm_title", normalize_title(F.col("title")))
     stats = raw.groupBy("source_provider").agg(F.count(F.lit(1)).alias("result_count")).withColumn("skip_reason", F.lit(None).cast("string"))
     if failed:
         stats = stats.unionByName(spark.createDataFrame([(s, 0, why) for s, why in sorted(failed.items())], "source_provider string, result_count long, skip_reason string"))

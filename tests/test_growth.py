@@ -22,3 +22,19 @@ def test_an_inverted_index_of_a_long_text_takes_linear_time(spark):
 def test_two_words_on_one_place_and_gaps(spark):
     df = spark.createDataFrame([({"a": [0, 5], "c": [5], "b": [5, 9]},)], "i map<string,array<int>>")
     assert df.select(payloads.abstract_of_index(F.col("i"))).first()[0] == "a c b"
+
+
+def test_the_first_of_each_source_are_not_brought_together(spark):
+    from citeloom.plans import search
+
+    of = lambda source, start, end: spark.range(start, end, 1, 4).select(F.lit(source).alias("source_provider"), "id")
+    df = of("b", 0, 150).union(of("a", 150, 200))
+    raw = search.with_seq(df)
+    plan = search.first_of_each(raw, 1 << 40)
+    under = plan.selectExpr("id + 1 as id")._jdf.queryExecution().executedPlan().toString()
+    # what is put in order is the counts, which do not have the rows' own columns
+    assert plan.count() == 200 and "Window" in under and not any("id#" in line for line in under.split("\n") if "Exchange hashpartitioning" in line)
+    assert all(" Sort " not in line or "_part#" in line for line in under.split("\n"))
+    for n in (0, 1, 31, 170):
+        got = sorted((r.source_provider, r.id) for r in search.first_of_each(raw, n).collect())
+        assert got == [("a", k) for k in range(150, 150 + min(n, 50))] + [("b", k) for k in range(min(n, 150))]
