@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from citeloom.functions import identifiers as idf
 from citeloom.functions import records
+from citeloom.operators import skew
 from citeloom.operators.components import connected_components
+from citeloom.sources.scratch import stash
 
 
 class Corpus:
@@ -145,23 +147,27 @@ def fuse(df: DataFrame, by: str, order: list[Column]) -> DataFrame:
 
 
 def shared_authors(authors: DataFrame, other: DataFrame) -> DataFrame:
-    """Rows of ``authors`` (with normalized) whose person the other list has too."""
-    return authors.join(other.select("normalized").distinct(), "normalized", "left_semi")
+    """Rows of ``authors`` (with normalized) whose person the other list has too.  A name may be that of most rows."""
+    return skew.semi_join(authors, other.select("normalized").distinct(), "normalized")
 
 
 def shared_persons(authors: DataFrame, other: DataFrame) -> DataFrame:
     """Rows of ``authors`` (with orcid and normalized) whose person the other list has: by ORCID if both have one, else by name.
 
-    A disjunction of equalities, so equi-joins with an exclusion: rows with an ORCID look for it, and those not found for
-    the name of somebody without one; rows without an ORCID look for the name of anybody.
+    A disjunction of equalities, so equi-joins with an exclusion, over the different persons: those with an ORCID look for it, and
+    those not found for the name of somebody without one; persons without an ORCID look for the name of anybody.  Rows are
+    then joined with the persons found, so none travels but to its person.
     """
     orcids = other.where(F.col("orcid").isNotNull()).select("orcid").distinct()
     names = other.where(F.col("normalized").isNotNull()).groupBy("normalized").agg(F.bool_or(F.col("orcid").isNull()).alias("_open"))
-    known, unknown = authors.where(F.col("orcid").isNotNull()), authors.where(F.col("orcid").isNull())
+    persons = stash(authors.select("orcid", "normalized").distinct(), "persons")
+    known, unknown = persons.where(F.col("orcid").isNotNull()), persons.where(F.col("orcid").isNull())
     by_orcid = known.join(orcids, "orcid", "left_semi")
     by_open_name = known.join(orcids, "orcid", "left_anti").join(names.where("_open"), "normalized", "left_semi")
     by_name = unknown.join(names, "normalized", "left_semi")
-    return by_orcid.select(*authors.columns).union(by_open_name.select(*authors.columns)).union(by_name.select(*authors.columns))
+    who = F.struct("orcid", "normalized").alias("_who")
+    found = by_orcid.select(who).union(by_open_name.select(who)).union(by_name.select(who))
+    return skew.semi_join(authors.withColumn("_who", who), found, "_who").select(*authors.columns)
 
 
 def browse(works: DataFrame, sources: list[str] | None = None, year_from: int | None = None, year_to: int | None = None, open_access: bool | None = None, has_abstract: bool | None = None, min_completeness: int | None = None) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from citeloom.sources.scratch import stash
+
 #: A key with over 1 / ``HUBS`` of all rows is a hub, so there are fewer than ``HUBS`` hubs.
 HUBS = 1000
 
@@ -15,3 +17,10 @@ def join_by(rows: DataFrame, about: DataFrame, key: str, times: Column, total: i
     hub = times > max(total // HUBS, HUBS)
     hubs = F.broadcast(about.where(hub))
     return rows.join(hubs, key).union(rows.join(hubs.select(key), key, "left_anti").join(about.where(~hub), key))
+
+
+def semi_join(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """``rows`` whose key ``wanted`` (one row a key) has, however many rows hold one key."""
+    times = stash(rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_times")), "times")
+    total = times.agg(F.sum("_times")).first()[0] or 0
+    return join_by(rows, times.join(wanted.select(key), key), key, F.col("_times"), total).select(*rows.columns)

@@ -13,7 +13,7 @@ from citeloom.operators.corpus import browse, shared_persons
 from citeloom.plans.catalog import ELECT_SQL, FULL_CLUSTERS, IDS_SQL, LATEST_SQL, SCORE_SQL
 from citeloom.plans.registry import registered, with_works
 from citeloom.sources import records_io
-from citeloom.sources.projection import AUTHORS_SQL, decisions, table, work_authors, works
+from citeloom.sources.projection import AUTHORS_SQL, authored, decisions, table, work_authors, works
 
 # ---------------------------------------------------------------- persons and merges
 
@@ -35,10 +35,11 @@ def person_intersect(spark: SparkSession, d: str) -> DataFrame:
     parts = table(spark, d, "part").select("p_partkey", F.col("p_name").alias("name"))
     number = F.lpad((F.col("p_partkey") % 400).cast("string"), 4, "0")
     people = parts.withColumn("orcid", F.when(F.col("p_partkey") % 3 != 0, F.concat(F.lit("0000-0000-0000-"), number))).withColumn("normalized", normalize_author(F.col("name")))
-    status = table(spark, d, "orders").select(F.col("o_orderkey").alias("seq"), (F.col("o_orderstatus") == "F").alias("mine"))
-    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("seq"), F.col("l_partkey").alias("p_partkey"), F.col("l_linenumber").alias("position"))
-    every = lines.join(people, "p_partkey").join(status, "seq")
-    return shared_persons(every.where("mine"), every.where("not mine")).select("seq", "position", "name", "orcid").distinct()
+    people = people.withColumnRenamed("p_partkey", "l_partkey")
+    lines = authored(spark, d, "l_partkey")
+    theirs = people.join(lines.where("not mine").select("l_partkey").distinct(), "l_partkey", "left_semi")
+    shared = shared_persons(people, theirs).select("l_partkey", "name", "orcid")
+    return lines.where("mine").join(shared, "l_partkey").select("seq", "position", "name", "orcid").distinct()
 
 
 SIDE_SQL = "CASE WHEN source_provider IN ('crossref', 'openalex') THEN 0 ELSE 1 END"

@@ -38,3 +38,33 @@ def test_the_first_of_each_source_are_not_brought_together(spark):
     for n in (0, 1, 31, 170):
         got = sorted((r.source_provider, r.id) for r in search.first_of_each(raw, n).collect())
         assert got == [("a", k) for k in range(150, 150 + min(n, 50))] + [("b", k) for k in range(min(n, 150))]
+
+
+def test_a_name_that_most_rows_hold_is_not_one_tasks(spark):
+    from citeloom.operators import corpus
+
+    authors = spark.range(6000).selectExpr("id", "if(id % 100 = 7, concat('n', id), if(id = 5, null, 'same')) as normalized", "cast(null as string) as orcid")
+    other = spark.createDataFrame([("same", None), ("n107", None), (None, None)], "normalized string, orcid string")
+    want = {k for k in range(6000) if k % 100 != 7 and k != 5} | {107}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for of in (corpus.shared_authors, corpus.shared_persons):
+            found = of(authors, other)
+            assert {r.id for r in found.collect()} == want
+            assert max(found.rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect()) < 4000, "all rows of a name came to one task"
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_persons_by_orcid_or_name(spark):
+    from itertools import product
+
+    from citeloom.operators import corpus
+
+    both = [(o, n) for o, n in product(("1", "2", None), ("a", "b", "c", None))]
+    authors = spark.createDataFrame([(k, o, n) for k, (o, n) in enumerate(both + both)], "id long, orcid string, normalized string")
+    theirs = [("1", "x"), (None, "a"), ("3", "b"), (None, None)]
+    want = [k for k, (o, n) in enumerate(both + both) if any((o is not None and o == p) or (n is not None and n == m and (o is None or p is None)) for p, m in theirs)]
+    assert sorted(r.id for r in corpus.shared_persons(authors, spark.createDataFrame(theirs, "orcid string, normalized string")).collect()) == want
