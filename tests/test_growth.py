@@ -68,3 +68,20 @@ def test_persons_by_orcid_or_name(spark):
     theirs = [("1", "x"), (None, "a"), ("3", "b"), (None, None)]
     want = [k for k, (o, n) in enumerate(both + both) if any((o is not None and o == p) or (n is not None and n == m and (o is None or p is None)) for p, m in theirs)]
     assert sorted(r.id for r in corpus.shared_persons(authors, spark.createDataFrame(theirs, "orcid string, normalized string")).collect()) == want
+
+
+def test_levels_that_hold_most_pairs_do_not_send(spark, monkeypatch):
+    import random
+
+    from test_network import plain_betweenness, table
+
+    from citeloom.operators import centrality
+
+    rng = random.Random(3)
+    edges = {(a, b) for a, b in ((rng.randrange(120), rng.randrange(120)) for _ in range(900)) if a != b} | {(0, 200), (200, 201), (201, 202)}
+    made, real = [], centrality.stash
+    monkeypatch.setattr(centrality, "stash", lambda df, name: made.append((name, str(df._jdf.queryExecution().optimizedPlan()))) or real(df, name))
+    got = {r.node: r.betweenness for r in centrality.betweenness(table(spark, edges), spark.createDataFrame([(0,), (1,), (2,)], "node long")).collect()}
+    want = plain_betweenness(edges, (0, 1, 2))
+    assert got.keys() == {x for e in edges for x in e} and all(abs(got[v] - want[v]) < 1e-9 for v in got)
+    assert any(name == "rest" for name, _ in made), "pairs reached last sent along all their edges"
