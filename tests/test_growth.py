@@ -85,3 +85,24 @@ def test_levels_that_hold_most_pairs_do_not_send(spark, monkeypatch):
     want = plain_betweenness(edges, (0, 1, 2))
     assert got.keys() == {x for e in edges for x in e} and all(abs(got[v] - want[v]) < 1e-9 for v in got)
     assert any(name == "rest" for name, _ in made), "pairs reached last sent along all their edges"
+
+
+def test_a_round_of_hits_exchanges_messages_alone(spark, monkeypatch):
+    from test_network import random_edges, table
+
+    from citeloom.operators import graph
+
+    plans, real = [], graph.stash_bucketed
+
+    def seen(df, name, *keys, **more):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return real(df, name, *keys, **more)
+
+    monkeypatch.setattr(graph, "stash_bucketed", seen)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        graph.hits(table(spark, random_edges(2, 30, 120)), rounds=1)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    rounds = [plan for name, plan in plans if name in ("hits_a", "hits_h")]
+    assert len(rounds) == 2 and all(plan.count("Exchange") == 1 and "SortMergeJoin" not in plan for plan in rounds)
