@@ -106,3 +106,23 @@ def test_a_round_of_hits_exchanges_messages_alone(spark, monkeypatch):
         spark.conf.unset("spark.sql.adaptive.enabled")
     rounds = [plan for name, plan in plans if name in ("hits_a", "hits_h")]
     assert len(rounds) == 2 and all(plan.count("Exchange") == 1 and "SortMergeJoin" not in plan for plan in rounds)
+
+
+def test_triangles_are_found_by_a_row_an_edge(spark):
+    from itertools import combinations
+
+    from test_network import random_edges, table
+
+    from citeloom.operators import graph
+
+    edges = random_edges(6, 40, 300) | {(100, k) for k in range(40)}
+    und = {frozenset(e) for e in edges}
+    want = {}
+    for three in combinations({v for e in edges for v in e}, 3):
+        if all(frozenset(p) in und for p in combinations(three, 2)):
+            for v in three:
+                want[v] = want.get(v, 0) + 1
+    found = graph.triangles(table(spark, edges))
+    assert {r.node: r.triangles for r in found.collect()} == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "posexplode" in plan, "a row for each pair of a node's ends"
