@@ -55,13 +55,17 @@ BLOCK, LANES = 1024, 3072
 SLOT_BITS = 9
 MAGIC = b"CLTOK3\0\0"
 #: Pre-tokens and other parts whose ids a worker remembers, and their greatest length.
-CACHE_WORDS, CACHE_CHARS = 450_000, 64
+CACHE_WORDS, CACHE_CHARS = 700_000, 64
+#: Bytes of text that are tokenized at once: a word that is met again in them is looked up once.
+PIECE = 1 << 22
 #: Bits of the shares of the three orders, and of the frequencies of order 1 in them.
 SHARE_BITS, ORDER1_BITS = 12, 14
 #: Bytes that an entry of the order-1 table has to save.
 ENTRY_BYTES = 3
 #: Pairs of ids up to which entries are found in a table of all pairs (64 MB).
 DIRECT = 1 << 24
+#: Bits of the places in a bucket of entries.
+BUCKET_BITS = 4
 _EMPTY = (1 << 20) - 1
 _ALL, _NO = np.int32(1 << SHARE_BITS), np.uint64(0)
 _WORD_BITS = np.uint64(32)
@@ -80,6 +84,8 @@ _KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = _LETTER
 _KIND[0x30:0x3A] = _DIGIT
 #: Fixed value: the endings that the pre-tokenizer keeps with an apostrophe.
 _ENDINGS = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")
+#: A space and ASCII characters of one kind: one pre-token, wherever a space follows.
+_ALONE = re.compile(r" (?:[A-Za-z]+|[0-9]+|[!-/:-@\[-`{-~]+)")
 _JOINED = re.compile("(?s) [^\\s\u180e\u200b](?:.*[^\\s\u180e\u200b])?")
 #: A space after anything that is no white space (nor counted as such by older tables): parts can be cut before it.
 _BORDER = re.compile("(?<=[^\\s\u180e\u200b]) ")
@@ -114,10 +120,14 @@ def pre_tokens(raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begin)
 
 
+#: The space in a byte-level piece.
+_SPACE = "\u0120"
+
+
 class TextEncoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are parallel already
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         made = json.loads(self.tokenizer.to_str())
@@ -126,6 +136,8 @@ class TextEncoder:
         before = made.get("pre_tokenizer") or {}
         #: Whether parts are independent: a plain byte-level BPE without a normalizer.
         self.by_parts = made.get("normalizer") is None and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+        #: The library's pre-tokenizer, and one that cuts at the spaces (spelled as in pieces) of words that are pre-tokens already.
+        self.whole, self.at_spaces = self.tokenizer.pre_tokenizer, pre_tokenizers.Split(_SPACE, "merged_with_next")
         vocabulary = self.tokenizer.get_vocab()
         #: bytes of each id: a byte-level piece is spelled with a character a byte
         self.size = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
@@ -159,13 +171,26 @@ class TextEncoder:
         return np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths
 
     def library(self, surfaces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The library's ids of each surface.  Those that begin at a border are sent joined; bytes tell their ids apart."""
-        joined = np.fromiter(map(_JOINED.fullmatch, surfaces), bool, len(surfaces)) & self.by_parts
+        """The library's ids of each surface.  Those that begin at a border are sent joined; bytes tell their ids apart.
+
+        Single pre-tokens of ASCII go as the pieces spell them, so that the library need not look for pre-tokens again.
+        """
+        alone = np.fromiter(map(_ALONE.fullmatch, surfaces), bool, len(surfaces)) & self.by_parts
+        joined = alone.copy()
+        rest = np.flatnonzero(~alone)
+        joined[rest] = np.fromiter((_JOINED.fullmatch(surfaces[i]) for i in rest.tolist()), bool, len(rest)) & self.by_parts
         if self.special is not None and self.special.search("".join(surfaces)):
             joined &= np.fromiter((self.special.search(x) is None for x in surfaces), bool, len(surfaces))
-        here, other = np.flatnonzero(joined), np.flatnonzero(~joined)
+        alone &= joined
+        single, more, other = np.flatnonzero(alone), np.flatnonzero(joined & ~alone), np.flatnonzero(~joined)
+        here = np.concatenate([single, more])
         words = [surfaces[i] for i in here.tolist()]
-        ids, _ = self._asked(["".join(words[i : i + 100]) for i in range(0, len(words), 100)])
+        self.tokenizer.pre_tokenizer = self.at_spaces
+        try:
+            ids, _ = self._asked(["".join(words[i : min(i + 100, len(single))]).replace(" ", _SPACE) for i in range(0, len(single), 100)])
+        finally:
+            self.tokenizer.pre_tokenizer = self.whole
+        ids = np.concatenate([ids, self._asked(["".join(words[i : i + 100]) for i in range(len(single), len(words), 100)])[0]])
         ends = np.cumsum(self.size[ids])
         own_ends = np.cumsum(np.fromiter(map(len, map(str.encode, words)), np.int64, len(words)))
         upto = np.searchsorted(ends, own_ends, side="right")
@@ -292,20 +317,23 @@ class Order1:
 
 
 class Entries:
-    """Entries of order 1 and, after them, of order 0 along one line of places, for the way back from a place."""
+    """Entries of order 1 and, after them, of order 0 along one line of places, for the way back from a place.
+
+    A place of order 0 is a bucket of its own, so only entries of order 1 are searched for.
+    """
 
     def __init__(self, order0: Order0, order1: Order1, shift: int):
-        begin = np.concatenate([order1.begin, order1.total + order0.first])
-        end = order1.total + (1 << order0.bits)
+        begin = np.concatenate([order1.begin, order1.total + (order0.first << BUCKET_BITS)])
+        end = order1.total + (1 << order0.bits + BUCKET_BITS)
         self.rank = np.concatenate([order1.rank, np.arange(len(order0.ids))]).astype(np.int32)
         self.both = np.concatenate([order1.first << shift, order0.first]) << 32 | np.concatenate([order1.freq << shift, order0.freq])
-        # the entry at the first place of each bucket of 2**5 places: a search starts there
-        self.bucket = np.searchsorted(begin, np.arange((end >> 5) + 1) << 5, side="right").astype(np.int32) - 1
+        # the entry at the first place of each bucket: a search starts there
+        self.bucket = np.searchsorted(begin, np.arange((end >> BUCKET_BITS) + 1) << BUCKET_BITS, side="right").astype(np.int32) - 1
         self.next = np.append(begin[1:], np.iinfo(np.int64).max)
 
     def entry_at(self, places: np.ndarray) -> np.ndarray:
         """The entry that holds each place."""
-        entry = self.bucket.take(places >> 5)
+        entry = self.bucket.take(places >> BUCKET_BITS)
         later = (self.next.take(entry) <= places).nonzero()[0]
         while len(later):
             entry[later] += 1
@@ -320,11 +348,11 @@ class Lanes:
         self.slots = np.full(n << SLOT_BITS, _EMPTY, np.int32)  # guess, and confidence (0 to 3) above 20 bits
         # probabilities in 16 bits that order 2 is right, and (lower half) that order 1 has the id if not
         self.shares = np.full(n * 16, 1 << 29 | 3 << 14, np.int32)
-        self.one, self.context = np.full(n, start, np.int64), np.zeros(n, np.int64)
+        self.one, self.context = np.full(n, start, np.int64), np.zeros(n, np.int16)
         self.slot_base, self.state_base = np.arange(n) << SLOT_BITS, np.arange(n) * 16
-        self.cover = cover.astype(np.int64)
+        self.cover = cover
         #: a rank's bits in the context of order 2; of the rank before, the lower ones stay
-        self.bits = (mix64(np.arange(start + 1, dtype=np.uint64)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        self.bits = (mix64(np.arange(start + 1, dtype=np.uint64)) >> np.uint64(64 - SLOT_BITS)).astype(np.int16)
 
     def predict(self, k: int) -> None:
         """For the first k lanes: order 2's guess, and the places in 2**SHARE_BITS where the shares of orders 1 and 0 begin."""
@@ -483,7 +511,8 @@ def decode_blocks(words: np.ndarray, sizes: np.ndarray, total: int, order0: Orde
         value[right] = 0
         # quotients of integers below 2**32 are exact in doubles
         inner = (value / width).astype(np.int64)
-        inner >>= np.where(after, 0, shift)
+        inner <<= np.where(after, BUCKET_BITS + shift, 0)
+        inner >>= shift
         inner += np.where(after, base0, order1.base.take(lanes.one[:k]))
         e = table.entry_at(inner)
         own = table.rank.take(e)
@@ -604,7 +633,7 @@ def write_tokens(docs: DataFrame, out: str, path: str | None = None) -> None:
             row = [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(names)], pa.int64()), pa.array([size], pa.int64()), pa.array([data], pa.binary())]
             return pa.RecordBatch.from_arrays(row, schema=schema)
 
-        for piece, _, _ in text_pieces(batches):
+        for piece, _, _ in text_pieces(batches, limit=PIECE):
             ids, lengths = encoder.encode([t or "" for t in piece.column("text").to_pylist()])
             held.append(np.insert(ids, np.cumsum(lengths), np.uint32(END)))
             counts.append(lengths + 1)

@@ -248,3 +248,29 @@ def test_token_table(spark, odd, empty, tmp_path):
         at += len(ids)
     token_output.write_tokens(empty, str(tmp_path / "e"))
     assert token_output.token_table(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_new_words_of_one_kind_need_no_pre_tokenizer(monkeypatch):
+    path = default_path("byte_bpe_50k.json")
+    library, encoder = Tokenizer.from_file(path), token_output.TextEncoder(path)
+    asked, real = [], encoder._asked
+    monkeypatch.setattr(encoder, "_asked", lambda surfaces: asked.append((encoder.tokenizer.pre_tokenizer.__class__.__name__, list(surfaces))) or real(surfaces))
+    words = [" some", " words", " 1984", " ...", " ós", " a, b", " 's", " <|endoftext|>", "x", "Ġ", " Ġa", " end"]
+    ids, lengths = encoder.library(words)
+    for word, own in zip(words, np.split(ids, np.cumsum(lengths)[:-1]), strict=True):
+        assert own.tolist() == library.encode(word, add_special_tokens=False).ids, word
+    assert asked[0] == ("Split", ["Ġsome" + "Ġwords" + "Ġ1984" + "Ġ..." + "Ġend"]) and all(kind == "ByteLevel" for kind, _ in asked[1:])
+
+
+def test_places_of_order_0_are_found_without_a_search():
+    g = np.random.default_rng(8)
+    counts = np.concatenate([g.integers(1, 4, 5000), g.integers(100, 9000, 50)])
+    order0 = token_output.Order0(np.arange(len(counts)), counts)
+    keys, many = np.arange(60, dtype=np.int64), np.full(60, 7)
+    order1 = token_output.Order1(len(counts), keys, many, np.ones(len(counts) + 1, np.uint8))
+    table = token_output.Entries(order0, order1, order0.bits - token_output.ORDER1_BITS)
+    places = order1.total + (np.arange(1 << order0.bits) << token_output.BUCKET_BITS)
+    found = table.bucket[places >> token_output.BUCKET_BITS]
+    assert (table.rank[found] == np.repeat(np.arange(len(counts)), order0.freq)).all() and (found == table.entry_at(places)).all()
+    inside = np.arange(order1.total)
+    assert (table.rank[table.entry_at(inside)] == np.repeat(order1.rank, order1.freq)).all()
