@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.operators.components import connected_components
-from citeloom.operators.graph import nodes_of, topological_levels
-from citeloom.sources.scratch import drop_stash, stash, stashed_union
+from citeloom.operators.graph import EdgeLayout, topological_levels
+from citeloom.operators.skew import join_by
+from citeloom.sources.scratch import drop_stash, stash, stash_bucketed, stashed_union
 
 
 def spanning_forest(edges: DataFrame, largest: bool = False, simple: bool = False) -> DataFrame:
@@ -44,79 +45,107 @@ def spanning_forest(edges: DataFrame, largest: bool = False, simple: bool = Fals
     return (stashed_union(picked) if picked else now).select("a", "b", weight).distinct()
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
+def strong_components(edges: DataFrame | EdgeLayout) -> DataFrame:
     """node, scc: the smallest node of the strongly connected component.
 
     Nodes that no edge enters, or none leaves, are components of their own and go first, again and again.  Then every node gets
     the smallest node that reaches it as its colour; within a colour, the nodes that reach that smallest one back are
     its component.  The rest goes on, without edges between different colours.
+
+    Edges lie in buckets and are written anew only when colours part them; a round exchanges messages, and no table is broadcast.
     """
-    left = stash(edges.where("src <> dst").select("src", "dst").distinct(), "scc-edges")
-    done = [stash(nodes_of(edges).select("node", F.lit(None).cast("long").alias("scc")).limit(0), "scc")]
-    rest = stash(nodes_of(edges), "scc-nodes")
+    layout = edges if isinstance(edges, EdgeLayout) else EdgeLayout(edges.select("src", "dst").distinct())
+    loops = layout.by_src.where("src = dst").select(F.col("src").alias("node"), F.lit(1).alias("own"))
+    own = F.coalesce("own", F.lit(0))
+    degrees = layout.nodes.join(loops.hint("shuffle_hash"), "node", "left").select("node", (F.col("in_degree") - own).alias("into"), (F.col("out_degree") - own).alias("out"))
+    now = stash_bucketed(degrees, "scc_nodes", "node", spread=False)
+    done = [stash(now.select("node", F.lit(None).cast("long").alias("scc")).limit(0), "scc")]
     while True:
-        # trim
-        while True:
-            ends = left.select(F.col("src").alias("node"), F.lit(True).alias("out"), F.lit(False).alias("into")).union(left.select("dst", F.lit(False), F.lit(True)))
-            inner = ends.groupBy("node").agg(F.max("out").alias("out"), F.max("into").alias("into")).where("out and into").select("node")
-            alone = stash(rest.join(inner, "node", "left_anti").select("node", F.col("node").alias("scc")), "scc")
-            if not alone.limit(1).count():
-                drop_stash(alone)
-                break
-            done.append(alone)
-            left, rest = _without(left, rest, alone)
-        if not rest.limit(1).count():
+        now = _trimmed(layout, now, done)
+        if not now.limit(1).count():
             break
-        colours = _colours(left, rest)
-        same = left.join(colours.select(F.col("node").alias("src"), F.col("colour").alias("c")), "src").join(colours.select(F.col("node").alias("dst"), F.col("colour").alias("d")), "dst").where("c = d")
-        inside = stash(same.select("src", "dst"), "scc-edges")
-        found = _back(inside, colours.where("node = colour").select("node", F.col("colour").alias("scc")))
-        done += found
-        left, rest = _without(inside, rest, stashed_union(found))
-        drop_stash(colours)
+        colours = _colours(layout.by_src, now)
+        of = lambda end, c: colours.select(F.col("node").alias(end), F.col("colour").alias(c)).hint("shuffle_hash")  # noqa: E731, B023
+        same = layout.by_src.where("src <> dst").join(of("src", "c"), "src").join(of("dst", "d"), "dst").where("c = d")
+        inside = stash_bucketed(same.select("src", "dst"), "scc_inside", "dst", spread=False)
+        reached = _back(inside, colours)
+        done.append(stash(reached.where("scc is not null").select("node", "scc"), "scc"))
+        rest = reached.where("scc is null").select("node")
+        end = lambda name: rest.withColumnRenamed("node", name).hint("shuffle_hash")  # noqa: E731, B023
+        left = EdgeLayout(inside.join(end("dst"), "dst", "left_semi").join(end("src"), "src", "left_semi"))
+        counts = rest.join(left.nodes.hint("shuffle_hash"), "node", "left").select("node", F.coalesce("in_degree", F.lit(0)).alias("into"), F.coalesce("out_degree", F.lit(0)).alias("out"))
+        then = stash_bucketed(counts, "scc_nodes", "node", spread=False)
+        drop_stash(now, colours, inside, reached)
+        if layout is not edges:
+            layout.drop()
+        layout, now = left, then
+    drop_stash(now)
+    if layout is not edges:
+        layout.drop()
     return stashed_union(done)
 
 
-def _without(left: DataFrame, rest: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
-    ids = gone.select("node")
-    edges = left.join(ids.withColumnRenamed("node", "src"), "src", "left_anti").join(ids.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst")
-    out = stash(edges, "scc-edges"), stash(rest.join(ids, "node", "left_anti"), "scc-nodes")
-    drop_stash(left, rest)
-    return out
+def _trimmed(layout: EdgeLayout, now: DataFrame, done: list[DataFrame]) -> DataFrame:
+    """The nodes that are left (node, into, out: edges from and to other nodes that are left); those that go are added to ``done``."""
+    while True:
+        going = now.where("into = 0 or out = 0").select("node")
+        alone = stash(going.select("node", F.col("node").alias("scc")), "scc")
+        if not alone.limit(1).count():
+            drop_stash(alone)
+            return now
+        done.append(alone)
+        on = layout.by_src.join(going.withColumnRenamed("node", "src").hint("shuffle_hash"), "src").select(F.col("dst").alias("node"), F.lit(1).alias("into"), F.lit(0).alias("out"))
+        back = layout.by_dst.join(going.withColumnRenamed("node", "dst").hint("shuffle_hash"), "dst").select(F.col("src").alias("node"), F.lit(0).alias("into"), F.lit(1).alias("out"))
+        lost = on.union(back).groupBy("node").agg(F.sum("into").alias("less_into"), F.sum("out").alias("less_out"))
+        kept = now.where("into > 0 and out > 0").join(lost.hint("shuffle_hash"), "node", "left")
+        then = kept.select("node", (F.col("into") - F.coalesce("less_into", F.lit(0))).alias("into"), (F.col("out") - F.coalesce("less_out", F.lit(0))).alias("out"))
+        then = stash_bucketed(then, "scc_nodes", "node", spread=False)
+        drop_stash(now)
+        now = then
 
 
-def _colours(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+def _colours(by_src: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, colour: the smallest node from which the node is reached (itself included).  Nodes that changed send."""
-    now = stash(nodes.select("node", F.col("node").alias("colour"), F.lit(True).alias("new")), "scc-colours")
+    now = stash_bucketed(nodes.select("node", F.col("node").alias("colour"), F.lit(True).alias("new")), "scc_colours", "node", spread=False)
     while True:
-        sent = edges.join(now.where("new").select(F.col("node").alias("src"), "colour"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("got"))
+        changed = now.where("new").select(F.col("node").alias("src"), "colour").hint("shuffle_hash")
+        sent = by_src.join(changed, "src").groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("got"))
         better = F.coalesce(F.col("got") < F.col("colour"), F.lit(False))
-        then = stash(now.join(sent, "node", "left").select("node", F.least("colour", "got").alias("colour"), better.alias("new")), "scc-colours")
+        then = now.join(sent.hint("shuffle_hash"), "node", "left").select("node", F.least("colour", "got").alias("colour"), better.alias("new"))
+        then = stash_bucketed(then, "scc_colours", "node", spread=False)
         drop_stash(now)
         now = then
         if not now.where("new").limit(1).count():
             return now
 
 
-def _back(edges: DataFrame, roots: DataFrame) -> list[DataFrame]:
-    """Tables of node, scc: all that reach a root (node, scc) along edges, which lie within one colour."""
-    levels = [stash(roots, "scc")]
-    while True:
-        met = edges.join(levels[-1].select(F.col("node").alias("dst"), "scc"), "dst").select(F.col("src").alias("node"), "scc").distinct()
-        new = stash(met.join(stashed_union(levels).select("node"), "node", "left_anti"), "scc")
-        if not new.limit(1).count():
-            drop_stash(new)
-            return levels
-        levels.append(new)
+def _back(by_dst: DataFrame, colours: DataFrame) -> DataFrame:
+    """node, scc: the colour of each node that reaches its colour's smallest node along edges, which lie within one colour; null of others."""
+    root = F.col("node") == F.col("colour")
+    now = stash_bucketed(colours.select("node", F.when(root, F.col("colour")).alias("scc"), root.alias("new")), "scc_back", "node", spread=False)
+    while now.where("new").limit(1).count():
+        front = now.where("new").select(F.col("node").alias("dst"), "scc").hint("shuffle_hash")
+        met = by_dst.join(front, "dst").groupBy(F.col("src").alias("node")).agg(F.min("scc").alias("got"))
+        new = F.col("scc").isNull() & F.col("got").isNotNull()
+        then = now.join(met.hint("shuffle_hash"), "node", "left").select("node", F.coalesce("scc", "got").alias("scc"), new.alias("new"))
+        then = stash_bucketed(then, "scc_back", "node", spread=False)
+        drop_stash(now)
+        now = then
+    return now
 
 
 def citation_order(edges: DataFrame) -> DataFrame:
     """node, scc, level: every node, with works that cite each other in a circle at one level.  An edge between components
     leads to a higher level, the length of the longest chain of components that ends there."""
-    parts = stash(strong_components(edges), "order-parts")
-    between = edges.join(parts.select(F.col("node").alias("src"), F.col("scc").alias("s")), "src").join(parts.select(F.col("node").alias("dst"), F.col("scc").alias("d")), "dst").where("s <> d")
-    condensed = stash(between.select(F.col("s").alias("src"), F.col("d").alias("dst")).distinct(), "order-edges")
-    levels = topological_levels(condensed).select(F.col("node").alias("scc"), "level")
-    out = stash(parts.join(levels, "scc", "left").select("node", "scc", F.coalesce("level", F.lit(0)).alias("level")), "order")
-    drop_stash(parts, condensed)
+    layout = EdgeLayout(edges.select("src", "dst").distinct())
+    parts = stash_bucketed(strong_components(layout), "order_parts", "node")
+    of = lambda end, c: parts.select(F.col("node").alias(end), F.col("scc").alias(c)).hint("shuffle_hash")
+    between = layout.by_src.join(of("src", "s"), "src").join(of("dst", "d"), "dst").where("s <> d")
+    levels = topological_levels(between.select(F.col("s").alias("src"), F.col("d").alias("dst"))).select(F.col("node").alias("scc"), "level")
+    sizes = parts.groupBy("scc").agg(F.count(F.lit(1)).alias("times"))
+    about = stash(sizes.join(levels.hint("shuffle_hash"), "scc", "left").select("scc", F.coalesce("level", F.lit(0)).alias("level"), "times"), "order-levels")
+    # a component may hold most of the nodes
+    out = stash(join_by(parts, about, "scc", F.col("times"), parts.count()).select("node", "scc", "level"), "order")
+    drop_stash(parts, about)
+    layout.drop()
     return out

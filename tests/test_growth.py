@@ -126,3 +126,25 @@ def test_triangles_are_found_by_a_row_an_edge(spark):
     assert {r.node: r.triangles for r in found.collect()} == want
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1 and "posexplode" in plan, "a row for each pair of a node's ends"
+
+
+def test_rounds_of_the_citation_order_send_nothing_to_the_driver(spark, monkeypatch):
+    from test_network import table
+
+    from citeloom.operators import forests, graph
+
+    plans = []
+    for module in (forests, graph):
+        for make in ("stash", "stash_bucketed"):
+            real = getattr(module, make, None)
+            if real is not None:
+                monkeypatch.setattr(module, make, lambda df, name, *keys, _real=real, **more: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or _real(df, name, *keys, **more))
+    edges = {(1, 2), (2, 1), (2, 3), (3, 4), (4, 3), (4, 6), (5, 5), (3, 3), (6, 6)}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = {r.node: (r.scc, r.level) for r in forests.citation_order(table(spark, edges)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert got == {1: (1, 0), 2: (1, 0), 3: (3, 1), 4: (3, 1), 5: (5, 0), 6: (6, 2)}
+    rounds = [(name, plan) for name, plan in plans if name != "order"]
+    assert len(rounds) > 10 and not [name for name, plan in rounds if "BroadcastExchange" in plan]
