@@ -20,7 +20,7 @@ The shares of the three in the range are probabilities that adapt id by id in ea
 
 Tokenizing is the library's, special tokens in a text included.  The pre-tokens of a text are independent in a byte-level
 BPE, so ids are remembered per pre-token (bounded) and the library is asked for new ones; a batch's pre-tokens are found
-and numbered as arrays.  Texts with characters beyond ASCII and Latin letters are cut only before spaces that follow a
+and numbered as arrays, those of up to 16 bytes by these bytes as two numbers.  Texts with characters beyond ASCII and Latin letters are cut only before spaces that follow a
 non-space, which no pre-token crosses.  A text with a
 special token goes to the library whole.
 
@@ -37,7 +37,7 @@ import os
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -54,8 +54,8 @@ END = 2
 BLOCK, LANES = 1024, 3072
 SLOT_BITS = 9
 MAGIC = b"CLTOK3\0\0"
-#: Pre-tokens and other parts whose ids a worker remembers, and their greatest length.
-CACHE_WORDS, CACHE_CHARS = 700_000, 64
+#: Pre-tokens of up to 16 bytes whose ids a worker remembers; longer ones and other parts, and their greatest length.
+SHORT_WORDS, CACHE_WORDS, CACHE_CHARS = 900_000, 300_000, 64
 #: Bytes of text that are tokenized at once: a word that is met again in them is looked up once.
 PIECE = 1 << 22
 #: Bits of the shares of the three orders, and of the frequencies of order 1 in them.
@@ -66,6 +66,8 @@ ENTRY_BYTES = 3
 DIRECT = 1 << 24
 #: Bits of the places in a bucket of entries.
 BUCKET_BITS = 4
+#: Blocks that are turned at once into rows of steps.
+STRIP = 16
 _EMPTY = (1 << 20) - 1
 _ALL, _NO = np.int32(1 << SHARE_BITS), np.uint64(0)
 _WORD_BITS = np.uint64(32)
@@ -122,6 +124,97 @@ def pre_tokens(raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 #: The space in a byte-level piece.
 _SPACE = "\u0120"
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+#: How byte-level pieces spell each byte: printed ones as they are, the others by the characters from 256 on.
+_SPELLED = np.arange(256, dtype="<u2")
+_SPELLED[np.delete(np.arange(256), _PRINTED)] = np.arange(256, 512 - len(_PRINTED))
+#: Characters that spell the bytes of plain texts' words: ASCII, and letters of two bytes.
+_WORD_CHARS = set(map(chr, _SPELLED[[*range(0x20, 0x7F), *range(0x80, 0xC0), *range(0xC3, 0xCA)]].tolist()))
+#: The first and the second 8 bytes of a word of n bytes, n up to 16, as masks.
+_FIRST = np.array([(1 << 8 * min(n, 8)) - 1 for n in range(17)], np.uint64)
+_SECOND = np.array([(1 << 8 * max(n - 8, 0)) - 1 for n in range(17)], np.uint64)
+
+
+class ShortWords:
+    """Numbers of words of 1 to 16 bytes, none of them 0, with their ids: two 64-bit numbers, filled up with 0, are a word.
+
+    Open addressing, for all words of a batch at once; number 0 stands for no word.  Beyond ``limit`` words, the half that
+    was asked for most often stays.
+    """
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.first, self.second = np.zeros(1, np.uint64), np.zeros(1, np.uint64)
+        self.runs, self.uses = Runs(np.zeros(0, np.uint32), np.zeros(1, np.int64)), np.zeros(1, np.int64)
+        self._table(max(4, (2 * limit).bit_length()))
+
+    def __len__(self) -> int:
+        return len(self.first) - 1
+
+    @staticmethod
+    def of(data: bytes, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words at the given places, of ``size`` (1 to 16) bytes each."""
+        eights = np.frombuffer(data + bytes(24 - len(data) % 8), "<u8")
+        at, right = begin >> 3, ((begin & 7) << 3).astype(np.uint64)
+        left = np.uint64(64) - right  # a shift by 64 gives 0
+        middle = eights.take(at + 1)
+        first = (eights.take(at) >> right | middle << left) & _FIRST.take(size)
+        return first, (middle >> right | eights.take(at + 2) << left) & _SECOND.take(size)
+
+    def _table(self, bits: int) -> None:
+        """An empty table of 2**bits slots, filled with the words there are."""
+        self.bits, self.slots = bits, np.zeros(1 << bits, np.int32)
+        self._place(np.arange(1, len(self.first)))
+
+    def _slot(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        h = first ^ second * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        return (h >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def _place(self, numbers: np.ndarray) -> None:
+        at = self._slot(self.first[numbers], self.second[numbers])
+        while len(numbers):
+            free = self.slots[at] == 0
+            self.slots[at[free]] = numbers[free]  # of several words for one slot, one gets it
+            lost = self.slots[at] != numbers
+            numbers, at = numbers[lost], (at[lost] + 1) & (1 << self.bits) - 1
+
+    def _found(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        at = self._slot(first, second)
+        numbers = self.slots.take(at)
+        other = np.flatnonzero((self.first.take(numbers) != first) | (self.second.take(numbers) != second))
+        while len(other := other[numbers[other] > 0]):
+            at[other] = (at[other] + 1) & (1 << self.bits) - 1
+            numbers[other] = self.slots[at[other]]
+            other = other[(self.first[numbers[other]] != first[other]) | (self.second[numbers[other]] != second[other])]
+        return numbers
+
+    def find(self, first: np.ndarray, second: np.ndarray, ids_of: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The words' numbers; ``ids_of`` tells the ids of new ones, from rows of their 16 bytes, and their number by row."""
+        if len(self) > self.limit:
+            most = np.append(0, 1 + np.argsort(-self.uses[1:], kind="stable")[: self.limit // 2])
+            self.first, self.second, self.uses = self.first[most], self.second[most], self.uses[most] // 2
+            self.runs = Runs(*self.runs.take(most))
+            self._table(self.bits)
+        numbers = self._found(first, second)
+        new = np.flatnonzero(numbers == 0)
+        if len(new):
+            new = new[np.lexsort((second[new], first[new]))]
+            a, b = first[new], second[new]
+            fresh = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
+            known = len(self.first)
+            numbers[new] = known - 1 + np.cumsum(fresh)
+            a, b = a[fresh], b[fresh]
+            self.runs.add(*ids_of(np.stack([a, b], 1).astype("<u8").view(np.uint8)))
+            self.first, self.second = np.append(self.first, a), np.append(self.second, b)
+            self.uses = np.append(self.uses, np.zeros(len(a), np.int64))
+            if 4 * len(self.first) > 3 << self.bits:
+                self._table((2 * len(self.first)).bit_length())
+            else:
+                self._place(np.arange(known, len(self.first)))
+        self.uses += np.bincount(numbers, minlength=len(self.uses))
+        return numbers
 
 
 class TextEncoder:
@@ -136,13 +229,16 @@ class TextEncoder:
         before = made.get("pre_tokenizer") or {}
         #: Whether parts are independent: a plain byte-level BPE without a normalizer.
         self.by_parts = made.get("normalizer") is None and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
-        #: The library's pre-tokenizer, and one that cuts at the spaces (spelled as in pieces) of words that are pre-tokens already.
-        self.whole, self.at_spaces = self.tokenizer.pre_tokenizer, pre_tokenizers.Split(_SPACE, "merged_with_next")
         vocabulary = self.tokenizer.get_vocab()
+        #: The library's pre-tokenizer, and one for joined words that are pre-tokens already, a space before each: it cuts at the
+        #: spaces (spelled as in pieces), or at no sign of theirs if no piece of such signs goes over a border anyway.
+        over = any(_SPACE in piece.lstrip(_SPACE) and _WORD_CHARS.issuperset(piece) for piece in vocabulary)
+        self.whole, self.at_spaces = self.tokenizer.pre_tokenizer, pre_tokenizers.Split(_SPACE if over else "\n", "merged_with_next")
         #: bytes of each id: a byte-level piece is spelled with a character a byte
         self.size = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
         self.size[list(vocabulary.values())] = [len(piece) for piece in vocabulary]
         self.known = Known([Runs(np.zeros(0, np.uint32), np.zeros(0, np.int64))], CACHE_WORDS, CACHE_CHARS)
+        self.short = ShortWords(SHORT_WORDS)
 
     def plain(self, text: str) -> bool:
         """Whether ``pre_tokens`` tells the text's parts."""
@@ -155,21 +251,45 @@ class TextEncoder:
         borders = [0, *[m.start() for m in _BORDER.finditer(text)], len(text)]
         return [text[a:b] for a, b in zip(borders, borders[1:], strict=False) if b > a]
 
-    def plain_parts(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """The distinct pre-tokens of plain texts, the number of each pre-token in them, and how many a text has."""
-        raws = [t.encode() for t in texts]
-        data = b"".join(raws)
-        offs = np.cumsum([0, *map(len, raws)])
-        begin = pre_tokens(np.frombuffer(data, np.uint8), offs[:-1])
-        own = np.diff(np.searchsorted(begin, offs))
-        parts = pa.LargeStringArray.from_buffers(len(begin), pa.py_buffer(np.append(begin, len(data))), pa.py_buffer(data)).dictionary_encode()
-        return parts.dictionary.to_numpy(zero_copy_only=False).tolist(), parts.indices.to_numpy(), own
-
     def _asked(self, surfaces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(surfaces, add_special_tokens=False)] if surfaces else []
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths
 
+    def _asked_spelled(self, joined: list[str]) -> np.ndarray:
+        """The ids of words that are pre-tokens, joined and spelled as in pieces."""
+        self.tokenizer.pre_tokenizer = self.at_spaces
+        try:
+            return self._asked(joined)[0]
+        finally:
+            self.tokenizer.pre_tokenizer = self.whole
+
+    def _by_word(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """How many of the ids of joined words belong to each word, from the words' bytes."""
+        ends, own_ends = np.cumsum(self.size[ids]), np.cumsum(sizes)
+        upto = np.searchsorted(ends, own_ends, side="right")
+        if len(sizes) and not (len(ends) == upto[-1] and (ends[upto - 1] == own_ends).all()):
+            raise ValueError("the library joined words over a border")
+        return np.diff(upto, prepend=0)
+
+    def pieces_of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The library's ids of plain texts' pre-tokens (rows of 16 bytes, filled up with 0), and their number by row.
+
+        Those that begin with a space and go on with something else are sent joined, spelled as in pieces.
+        """
+        joined = (words[:, 0] == 0x20) & (words[:, 1] > 0) & (_KIND[words[:, 1]] != _WHITE)
+        here, other = np.flatnonzero(joined), np.flatnonzero(~joined)
+        there = words[here] > 0
+        sizes = there.sum(1)
+        signs = _SPELLED[words[here][there]].tobytes().decode("utf-16-le")
+        cuts = np.append(0, np.cumsum(sizes))[[*range(0, len(here), 100), len(here)]].tolist()
+        ids = self._asked_spelled([signs[a:b] for a, b in zip(cuts, cuts[1:], strict=False)])
+        rest, rest_lengths = self.library([w.decode() for w in np.ascontiguousarray(words[other]).view("S16").ravel().tolist()])
+        both = Runs(np.concatenate([ids, rest]), np.concatenate([self._by_word(ids, sizes), rest_lengths]))
+        place = np.empty(len(words), np.int64)
+        place[np.concatenate([here, other])] = np.arange(len(words))
+        return both.take(place)
+
     def library(self, surfaces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The library's ids of each surface.  Those that begin at a border are sent joined; bytes tell their ids apart.
 
@@ -185,19 +305,11 @@ class TextEncoder:
         single, more, other = np.flatnonzero(alone), np.flatnonzero(joined & ~alone), np.flatnonzero(~joined)
         here = np.concatenate([single, more])
         words = [surfaces[i] for i in here.tolist()]
-        self.tokenizer.pre_tokenizer = self.at_spaces
-        try:
-            ids, _ = self._asked(["".join(words[i : min(i + 100, len(single))]).replace(" ", _SPACE) for i in range(0, len(single), 100)])
-        finally:
-            self.tokenizer.pre_tokenizer = self.whole
+        ids = self._asked_spelled(["".join(words[i : min(i + 100, len(single))]).replace(" ", _SPACE) for i in range(0, len(single), 100)])
         ids = np.concatenate([ids, self._asked(["".join(words[i : i + 100]) for i in range(len(single), len(words), 100)])[0]])
-        ends = np.cumsum(self.size[ids])
-        own_ends = np.cumsum(np.fromiter(map(len, map(str.encode, words)), np.int64, len(words)))
-        upto = np.searchsorted(ends, own_ends, side="right")
-        if len(words) and not (len(ends) == upto[-1] and (ends[upto - 1] == own_ends).all()):
-            raise ValueError("the library joined words over a border")
+        own = self._by_word(ids, np.fromiter(map(len, map(str.encode, words)), np.int64, len(words)))
         rest, rest_lengths = self._asked([surfaces[i] for i in other.tolist()])
-        both = Runs(np.concatenate([ids, rest]), np.concatenate([np.diff(upto, prepend=0), rest_lengths]))
+        both = Runs(np.concatenate([ids, rest]), np.concatenate([own, rest_lengths]))
         place = np.empty(len(surfaces), np.int64)
         place[np.concatenate([here, other])] = np.arange(len(surfaces))
         return both.take(place)
@@ -206,30 +318,54 @@ class TextEncoder:
         """Ids of whole texts, one after the other, and their number by text."""
         plain = np.fromiter(map(self.plain, texts), bool, len(texts))
         here, other = np.flatnonzero(plain), np.flatnonzero(~plain)
-        words, which, own = self.plain_parts([texts[i] for i in here.tolist()])
-        ids, lengths = self._numbered(words, which, own)
+        ids, lengths = self._plain([texts[i] for i in here.tolist()])
         if not len(other):
             return ids, lengths
         parts = [self.split(texts[i]) for i in other.tolist()]
         words = list(chain.from_iterable(parts))
-        rest, rest_lengths = self._numbered(words, np.arange(len(words)), np.fromiter(map(len, parts), np.int64, len(parts)))
+        rest, rest_lengths = self._remembered(words)
+        rest_lengths = _sums(rest_lengths, np.fromiter(map(len, parts), np.int64, len(parts)))
         place = np.empty(len(texts), np.int64)
         place[np.concatenate([here, other])] = np.arange(len(texts))
         return Runs(np.concatenate([ids, rest]), np.concatenate([lengths, rest_lengths])).take(place)
 
-    def _numbered(self, words: list[str], which: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of texts, and their number by text: ``which`` are the places of the texts' parts in ``words``, ``own`` parts a text."""
-        known = self.known.find(words)
+    def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain texts, and their number by text."""
+        raws = [t.encode() for t in texts]
+        data = b"".join(raws)
+        offs = np.cumsum([0, *map(len, raws)])
+        begin = pre_tokens(np.frombuffer(data, np.uint8), offs[:-1])
+        own = np.diff(np.searchsorted(begin, offs))
+        size = np.diff(begin, append=len(data))
+        is_short = size <= 16
+        here, long = np.flatnonzero(is_short), np.flatnonzero(~is_short)
+        which = np.empty(len(begin), np.int64)
+        which[here] = self.short.find(*ShortWords.of(data, begin[here], size[here]), self.pieces_of)
+        runs = self.short.runs
+        if len(long):
+            values, lengths = self._remembered([data[a : a + n].decode() for a, n in zip(begin[long].tolist(), size[long].tolist(), strict=True)])
+            which[long] = len(runs.lengths) + np.arange(len(long))
+            runs = Runs(np.concatenate([runs.values, values]), np.concatenate([runs.lengths, lengths]))
+        ids, lengths = runs.take(which)
+        return ids, _sums(lengths, own)
+
+    def _remembered(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pre-tokens or other parts of texts, and their number by part."""
+        which = self.known.find(words)
         if self.known.fresh:
             self.known.fill(self.library(self.known.fresh))
         (runs,) = self.known.runs
-        long = np.flatnonzero(known < 0)
+        long = np.flatnonzero(which < 0)
         if len(long):
             values, lengths = self.library([words[i] for i in long.tolist()])
-            known[long] = len(runs.lengths) + np.arange(len(long))
+            which[long] = len(runs.lengths) + np.arange(len(long))
             runs = Runs(np.concatenate([runs.values, values]), np.concatenate([runs.lengths, lengths]))
-        ids, lengths = runs.take(known[which])
-        return ids, np.bincount(np.repeat(np.arange(len(own)), own), lengths, minlength=len(own)).astype(np.int64)
+        return runs.take(which)
+
+
+def _sums(values: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Sums of the first ``own[0]`` values, of the next ``own[1]``, and so on."""
+    return np.diff(np.append(0, np.cumsum(values))[np.append(0, np.cumsum(own))])
 
 
 # ---------------------------------------------------------------- coder
@@ -297,9 +433,10 @@ class Order1:
         saved = counts * np.log2((counts / total[context]) / (order0.freq[rank] / float(1 << order0.bits)))
         kept = (saved > 8 * ENTRY_BYTES) & (context < distinct)
         # a context has room for half as many entries as its range has places; the best stay
-        best = np.lexsort((-saved, context, ~kept))[: int(kept.sum())]
-        inside = np.arange(len(best)) - np.searchsorted(context[best], context[best])
-        kept[best[inside >= 1 << (ORDER1_BITS - 1)]] = False
+        if np.bincount(context[kept]).max(initial=0) > 1 << (ORDER1_BITS - 1):
+            best = np.lexsort((-saved, context, ~kept))[: int(kept.sum())]
+            inside = np.arange(len(best)) - np.searchsorted(context[best], context[best])
+            kept[best[inside >= 1 << (ORDER1_BITS - 1)]] = False
         covered = np.zeros(distinct + 1, np.int64)
         np.add.at(covered, context[kept], counts[kept])
         cover = np.where(covered == 0, 0, 1 + (2 * covered > total) + (10 * covered > 9 * total)).astype(np.uint8)
@@ -316,6 +453,11 @@ class Order1:
         return cls(distinct, keys[kept], counts[kept], cover), entry
 
 
+def _both(order0: Order0, order1: Order1, shift: int) -> np.ndarray:
+    """Where the range of each entry begins (above 32 bits) and its frequency: entries of order 1 and, after them, of order 0."""
+    return np.concatenate([order1.first << shift, order0.first]) << 32 | np.concatenate([order1.freq << shift, order0.freq])
+
+
 class Entries:
     """Entries of order 1 and, after them, of order 0 along one line of places, for the way back from a place.
 
@@ -326,9 +468,10 @@ class Entries:
         begin = np.concatenate([order1.begin, order1.total + (order0.first << BUCKET_BITS)])
         end = order1.total + (1 << order0.bits + BUCKET_BITS)
         self.rank = np.concatenate([order1.rank, np.arange(len(order0.ids))]).astype(np.int32)
-        self.both = np.concatenate([order1.first << shift, order0.first]) << 32 | np.concatenate([order1.freq << shift, order0.freq])
+        self.both = _both(order0, order1, shift)
         # the entry at the first place of each bucket: a search starts there
-        self.bucket = np.searchsorted(begin, np.arange((end >> BUCKET_BITS) + 1) << BUCKET_BITS, side="right").astype(np.int32) - 1
+        buckets = np.diff((begin + (1 << BUCKET_BITS) - 1) >> BUCKET_BITS, append=(end >> BUCKET_BITS) + 1)
+        self.bucket = np.repeat(np.arange(len(begin), dtype=np.int32), buckets)
         self.next = np.append(begin[1:], np.iinfo(np.int64).max)
 
     def entry_at(self, places: np.ndarray) -> np.ndarray:
@@ -411,9 +554,14 @@ def _alive(lengths: np.ndarray, steps: int) -> list[int]:
 
 def _by_step(values: np.ndarray, lanes: int) -> np.ndarray:
     """Row t has the value at place t of each block."""
-    padded = np.zeros(lanes * BLOCK, values.dtype)
-    padded[: len(values)] = values
-    return np.ascontiguousarray(padded.reshape(lanes, BLOCK).T)
+    out = np.zeros((BLOCK, lanes), values.dtype)
+    whole = len(values) // BLOCK
+    blocks = values[: whole * BLOCK].reshape(whole, BLOCK)
+    for a in range(0, whole, STRIP):  # a strip of blocks at a time stays in the processor's cache
+        out[:, a : min(a + STRIP, whole)] = blocks[a : a + STRIP].T
+    if whole < lanes:
+        out[: len(values) - whole * BLOCK, whole] = values[whole * BLOCK :]
+    return out
 
 
 def code_blocks(ranks: np.ndarray, entry: np.ndarray, order0: Order0, order1: Order1) -> tuple[np.ndarray, np.ndarray]:
@@ -423,15 +571,11 @@ def code_blocks(ranks: np.ndarray, entry: np.ndarray, order0: Order0, order1: Or
     steps = int(lengths.max(initial=0))
     bits = np.uint64(order0.bits)
     total_bits = np.uint64(SHARE_BITS + order0.bits)
-    by1 = entry >= 0
-    at = np.maximum(entry, 0)
-    shift = order0.bits - ORDER1_BITS
-    first = order0.first.astype(np.uint32)[ranks]
-    freq = order0.freq.astype(np.uint32)[ranks]
-    if len(order1.keys):
-        np.copyto(first, (order1.first << shift).astype(np.uint32)[at], where=by1)
-        np.copyto(freq, (order1.freq << shift).astype(np.uint32)[at], where=by1)
-    first, freq, by1, ranks = (_by_step(x, n) for x in (first, freq, by1, ranks.astype(np.int32)))
+    entries = len(order1.keys)
+    both = _both(order0, order1, order0.bits - ORDER1_BITS).view(np.uint64)
+    ranks = ranks.astype(np.int32)
+    which = _by_step(np.where(entry >= 0, entry, ranks + np.int32(entries)), n)
+    ranks = _by_step(ranks, n)
     lanes = Lanes(n, len(order0.ids), order1.cover)
     low, size = np.zeros(n, np.uint64), np.full(n, 0xFFFFFFFFFFFFFFFF, np.uint64)
     room = steps + 3
@@ -440,12 +584,15 @@ def code_blocks(ranks: np.ndarray, entry: np.ndarray, order0: Order0, order1: Or
     whole = np.uint64(1 << order0.bits)
     for t, k in enumerate(_alive(lengths, steps)):
         lanes.predict(k)
-        own, one = ranks[t, :k], by1[t, :k]
+        own, e = ranks[t, :k], which[t, :k]
+        one = e < entries
         right = (lanes.guess == own).nonzero()[0]
         place = np.where(one, lanes.cut1, lanes.cut2).astype(np.uint64)
         width = np.where(one, lanes.cut2, _ALL).astype(np.uint64)
         width -= place
-        own_first, own_freq = first[t, :k].astype(np.uint64), freq[t, :k].astype(np.uint64)
+        own_freq = both.take(e)
+        own_first = own_freq >> _WORD_BITS
+        own_freq &= _LOW_WORD
         place[right], width[right], own_first[right], own_freq[right] = _NO, lanes.cut1[right], _NO, whole
         unit = size[:k] >> total_bits
         own_first *= width
@@ -461,10 +608,10 @@ def code_blocks(ranks: np.ndarray, entry: np.ndarray, order0: Order0, order1: Or
         np.multiply(unit, width, out=sz)
         sz *= own_freq
         full = (sz <= _LOW_WORD).nonzero()[0]
-        e = end[full]
+        to = end[full]
         word = lo[full]
-        out[e] = word >> _WORD_BITS
-        end[full] = e + 1
+        out[to] = word >> _WORD_BITS
+        end[full] = to + 1
         lo[full] = word << _WORD_BITS
         sz[full] <<= _WORD_BITS
         lanes.update(own, right, one.astype(np.int32))
@@ -545,8 +692,8 @@ def pack_group(doc_ids: list[int | None], ids: np.ndarray, lengths: np.ndarray)
     if len(ids) and ids.max() < 1 << 22:
         counts = np.bincount(ids)
         values = np.flatnonzero(counts)
+        ranks = (np.cumsum(counts > 0) - 1).astype(np.int32)[ids]
         counts = counts[values]
-        ranks = (np.cumsum(np.bincount(ids) > 0) - 1).astype(np.int32)[ids]
     else:
         values, ranks, counts = np.unique(ids, return_inverse=True, return_counts=True)
     order0 = Order0(values, counts)

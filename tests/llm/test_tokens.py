@@ -274,3 +274,87 @@ def test_places_of_order_0_are_found_without_a_search():
     assert (table.rank[found] == np.repeat(np.arange(len(counts)), order0.freq)).all() and (found == table.entry_at(places)).all()
     inside = np.arange(order1.total)
     assert (table.rank[table.entry_at(inside)] == np.repeat(order1.rank, order1.freq)).all()
+
+
+def some_words(n, seed):
+    g = random.Random(seed)
+    return ["".join(g.choices("ab é", k=g.randrange(1, 9))) for _ in range(n)]
+
+
+def arrays_of(words):
+    raws = [w.encode() for w in words]
+    sizes = np.array([len(r) for r in raws])
+    return token_output.ShortWords.of(b"".join(raws), np.cumsum(sizes) - sizes, sizes)
+
+
+@pytest.mark.parametrize("one_slot", [False, True])
+def test_short_words_are_known_by_their_bytes(monkeypatch, one_slot):
+    if one_slot:  # all words meet in the table
+        monkeypatch.setattr(token_output.ShortWords, "_slot", lambda self, first, second: np.zeros(len(first), np.int64))
+    table, asked = token_output.ShortWords(40), []
+
+    def ids_of(rows):
+        new = [bytes(r[r > 0]).decode() for r in rows]
+        asked.extend(new)
+        return np.concatenate([np.frombuffer(w.encode(), np.uint8).astype(np.uint32) for w in new]), np.array([len(w.encode()) for w in new])
+
+    for seed in range(6):  # also when words are let go, and more than the table was made for
+        words = some_words([30, 30, 500, 2, 200, 1][seed], seed) + ["x" * 16, "x" * 15, "x", "x" * 8, "x" * 9]
+        before = len(asked)
+        numbers = table.find(*arrays_of(words), ids_of)
+        values, lengths = table.runs.take(numbers)
+        assert [bytes(v.astype(np.uint8)).decode() for v in np.split(values, np.cumsum(lengths)[:-1])] == words
+        assert len(set(asked[before:])) == len(asked[before:]) and len(table.first) == len(table.runs.lengths) == len(table.uses)
+    before = len(asked)
+    table.find(*arrays_of(["x", words[0]]), ids_of)
+    assert len(asked) == before  # those asked for last are remembered
+
+
+def test_short_words_are_sent_as_pieces_spell_them(monkeypatch, texts):
+    path = default_path("byte_bpe_50k.json")
+    library, encoder = Tokenizer.from_file(path), token_output.TextEncoder(path)
+    asked, real = [], encoder._asked
+    monkeypatch.setattr(encoder, "_asked", lambda surfaces: asked.append((encoder.tokenizer.pre_tokenizer.__class__.__name__, list(surfaces))) or real(surfaces))
+    text = "Los años 1984 ... über it's  ok"
+    ids, _ = encoder.encode([text])
+    assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+    split = [s for kind, s in asked if kind == "Split" and s]
+    assert len(split) == 1 and sorted(split[0][0].split("Ġ")[1:]) == sorted(["aÃ±os", "1984", "...", "Ã¼ber", "it", "ok"]) and len(encoder.known) == 0
+    encoder.short.limit = 5
+    for at in range(0, len(texts), 7):
+        ids, lengths = encoder.encode(texts[at : at + 7])
+        for one, own in zip(texts[at : at + 7], np.split(ids, np.cumsum(lengths)[:-1]), strict=True):
+            assert own.tolist() == library.encode(one, add_special_tokens=False).ids, one
+
+
+def test_pieces_over_a_border_do_not_join_words(tmp_path):
+    from tokenizers import pre_tokenizers
+
+    vocabulary = {c: i for i, c in enumerate(["Ġ", "a", "b", "aĠ", "Ġa", "Ġb", "Ġab", "ab"])}
+    made = Tokenizer(models.BPE(vocabulary, [("a", "Ġ"), ("a", "b"), ("Ġ", "ab"), ("Ġ", "a"), ("Ġ", "b")]))
+    made.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    path = str(tmp_path / "over.json")
+    made.save(path)
+    text = " a b ab a a ba"
+    ids, _ = token_output.TextEncoder(path).encode([text])
+    assert ids.tolist() == made.encode(text, add_special_tokens=False).ids
+
+
+def test_buckets_begin_where_a_search_would():
+    g = np.random.default_rng(9)
+    order0 = token_output.Order0(np.arange(3000), g.integers(1, 900, 3000))
+    keys = np.unique(g.integers(0, 3000 * 3000, 20_000))
+    order1 = token_output.Order1(3000, keys, g.integers(1, 50, len(keys)), np.ones(3001, np.uint8))
+    table = token_output.Entries(order0, order1, order0.bits - token_output.ORDER1_BITS)
+    begin = np.append(0, table.next[:-1])
+    places = np.arange(len(table.bucket)) << token_output.BUCKET_BITS
+    assert (table.bucket == np.searchsorted(begin, places, side="right") - 1).all()
+    assert places[-1] == order1.total + (1 << order0.bits + token_output.BUCKET_BITS)
+
+
+@pytest.mark.parametrize("n", [0, 1, token_output.BLOCK, 3 * token_output.BLOCK, 40 * token_output.BLOCK + 7])
+def test_blocks_are_turned_into_steps(n):
+    values, lanes = np.arange(1, n + 1, dtype=np.int32), -(-n // token_output.BLOCK)
+    got = token_output._by_step(values, lanes)
+    assert got.shape == (token_output.BLOCK, lanes) and got.flags.c_contiguous and got.T.ravel()[:n].tolist() == values.tolist()
+    assert not got.T.ravel()[n:].any()
