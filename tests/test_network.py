@@ -7,6 +7,7 @@ from itertools import combinations
 import pytest
 
 from citeloom.operators import centrality, forests, graph, pairs
+from citeloom.plans import network, registry
 
 
 def table(spark, edges):
@@ -238,3 +239,38 @@ def test_settled_nodes_are_not_read_again(spark, monkeypatch):
     got = {r.node: r.core for r in graph.core_numbers(table(spark, edges)).collect()}
     assert got == {v: 7 if v < 8 else 0 for e in edges for v in e}
     assert len(read) > 5 and max(read[1:]) <= 2
+
+
+def rounds_of_cores(edges, rounds):
+    """Every node at once takes the largest h such that h of its citing works have h or more, ``rounds`` times."""
+    core = {v: sum(d == v for _, d in edges) for e in edges for v in e}
+    for _ in range(rounds):
+        core = {v: min(core[v], max((min(k + 1, c) for k, c in enumerate(sorted((core[s] for s, d in edges if d == v), reverse=True))), default=0)) for v in core}
+    return core
+
+
+@pytest.mark.parametrize("rounds", [1, 2, 3, 6])
+def test_core_numbers_after_so_many_rounds(spark, rounds):
+    edges = random_edges(5, 40, 160) | {(k, k + 1) for k in range(100, 110)}
+    assert rounds_of_cores(edges, rounds) != rounds_of_cores(edges, 20)
+    assert {r.node: r.core for r in graph.core_numbers(table(spark, edges), rounds=rounds).collect()} == rounds_of_cores(edges, rounds)
+
+
+@pytest.fixture(scope="module")
+def long_tail(tmp_path_factory):
+    """Works that cite one another in a row of 40: their core numbers have not settled when the SQL's rounds are over."""
+    import duckdb
+
+    d, c = str(tmp_path_factory.mktemp("long-tail")), duckdb.connect()
+    c.execute(f"COPY (SELECT range AS p_partkey FROM range(60)) TO '{d}/part.parquet'")
+    c.execute(f"COPY (SELECT range AS l_orderkey, range + 1 AS l_partkey FROM range(40) UNION ALL SELECT a.range, b.range FROM range(50, 55) a, range(50, 55) b) TO '{d}/lineitem.parquet'")
+    for t in ("part", "lineitem"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
+    return d, c
+
+
+def test_core_numbers_query_gives_its_sqls_rows_on_a_long_tail(spark, long_tail):
+    d, c = long_tail
+    got = sorted(tuple(r) for r in network.core_numbers(spark, d).collect())
+    assert got == sorted(c.execute(registry.oracle_sql()["core_numbers"]).fetchall())
+    assert dict(got)[40] == 1 and dict(got)[20] == 0
