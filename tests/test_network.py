@@ -274,3 +274,11 @@ def test_core_numbers_query_gives_its_sqls_rows_on_a_long_tail(spark, long_tail)
     got = sorted(tuple(r) for r in network.core_numbers(spark, d).collect())
     assert got == sorted(c.execute(registry.oracle_sql()["core_numbers"]).fetchall())
     assert dict(got)[40] == 1 and dict(got)[20] == 0
+
+
+def test_network_analysis_gives_its_sqls_rows_on_a_long_tail(spark, long_tail):
+    d, c = long_tail
+    got = sorted(tuple(r) for r in network.network_analysis(spark, d).collect())
+    want = sorted(c.execute(registry.oracle_sql()["network_analysis"]).fetchall())
+    assert [(r[0], r[1], r[2], r[4], r[5]) for r in got] == [(r[0], r[1], r[2], r[4], r[5]) for r in want]
+    assert all(abs(a[3] - b[3]) < 2e-9 for a, b in zip(got, want, strict=True))
