@@ -282,3 +282,47 @@ def test_network_analysis_gives_its_sqls_rows_on_a_long_tail(spark, long_tail):
     want = sorted(c.execute(registry.oracle_sql()["network_analysis"]).fetchall())
     assert [(r[0], r[1], r[2], r[4], r[5]) for r in got] == [(r[0], r[1], r[2], r[4], r[5]) for r in want]
     assert all(abs(a[3] - b[3]) < 2e-9 for a, b in zip(got, want, strict=True))
+
+
+@pytest.mark.parametrize("many", [1, 3, 10**6])
+def test_core_numbers_do_not_depend_on_who_reads(spark, monkeypatch, many):
+    """By every node, by short ones alone, and by both in turn; lists of a hub in pieces."""
+    monkeypatch.setattr(graph, "MANY_FALL", many)
+    monkeypatch.setattr(graph, "MANY_SHORT", many)
+    monkeypatch.setattr(graph, "LONG_LIST", 4)
+    edges = random_edges(6, 40, 200) | {(k, 500) for k in range(40)} | {(500, k) for k in range(0, 40, 2)} | {(k, k + 1) for k in range(100, 105)}
+    e = table(spark, edges)
+    layout = graph.EdgeLayout(e)
+    for lists, key, item in ((layout.out_lists, "src", "dst"), (layout.in_lists, "dst", "src")):
+        assert lists.where("size(items) > 25").count() == 0
+        assert {(r[key], r["item"]) for r in lists.selectExpr(key, "explode(items) as item").collect()} == {(s, d) if key == "src" else (d, s) for s, d in edges}
+    for rounds in (4, None):
+        got = {r.node: r.core for r in graph.core_numbers(layout, rounds=rounds).collect()}
+        assert got == rounds_of_cores(edges, rounds or 60), rounds
+    layout.drop()
+
+
+def test_rounds_in_which_most_nodes_fall_exchange_the_edges_once(spark, monkeypatch):
+    """Numbers go to their targets, counted by value, and counts to their node: two exchanges a round, none of them of the edges' sources."""
+    found, real = [], (graph.stash, graph.stash_bucketed)
+
+    def plans(make):
+        def made(df, name, *more, **by):
+            if name.startswith("cores"):
+                found.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"))
+            return make(df, name, *more, **by)
+
+        return made
+
+    layout = graph.EdgeLayout(table(spark, random_edges(3, 60, 900)))
+    monkeypatch.setattr(graph, "stash", plans(real[0]))
+    monkeypatch.setattr(graph, "stash_bucketed", plans(real[1]))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        graph.core_numbers(layout, rounds=2)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        layout.drop()
+    assert 0 < sum(found) <= 4, found
